@@ -43,17 +43,16 @@ def partial_sums(
 
     Every network runs over the same Arrow batches, so a whole sweep costs one scan.
     """
-    for net in nets.values():
-        net.check_broadcast()
-    shared = df.sparkSession.sparkContext.broadcast(nets)
+    shipped = Network.broadcast(df.sparkSession, nets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shipped()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x, labels = as_matrix(batch.column(data)), batch.column(target)
-            for key, net in shared.value.items():
+            for key, net in models.items():
                 classes = net.config.network[-1].num_channels
                 t = as_targets(labels, classes)
                 for s in slices(len(x), net.config.row_bytes()):

@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 import numpy as np
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 from runloom.operators.sliding import output_size
 from runloom.plans.kernels import ACTIVATIONS, COSTS, IMAGE_LAYERS
@@ -148,6 +150,17 @@ class Network:
         if self.nbytes > MODEL_BYTES_LIMIT:
             raise ValueError(f"model of {self.nbytes} bytes is above the broadcast limit; use relational_forward")
 
+    @staticmethod
+    def broadcast(spark: SparkSession, nets: dict[int, Network]) -> Callable[[], dict[int, Network]]:
+        """Ship networks, checked for size, to the workers; call the result there.
+
+        cloudpickle carries layer objects defined in a notebook or script as well.
+        """
+        for net in nets.values():
+            net.check_broadcast()
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(nets))
+        return lambda: cloudpickle.loads(shared.value)
+
     def shape_input(self, rows: np.ndarray) -> np.ndarray:
         image = self.config.image()
         return rows if image is None else rows.reshape(len(rows), *image)
