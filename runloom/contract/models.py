@@ -378,7 +378,7 @@ def _(spark, sf):
     """WITH c AS (SELECT vec_id AS id, unnest(range(64)) // 8 AS y, unnest(range(64)) % 8 AS x, unnest(embedding)::DOUBLE AS v FROM embeddings),
 w AS (SELECT id, i, j, y, x, v, max(v) OVER (PARTITION BY id, i, j) AS top FROM c, range(4) a(i), range(4) b(j)
       WHERE y // 2 = i AND x // 2 = j)
-SELECT id, y, x, round(sum(CASE WHEN v = top THEN i + j + 1 ELSE 0 END), 6) AS g FROM w GROUP BY id, y, x""",
+SELECT id, y, x, CAST(sum(CASE WHEN v = top THEN i + j + 1 ELSE 0 END) AS DOUBLE) AS g FROM w GROUP BY id, y, x""",
 )
 def _(spark, sf):
     cells = _cells(spark, sf)

@@ -17,7 +17,8 @@ def run_stamp(ts: Column) -> Column:
 
 
 def stamp_time(stamp: Column) -> Column:
-    return F.to_timestamp(stamp, STAMP_FORMAT)
+    """Stamps carry no zone, so neither does the result."""
+    return F.to_timestamp_ntz(stamp, F.lit(STAMP_FORMAT))
 
 
 def base_name(path: Column) -> Column:

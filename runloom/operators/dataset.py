@@ -133,6 +133,14 @@ def with_one_hot(df: DataFrame, label: str = "label", classes: int | None = None
     return df.withColumn(name, arrays.one_hot(F.col(label), classes, base))
 
 
-def write_parts(df: DataFrame, path: str, by: str) -> None:
-    """One folder per split, chunk or class; rows are not moved, so no part is a hot task."""
+def write_parts(df: DataFrame, path: str, by: str, files_per_part: int | None = None) -> None:
+    """One folder per split, chunk or class.
+
+    As given, rows are not moved: no shuffle and no hot task, but every task may write a file
+    per part. ``files_per_part`` moves rows by (part, salt) instead, so that a part holding
+    much of the data is still written by that many tasks.
+    """
+    if files_per_part is not None:
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != by]), F.lit(files_per_part))
+        df = df.repartition(by, salt)
     df.write.mode("overwrite").partitionBy(by).parquet(path)

@@ -18,11 +18,13 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def keep_matching(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    return left.join(right, list(on), "left_semi")
+    """Rows with a match. Keys of ``right`` are made distinct first, so a hot one travels once."""
+    return left.join(right.select(*on).distinct(), list(on), "left_semi")
 
 
 def drop_matching(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    return left.join(right, list(on), "left_anti")
+    """Rows without a match."""
+    return left.join(right.select(*on).distinct(), list(on), "left_anti")
 
 
 def row_differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from runloom.plans.network import Network
+from runloom.plans.network import Network, Shipped
 from runloom.plans.score import as_lists, as_matrix, as_targets, slices
 
 # Flat vectors travel in blocks, so that a large model spreads over many reducers.
@@ -37,16 +37,15 @@ def unflatten(net: Network, flat: np.ndarray) -> list[tuple[np.ndarray | None, n
 
 
 def partial_sums(
-    df: DataFrame, nets: dict[int, Network], batch_rows: int, data: str = "data", target: str = "label", learn: bool = True
+    df: DataFrame, shipped: Shipped, batch_rows: int, data: str = "data", target: str = "label", learn: bool = True
 ) -> DataFrame:
     """One flat vector per partition and network: rows, cost, correct, then all gradients.
 
     Every network runs over the same Arrow batches, so a whole sweep costs one scan.
     """
-    shipped = Network.broadcast(df.sparkSession, nets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shipped()
+        models = shipped.load()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
@@ -104,8 +103,10 @@ def batch_sums(
     df: DataFrame, nets: dict[int, Network], batch_rows: int, data: str = "data", target: str = "label", learn: bool = True
 ) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Per network: [rows, cost, correct] and the flat gradient. Only model-sized arrays arrive here."""
-    reduced = sum_partials(partial_sums(df, nets, batch_rows, data, target, learn)).select("config_id", "block", "part")
+    shipped = Network.ship(df.sparkSession, nets)
+    reduced = sum_partials(partial_sums(df, shipped, batch_rows, data, target, learn)).select("config_id", "block", "part")
     got = reduced.toArrow().sort_by([("config_id", "ascending"), ("block", "ascending")])
+    shipped.destroy()
     vectors: dict[int, list[np.ndarray]] = {}
     for key, part in zip(got.column("config_id").to_pylist(), got.column("part")):
         vectors.setdefault(key, []).append(part.values.to_numpy(zero_copy_only=False))
@@ -115,7 +116,7 @@ def batch_sums(
 
 def gradient_rows(df: DataFrame, net: Network, batch_rows: int, data: str = "data", target: str = "label") -> DataFrame:
     """The summed gradient as rows ``(layer, part, pos, g)``, without a driver step."""
-    summed = sum_partials(partial_sums(df, {0: net}, batch_rows, data, target))
+    summed = sum_partials(partial_sums(df, Network.ship(df.sparkSession, {0: net}), batch_rows, data, target))
     flat = summed.select("block", F.posexplode("part").alias("at", "g")).select(
         (F.col("block") * BLOCK + F.col("at") - 3).alias("at"), "g"
     )

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 import numpy as np
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import SparkSession
 
 from runloom.operators.sliding import output_size
@@ -151,15 +151,14 @@ class Network:
             raise ValueError(f"model of {self.nbytes} bytes is above the broadcast limit; use relational_forward")
 
     @staticmethod
-    def broadcast(spark: SparkSession, nets: dict[int, Network]) -> Callable[[], dict[int, Network]]:
-        """Ship networks, checked for size, to the workers; call the result there.
+    def ship(spark: SparkSession, nets: dict[int, Network]) -> Shipped:
+        """Broadcast networks after a check of their size.
 
         cloudpickle carries layer objects defined in a notebook or script as well.
         """
         for net in nets.values():
             net.check_broadcast()
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(nets))
-        return lambda: cloudpickle.loads(shared.value)
+        return Shipped(spark.sparkContext.broadcast(cloudpickle.dumps(nets)))
 
     def shape_input(self, rows: np.ndarray) -> np.ndarray:
         image = self.config.image()
@@ -184,6 +183,19 @@ class Network:
         return out
 
 
+@dataclass(frozen=True)
+class Shipped:
+    """Broadcast networks: ``load`` on a worker, ``destroy`` when no job needs them again."""
+
+    shared: Broadcast
+
+    def load(self) -> dict[int, Network]:
+        return cloudpickle.loads(self.shared.value)
+
+    def destroy(self) -> None:
+        self.shared.destroy()
+
+
 def ann_weights(layer, k, j):
     """Position-numbered weights of the synthetic target net."""
     return (k * (j.max() + 1) + j + layer) / 100.0

@@ -54,7 +54,7 @@ def score(
     ``target`` is an integer label or a target array column. Only the kept, data and target
     columns are read. The network is broadcast once; rows stay in their partitions.
     """
-    shipped = Network.broadcast(df.sparkSession, {0: net})
+    shipped = Network.ship(df.sparkSession, {0: net})
     needed = list(dict.fromkeys([*keep, data, *([target] if target else [])]))
     source = df.select(*needed)
     added = [StructField("predicted", IntegerType())]
@@ -66,7 +66,7 @@ def score(
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped()[0]
+        model = shipped.load()[0]
         for batch in batches:
             if batch.num_rows == 0:
                 continue

@@ -143,16 +143,19 @@ def category_dir_ingest(
     return dataset.shuffle(keyed, seed, id_col="id").drop("id")
 
 
+@F.arrow_udf("array<int>")
+def _byte_values(content: pa.Array) -> pa.Array:
+    """Unsigned bytes of each binary value, whole batches at a time."""
+    sizes = np.array([len(c.as_buffer()) if c.is_valid else 0 for c in content], dtype=np.int32)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)
+    joined = b"".join(c.as_buffer().to_pybytes() for c in content if c.is_valid)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(joined, np.uint8).astype(np.int32)))
+
+
 def byte_pixels(content: Column, count: int) -> Column:
     """Unsigned bytes of a raw image; another length fails."""
-    checked = F.when(F.length(content) == count, content).otherwise(
-        F.raise_error(F.concat(F.lit(f"expected {count} bytes, found "), F.length(content).cast("string"))).cast("binary")
-    )
-    code = F.hex(checked)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)),
-        lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-    )
+    found = F.concat(F.lit(f"expected {count} bytes, found "), F.length(content).cast("string"))
+    return F.when(F.length(content) == count, _byte_values(content)).otherwise(F.raise_error(found).cast("array<int>"))
 
 
 def image_ingest(spark: SparkSession, pattern: str, height: int, width: int) -> DataFrame:

@@ -19,17 +19,14 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
+    """Type and text: 3 and 3.0, or 0.0 and -0.0, count as different."""
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
-    if isinstance(value, bool):
-        return value
-    if isinstance(value, (int, float)):
-        return float(value)
-    return str(value)
+    return f"{type(value).__name__} {value!r}"
 
 
 def _sort_key(row):
-    return tuple((v is None, str(type(v)), v if v is not None else 0) for v in row)
+    return tuple((v is None, v or "") for v in row)
 
 
 def rows_of(columns: list[str], rows) -> list[tuple]:
