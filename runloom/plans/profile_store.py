@@ -162,9 +162,11 @@ class ProfileStore:
         touched = have.groupBy(RUN_KEY).agg(gone, F.count(F.lit(1)).alias("n")).where("gone > 0").collect()
         partly = [r[RUN_KEY] for r in touched if r["gone"] < r["n"]]
         if partly:
-            rewritten = kept.where(F.col(RUN_KEY).isin(partly)).select(*self.spark.table(self._name(table)).columns)
-            writer = cut_lineage(rewritten).write.option("partitionOverwriteMode", "dynamic")
-            writer.insertInto(self._name(table), overwrite=True)
+            # Only a path write honours the per-write dynamic mode; the other runs stay as they are.
+            rewritten = cut_lineage(kept.where(F.col(RUN_KEY).isin(partly)))
+            writer = rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy(RUN_KEY).parquet(f"{self.root}/{table}")
+            self.spark.catalog.refreshTable(self._name(table))
         for r in touched:
             if r["gone"] == r["n"]:
                 self._drop_run(table, r[RUN_KEY])

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from runloom.functions import arrays, text
+from runloom.functions import text
 from runloom.operators import dataset
 from runloom.operators.control import category_lookup
 from runloom.operators.dataset import SPLITS
@@ -135,27 +136,37 @@ def category_dir_ingest(
     spark: SparkSession, root: str, channels: int, height: int, width: int, lookup: dict[str, int] | None = None, seed: int = 0
 ) -> DataFrame:
     """Raw byte images (y, x, channel) by class folder, as shuffled channel-first rows."""
+    decode = byte_decoder(channels, height, width, interleaved=True)
     files = category_files(spark, root, lookup)
-    pixels = byte_pixels(F.col("content"), channels * height * width)
-    moved = arrays.channels_first(pixels, channels, height, width)
-    rows = files.select("path", "label", F.transform(moved, lambda v: v.cast("double")).alias("data"))
-    keyed = rows.withColumn("id", F.xxhash64("path"))
-    return dataset.shuffle(keyed, seed, id_col="id").drop("id")
+    rows = files.select("path", "label", decode("content").alias("data"), F.xxhash64("path").alias("id"))
+    return dataset.shuffle(rows, seed, id_col="id").drop("id")
 
 
-@F.arrow_udf("array<int>")
-def _byte_values(content: pa.Array) -> pa.Array:
-    """Unsigned bytes of each binary value, whole batches at a time."""
-    sizes = np.array([len(c.as_buffer()) if c.is_valid else 0 for c in content], dtype=np.int32)
-    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)
-    joined = b"".join(c.as_buffer().to_pybytes() for c in content if c.is_valid)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(joined, np.uint8).astype(np.int32)))
+def byte_decoder(
+    channels: int, height: int, width: int, interleaved: bool = False, scaled: bool = False, reverse: bool = False
+) -> Callable[[str], Column]:
+    """Raw unsigned bytes to channel-first doubles, a whole Arrow batch at a time.
 
+    ``interleaved`` input is (y, x, channel), otherwise (channel, y, x); ``reverse`` swaps the
+    channel order; ``scaled`` maps 0..255 to [-1, 1]. An image of another length fails.
+    """
+    count = channels * height * width
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def decode(content: pa.Array) -> pa.Array:
+        raw = [c.as_buffer() for c in content]
+        wrong = [len(b) for b in raw if len(b) != count]
+        if wrong:
+            raise ValueError(f"expected {count} bytes, found {wrong[0]}")
+        values = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), count)
+        if interleaved:
+            values = np.moveaxis(values.reshape(-1, height, width, channels), 3, 1)
+        planes = values.reshape(len(raw), channels, height * width)
+        planes = planes[:, ::-1] if reverse else planes
+        flat = planes.reshape(len(raw), count).astype(np.float64)
+        return as_lists(flat / 127.5 - 1.0 if scaled else flat)
 
-def byte_pixels(content: Column, count: int) -> Column:
-    """Unsigned bytes of a raw image; another length fails."""
-    found = F.concat(F.lit(f"expected {count} bytes, found "), F.length(content).cast("string"))
-    return F.when(F.length(content) == count, _byte_values(content)).otherwise(F.raise_error(found).cast("array<int>"))
+    return decode
 
 
 def image_ingest(spark: SparkSession, pattern: str, height: int, width: int) -> DataFrame:
@@ -169,15 +180,12 @@ def image_ingest(spark: SparkSession, pattern: str, height: int, width: int) ->
     counts = [r["channel"] for r in tagged.select("channel").distinct().limit(2).collect()]
     if len(counts) != 1:
         raise ValueError(f"files disagree on the number of channels: {sorted(counts)}")
-    pixels = byte_pixels(F.col("content"), counts[0] * height * width)
-    return tagged.select("name", "img", "channel", "category", arrays.from_eight_bit(pixels).alias("data"))
+    decode = byte_decoder(counts[0], height, width, scaled=True)
+    return tagged.select("name", "img", "channel", "category", decode("content").alias("data"))
 
 
 def rgb_images(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
     """Encoded colour pictures through Spark's image source, scaled and channel-first (R, G, B)."""
     rows = spark.read.format("image").load(path).select("image.*")
-    pixels = byte_pixels(F.col("data"), 3 * height * width)
-    planes = arrays.channels_first(pixels, 3, height, width)  # stored B, G, R
-    plane = height * width
-    ordered = F.concat(*[F.slice(planes, c * plane + 1, plane) for c in (2, 1, 0)])
-    return rows.select(text.base_name(F.col("origin")).alias("name"), arrays.from_eight_bit(ordered).alias("data"))
+    decode = byte_decoder(3, height, width, interleaved=True, scaled=True, reverse=True)  # stored B, G, R
+    return rows.select(text.base_name(F.col("origin")).alias("name"), decode("data").alias("data"))
