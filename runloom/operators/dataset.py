@@ -12,10 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions import arrays
-from runloom.operators.scans import row_index
+from runloom.operators.scans import hash_blocks, row_index
 
 SPLITS = ("train", "valid", "test")
-_HASH_BITS = 10
 
 
 def shuffle(
@@ -29,7 +28,7 @@ def shuffle(
     if sort_key is not None:
         return row_index(df.withColumn("_order", sort_key), ["_order", id_col], name).drop("_order")
     hashed = df.withColumn("_order", F.xxhash64(F.lit(seed), F.lit(epoch), F.col(id_col)))
-    top = F.shiftright("_order", 64 - _HASH_BITS).cast("int")
+    top = hash_blocks(F.col("_order"), df.sparkSession)
     return row_index(hashed, ["_order", id_col], name, block=top).drop("_order")
 
 
@@ -73,7 +72,7 @@ def concat_shuffle(*frames: DataFrame, seed: int = 0, id_cols: Sequence[str] = (
     if sort_key is not None:
         return row_index(tagged.withColumn("_order", sort_key), ["_order", "_src", *id_cols], tie=id_cols[0]).drop("_order", "_src")
     hashed = tagged.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_src"), *[F.col(c) for c in id_cols]))
-    top = F.shiftright("_order", 64 - _HASH_BITS).cast("int")
+    top = hash_blocks(F.col("_order"), tagged.sparkSession)
     return row_index(hashed, ["_order", "_src", *id_cols], block=top).drop("_order", "_src")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions import arrays
-from runloom.operators.scans import row_index, running
+from runloom.operators.scans import default_blocks, frequent_groups, row_index, running
 
 TOTAL = "TOTAL"
 
@@ -71,13 +71,14 @@ def best_checkpoint(costs: DataFrame, run: str, epoch: str, correct: str, cost:
     the lowest cost so far (``best_cost``). ``epoch`` must be unique within a run.
     """
     seen = {"best_before": ("max", F.col(correct))}
-    out = running(costs, [run], [epoch], seen, inclusive=False)
+    frequent = frequent_groups(costs, [run], default_blocks(costs.sparkSession))
+    out = running(costs, [run], [epoch], seen, inclusive=False, frequent=frequent)
     before = F.coalesce(F.col("best_before").cast("double"), F.lit(0.0))
     out = out.withColumn("best_before", before)
     out = out.withColumn("is_checkpoint", F.coalesce(F.col(correct) > F.col("best_before"), F.lit(False)))
     out = out.withColumn("best_correct", F.greatest("best_before", F.col(correct)))
     if cost is not None:
-        out = running(out, [run], [epoch], {"best_cost": ("min", F.col(cost))})
+        out = running(out, [run], [epoch], {"best_cost": ("min", F.col(cost))}, frequent=frequent)
     return out
 
 
@@ -105,10 +106,12 @@ def evaluation_detail(
     )
 
 
-def misclassified(scored: DataFrame, id_col: str = "id", data: str = "data") -> DataFrame:
-    """Wrongly classified images as pixels, with both classes and a running file number."""
+def misclassified(scored: DataFrame, id_col: str = "id", data: str = "data", channels: int = 1) -> DataFrame:
+    """Wrongly classified images as pixels, with both classes and a numbered file name."""
     wrong = scored.where(F.col("correct") == 0)
     numbered = row_index(
         wrong.select(id_col, arrays.to_pixels(F.col(data)).alias("pixels"), "label", "predicted"), [id_col], "img"
     )
-    return numbered.select("img", id_col, "pixels", F.col("label").alias("correct"), F.col("predicted").alias("wrong"))
+    name = F.format_string(f"img%d_channel{channels}_correct%d_wrong%d", "img", "label", "predicted")
+    classes = [F.col("label").alias("correct"), F.col("predicted").alias("wrong")]
+    return numbered.select("img", name.alias("name"), id_col, "pixels", *classes)

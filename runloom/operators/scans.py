@@ -10,7 +10,8 @@ Both operators here cut the order into blocks of about equal size first:
    small block table is scanned for the value carried in from earlier blocks;
 3. rows are numbered or accumulated inside their block and the carry is added.
 
-Bounds only balance the work: any bounds give the same, exact result.
+Bounds only balance the work: any bounds give the same, exact result. The number of blocks
+follows ``spark.sql.shuffle.partitions``, so it grows with the cluster's set-up.
 """
 
 from __future__ import annotations
@@ -22,8 +23,15 @@ from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
-
-MAX_BLOCKS = 2048
+from pyspark.sql.types import StructType
+
+MAX_BLOCKS = 32768
+# A value that covers this many quantiles is cut by its tie-break column.
+TIE_QUANTILES = 4
+# Groups below this size are no burden for one task, whatever their share.
+HOT_ROWS = 1_000_000
+# Up to this many hot groups are told apart by a condition, more by a broadcast join.
+LISTED_KEYS = 32
 _KEY, _TIE, _B1, _B2 = "_scan_key", "_scan_tie", "_scan_b1", "_scan_b2"
 _COMBINE = {"max": F.max, "min": F.min, "sum": F.sum}
 
@@ -33,14 +41,20 @@ def default_blocks(spark: SparkSession) -> int:
     return max(16, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS))
 
 
+def hash_blocks(hashed: Column, spark: SparkSession) -> Column:
+    """The top bits of a 64-bit hash as a block number: evenly spread, in hash order."""
+    bits = math.ceil(math.log2(default_blocks(spark)))
+    return F.shiftright(hashed, 64 - bits).cast("int")
+
+
 def _as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def _edges(quantiles: Sequence[float] | None) -> tuple[list[float], list[int]]:
-    """Strictly increasing bucket edges, and the numbers of single-value blocks."""
+    """Strictly increasing bucket edges, and the numbers of single-value blocks to cut."""
     times = Counter(q for q in quantiles or () if math.isfinite(q))
-    frequent = [q for q, n in times.items() if n > 1]
+    frequent = [q for q, n in times.items() if n >= TIE_QUANTILES]
     edges = sorted(set(times) | {math.nextafter(q, math.inf) for q in frequent})
     edges = [-math.inf, *(e for e in edges if math.isfinite(e)), math.inf]
     return edges, [edges.index(q) for q in frequent]
@@ -58,10 +72,11 @@ def with_blocks(df: DataFrame, key: Column, tie: Column | None, blocks: int) ->
     lowest = F.lit(float("-inf"))
     keyed = df.withColumn(_KEY, F.coalesce(key.cast("double"), lowest))
     probabilities = [i / blocks for i in range(1, blocks)]
-    wanted = [F.percentile_approx(_KEY, probabilities).alias(_KEY)]
+    accuracy = max(10000, 4 * blocks)
+    wanted = [F.percentile_approx(_KEY, probabilities, accuracy).alias(_KEY)]
     if tie is not None:
         keyed = keyed.withColumn(_TIE, F.coalesce(tie.cast("double"), lowest))
-        wanted.append(F.percentile_approx(_TIE, probabilities).alias(_TIE))
+        wanted.append(F.percentile_approx(_TIE, probabilities, accuracy).alias(_TIE))
     found = keyed.agg(*wanted).first()
     edges, single = _edges(found[_KEY])
     out = _bucket(keyed, edges, _KEY, _B1)
@@ -109,21 +124,28 @@ def row_index(
         .select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carry"))
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
-    # One row per block: bounded by the block count, so the broadcast is too.
+    if block is not None or tie is None:
+        # One row per block and group value, so its size is bounded by the block count.
+        carry = F.broadcast(carry)
     return (
-        blocked.join(F.broadcast(carry), keys)
+        blocked.join(carry, keys)
         .withColumn(name, F.col("_carry") + F.row_number().over(inside) + F.lit(start - 1))
         .drop(_B1, _B2, "_carry")
     )
 
 
-def frequent_groups(df: DataFrame, keys: Sequence[str], share: int) -> list[Row]:
-    """Key values that hold more than 1/share of all rows: at most ``share`` of them."""
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n")).limit(share).collect()
-    if not largest:
+def frequent_groups(df: DataFrame, keys: Sequence[str], share: int, min_rows: int | None = None) -> list[Row]:
+    """Key values that hold more than 1/share of all rows, and more than ``min_rows``.
+
+    There are fewer than ``share`` of them, whatever the data. A table without enough rows
+    for one is recognised by its count alone.
+    """
+    total = df.count()
+    limit = max(total / share, HOT_ROWS if min_rows is None else min_rows)
+    if total <= limit:
         return []
-    limit = df.count() / share
-    return [r for r in largest if r["_n"] > limit]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > limit).collect()
 
 
 def key_in(keys: Sequence[str], rows: Sequence[Row]) -> Column:
@@ -132,6 +154,18 @@ def key_in(keys: Sequence[str], rows: Sequence[Row]) -> Column:
     return reduce(lambda a, b: a | b, matches) if matches else F.lit(False)
 
 
+def flagged(df: DataFrame, keys: Sequence[str], rows: Sequence[Row], name: str) -> DataFrame:
+    """Add a boolean column: is the key one of ``rows``?"""
+    if len(rows) <= LISTED_KEYS:
+        return df.withColumn(name, F.coalesce(key_in(keys, rows), F.lit(False)))
+    fields = [df.schema[k] for k in keys]
+    listed = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in rows], StructType(fields))
+    listed = F.broadcast(listed.select(*[F.col(k).alias(f"_l_{k}") for k in keys], F.lit(True).alias("_listed")))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
+    found = df.join(listed, same, "left")
+    return found.select(*df.columns, F.coalesce("_listed", F.lit(False)).alias(name))
+
+
 def _merge(kind: str, carried: Column, inner: Column) -> Column:
     if kind == "max":
         return F.greatest(carried, inner)
@@ -147,16 +181,19 @@ def running(
     outputs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     share: int | None = None,
+    frequent: Sequence[Row] | None = None,
 ) -> DataFrame:
     """Running max, min or sum inside each group, in a total order within the group.
 
     ``outputs`` maps a new column to (kind, expression). With ``inclusive=False`` a
     row sees the rows before it only. Ordinary groups take one window; groups holding
     more than 1/share of all rows are cut into blocks so that no task gets them whole.
+    ``frequent`` passes those groups on when they are known already.
     """
     order = [_as_column(c) for c in order_by]
     share = share or default_blocks(df.sparkSession)
-    frequent = frequent_groups(df, group_by, share)
+    if frequent is None:
+        frequent = frequent_groups(df, group_by, share)
     last = 0 if inclusive else -1
 
     def scan(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,9 +203,9 @@ def running(
     if not frequent:
         return scan(df, group_by)
 
-    large = F.coalesce(key_in(group_by, frequent), F.lit(False))
+    large = F.col("_scan_hot")
     tie = order[1] if len(order) == 2 else None
-    blocked = with_blocks(df, order[0], tie, share)
+    blocked = with_blocks(flagged(df, group_by, frequent, "_scan_hot"), order[0], tie, share)
     blocked = blocked.withColumn(_B1, F.when(large, F.col(_B1)).otherwise(0)).withColumn(
         _B2, F.when(large, F.col(_B2)).otherwise(0)
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from runloom.operators.scans import running
+from runloom.operators.scans import default_blocks, flagged, frequent_groups, running
+from runloom.session import cut_lineage
 
 # The metric columns of a stage row, in their stored order.
 METRICS = (
@@ -37,18 +38,34 @@ def stage_sums(
     return tasks.groupBy(*keys).agg(*sums)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", share: int | None = None, min_rows: int | None = None
+) -> DataFrame:
     """Exact median per group, the mean of the two middle values for an even count.
 
     ``percentile`` keeps a whole group's values in one task. Here equal values are counted
-    first, the counts are accumulated by a scan that cuts large groups, and only the one
-    or two values whose range covers the middle positions are kept.
+    first, the counts are accumulated in value order, and only the one or two values whose
+    range covers the middle positions are kept. Groups with very many different values are
+    accumulated by the block scan, and their totals, of which there are few, are broadcast.
+    The counts are checkpointed, as they are read several times.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counted.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.sum("_n").alias("_total"))
-    scanned = running(counted, keys, [value], {"_upto": ("sum", F.col("_n"))})
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    placed = scanned.join(totals, same)
+    counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    share = share or default_blocks(df.sparkSession)
+    hot = frequent_groups(counted, keys, share, min_rows)
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_upto")
+    total = F.sum("_n").over(group).alias("_total")
+    if not hot:
+        placed = counted.select("*", upto, total)
+    else:
+        split = flagged(counted, keys, hot, "_hot")
+        large, rest = split.where("_hot").drop("_hot"), split.where(~F.col("_hot")).drop("_hot")
+        totals = large.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.sum("_n").alias("_total"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        scanned = running(large, keys, [value], {"_upto": ("sum", F.col("_n"))}, share=share, frequent=hot)
+        whole = scanned.join(F.broadcast(totals), same)  # fewer than ``share`` rows
+        columns = [*counted.columns, "_upto", "_total"]
+        placed = rest.select("*", upto, total).select(*columns).unionByName(whole.select(*columns))
     low = F.floor((F.col("_total") + 1) / 2)
     high = F.floor((F.col("_total") + 2) / 2)
     covers = lambda p: (F.col("_upto") >= p) & (F.col("_upto") - F.col("_n") < p)

@@ -15,6 +15,9 @@ from runloom.plans.score import as_lists, as_matrix, as_targets, slices
 # Flat vectors travel in blocks, so that a large model spreads over many reducers.
 BLOCK = 4096
 FAN_IN = 64
+# Up to this many bytes of partition vectors are added on the driver, which holds the model
+# anyway; above it they are added by reducers and one vector per network arrives.
+DRIVER_SUM_BYTES = 64 << 20
 _SCHEMA = "config_id int, block int, source int, part array<double>"
 
 
@@ -84,7 +87,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     ordered = table.sort_by("source").combine_chunks()
     column = ordered.column("part").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    first = ordered.slice(0, 1)
+    first = ordered.slice(0, 1).set_column(2, "source", pa.array([0], pa.int32()))
     return first.set_column(3, "part", as_lists(as_matrix(column).sum(axis=0, keepdims=True)))
 
 
@@ -100,20 +103,49 @@ def sum_partials(partials: DataFrame) -> DataFrame:
 
 
 def batch_sums(
-    df: DataFrame, nets: dict[int, Network], batch_rows: int, data: str = "data", target: str = "label", learn: bool = True
+    df: DataFrame,
+    nets: dict[int, Network],
+    batch_rows: int,
+    data: str = "data",
+    target: str = "label",
+    partitions: int | None = None,
 ) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per network: [rows, cost, correct] and the flat gradient. Only model-sized arrays arrive here."""
+    """Per network: [rows, cost, correct] and the flat gradient. Only model-sized arrays arrive here.
+
+    ``partitions`` is the number of partitions of ``df`` where it is known; a few small
+    vectors are then added without the reduce stage.
+    """
     shipped = Network.ship(df.sparkSession, nets)
-    reduced = sum_partials(partial_sums(df, shipped, batch_rows, data, target, learn)).select("config_id", "block", "part")
-    got = reduced.toArrow().sort_by([("config_id", "ascending"), ("block", "ascending")])
+    partials = partial_sums(df, shipped, batch_rows, data, target)
+    size = sum(n.nbytes for n in nets.values())
+    if partitions is None or partitions * size > DRIVER_SUM_BYTES:
+        partials = sum_partials(partials)
+    order = [(c, "ascending") for c in ("config_id", "source", "block")]
+    got = partials.toArrow().sort_by(order)
     shipped.destroy()
-    vectors: dict[int, list[np.ndarray]] = {}
-    for key, part in zip(got.column("config_id").to_pylist(), got.column("part")):
+    vectors: dict[tuple[int, int], list[np.ndarray]] = {}
+    keys = zip(got.column("config_id").to_pylist(), got.column("source").to_pylist())
+    for key, part in zip(keys, got.column("part")):
         vectors.setdefault(key, []).append(part.values.to_numpy(zero_copy_only=False))
-    whole = {k: np.concatenate(v) for k, v in vectors.items()}
+    whole: dict[int, np.ndarray] = {}
+    for (config_id, _source), parts in vectors.items():
+        vector = np.concatenate(parts)
+        whole[config_id] = whole[config_id] + vector if config_id in whole else vector
     return {k: (v[:3], v[3:]) for k, v in whole.items()}
 
 
+def cost_sums(
+    df: DataFrame, nets: dict[int, Network], data: str = "data", target: str = "label"
+) -> dict[int, tuple[float, float, float]]:
+    """(rows, cost, correct) of each network in one scan."""
+    shipped = Network.ship(df.sparkSession, nets)
+    partials = partial_sums(df, shipped, 1, data, target, learn=False)
+    sums = partials.groupBy("config_id").agg(*[F.sum(F.get("part", F.lit(i))).alias(n) for i, n in enumerate("nch")])
+    rows = sums.collect()
+    shipped.destroy()
+    return {r["config_id"]: (r["n"], r["c"], r["h"]) for r in rows}
+
+
 def gradient_rows(df: DataFrame, net: Network, batch_rows: int, data: str = "data", target: str = "label") -> DataFrame:
     """The summed gradient as rows ``(layer, part, pos, g)``, without a driver step."""
     summed = sum_partials(partial_sums(df, Network.ship(df.sparkSession, {0: net}), batch_rows, data, target))

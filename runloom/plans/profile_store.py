@@ -134,6 +134,12 @@ class ProfileStore:
         when = [F.lit(epoch).cast("long").alias("epoch"), F.lit(batch).cast("long").alias("batch")]
         self.append("output_data_ann", placed.select("idx", *when, *arrays.spread(F.col(y), "y", width)), run_id=run_id)
 
+    def add_details(self, detail: DataFrame, wrong: DataFrame, run_id: str) -> None:
+        """Ranked class probabilities of an evaluation, and its misclassified images."""
+        ranked = detail.withColumn("index", F.col("index").cast("long")).withColumn("is_correct", F.col("is_correct").cast("long"))
+        self.append("eval_out_prob", ranked, run_id=run_id)
+        self.append("wrong_img", wrong, run_id=run_id)
+
     # -- delete and change -------------------------------------------------------
 
     def _runs(self, table: str) -> DataFrame:

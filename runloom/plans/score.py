@@ -110,7 +110,10 @@ def evaluate_details(
     """
     scored = cut_lineage(score(df, net, id_col, data, target, data=data, target=target))
     detail = reports.evaluation_detail(scored, net.config.network[-1].num_channels, set_name, id_col)
-    wrong = reports.misclassified(scored.withColumnRenamed(target, "label"), id_col, data)
+    one_hot = isinstance(scored.schema[target].dataType, ArrayType)
+    label = arrays.argmax(F.col(target)) if one_hot else F.col(target)
+    channels = (net.config.image() or (1,))[0]
+    wrong = reports.misclassified(scored.withColumn("label", label), id_col, data, channels)
     return detail, wrong
 
 

@@ -12,8 +12,9 @@ from runloom.operators import dataset
 from runloom.operators.records import new_stamp
 from runloom.operators.scans import row_index
 from runloom.plans.checkpoints import save_model
-from runloom.plans.gradients import batch_sums, unflatten
+from runloom.plans.gradients import batch_sums, cost_sums, unflatten
 from runloom.plans.network import NetConfig, Network
+from runloom.plans.score import evaluate_details
 from runloom.session import shared_path
 
 # Batches are stored under at most this many folders, sorted inside each.
@@ -82,18 +83,20 @@ class EpochTable:
         sorted_rows.write.mode("overwrite").partitionBy("batch_folder").parquet(self.path)
         self.frame = self.train.sparkSession.read.parquet(self.path)
 
-    def batch(self, number: int) -> tuple[DataFrame, int]:
+    def batch(self, number: int) -> tuple[DataFrame, int, int]:
+        """The rows of one batch, how many they are, and how many partitions the scan has."""
         per_folder = -(-self.batches // BATCH_FOLDERS)
         rows = min(self.size, self.rows - number * self.size)
         wanted = (F.col("batch_folder") == number // per_folder) & (F.col("batch_no") == number)
-        return self.frame.where(wanted), rows
+        found = self.frame.where(wanted)
+        return found, rows, found.rdd.getNumPartitions()
 
 
 def evaluate_many(df: DataFrame | None, nets: dict[int, Network], data: str, target: str) -> dict[int, tuple[float, float]]:
     """(cost, accuracy) of each network in one scan; zeros without data."""
-    sums = batch_sums(df, nets, 1, data, target, learn=False) if df is not None else {}
+    sums = cost_sums(df, nets, data, target) if df is not None else {}
     out = dict.fromkeys(nets, (0.0, 0.0))
-    out.update({k: (head[1] / head[0], head[2] / head[0]) for k, (head, _) in sums.items()})
+    out.update({k: (cost / rows, correct / rows) for k, (rows, cost, correct) in sums.items()})
     return out
 
 
@@ -116,8 +119,9 @@ def fit_many(
 
     Configurations with the same batch size and shuffling step together: each step reads its
     batch once and returns the gradients of all of them. ``start`` resumes from loaded
-    networks. ``store`` (a profile store) gets a row per run and per epoch, ``model_path``
-    a checkpoint whenever validation accuracy beats every earlier epoch.
+    networks. ``store`` (a profile store) gets a row per run and per epoch and the details of
+    the final test, ``model_path`` a checkpoint whenever validation accuracy beats every
+    earlier epoch.
     """
     spark = train.sparkSession
     stamp = new_stamp()
@@ -147,8 +151,8 @@ def fit_many(
             for net in nets.values():
                 net.epoch += 1
             for number in range(table.batches):
-                rows_of_batch, count = table.batch(number)
-                for key, (head, flat) in batch_sums(rows_of_batch, nets, count, data, target).items():
+                rows_of_batch, count, parts = table.batch(number)
+                for key, (head, flat) in batch_sums(rows_of_batch, nets, count, data, target, parts).items():
                     means[key] += head[1:] / head[0]  # measured before the update
                     sgd_step(nets[key], velocity[key], unflatten(nets[key], flat))
                     nets[key].batch += 1
@@ -175,6 +179,9 @@ def fit_many(
         if test is not None:
             for key, result in evaluate_many(test, {k: out[k].network for k in keys}, data, target).items():
                 out[key].test = result
+                if store is not None and configs[key].cost == "CE":
+                    details = evaluate_details(test, out[key].network, "null", id_col, data, target)
+                    store.add_details(*details, out[key].run_id)
     return out
 
 

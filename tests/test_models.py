@@ -136,15 +136,16 @@ def test_join_form_agrees_with_batch_form(spark, name):
 
 
 @pytest.mark.parametrize("parts", [1, 4])
-@pytest.mark.parametrize("fan_in", [64, 1])
-def test_distributed_gradient(spark, monkeypatch, parts, fan_in):
+@pytest.mark.parametrize("fan_in, known", [(64, False), (1, False), (64, True)])
+def test_distributed_gradient(spark, monkeypatch, parts, fan_in, known):
+    """One level of reducers, two levels, and a sum on the driver all agree."""
     monkeypatch.setattr(gradients, "FAN_IN", fan_in)
     monkeypatch.setattr(gradients, "BLOCK", 7)
     conf = NETS["conv"]
     net = Network.initial(conf, seed=2)
     x, labels = sample(conf, rows=20)
     t = np.eye(3)[labels]
-    head, flat = gradients.batch_sums(frame(spark, x, labels, parts), {0: net}, 20)[0]
+    head, flat = gradients.batch_sums(frame(spark, x, labels, parts), {0: net}, 20, partitions=parts if known else None)[0]
     want = net.gradients(net.forward(x), t, 20)
     np.testing.assert_allclose(flat, gradients.flatten(want), atol=1e-12)
     np.testing.assert_allclose(head, [20, cost_of(net, x, t) * 20, (net.forward(x)[-1].argmax(1) == labels).sum()])
@@ -191,6 +192,10 @@ def test_shuffled_training_learns_and_resumes(spark, tmp_path):
     assert run.cost_rows[-1]["cost_val"] < run.cost_rows[0]["cost_val"]
     assert run.test == pytest.approx((run.cost_rows[-1]["cost_val"], run.cost_rows[-1]["correct_val"]))
     assert store.count_rows("profile_cost_ann") == 4 and store.count_rows("meta_ann") == 1
+    detail = store.read("eval_out_prob")
+    assert detail.count() == 60 and detail.columns[:4] == ["populate_time", "name", "index", "is_correct"]
+    assert detail.where("is_correct = 1").count() == round(run.test[1] * 60)
+    assert store.count_rows("wrong_img") == 60 - round(run.test[1] * 60)
     loaded = load_model(spark, str(tmp_path / "model"), "run-a")
     best = max(run.cost_rows, key=lambda r: r["correct_val"])
     assert loaded.epoch == next(r["epoch_num"] for r in run.cost_rows if r["correct_val"] == best["correct_val"])
@@ -283,6 +288,7 @@ def test_details_rank_and_files(spark):
     assert tops[0] < tops[1] and tops[2] < tops[3]
     assert all(r["cat0"] <= r["cat1"] <= r["cat2"] for r in got)
     files = wrong.orderBy("img").collect()
+    assert files[0]["name"] == "img0_channel1_correct0_wrong1"
     assert [(r["img"], r["id"], r["correct"], r["wrong"], r["pixels"]) for r in files] == [(0, 1, 0, 1, [0, 255, 0]), (1, 2, 1, 2, [0, 0, 255])]
 
 

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.operators import dataset, stages
+from runloom.operators import dataset, scans, stages
 from runloom.operators.reports import best_checkpoint
 from runloom.operators.scans import frequent_groups, row_index, running
 
@@ -66,12 +66,17 @@ def test_partition_count_does_not_matter(skewed, partitions):
 
 def test_frequent_groups(skewed):
     frame, _ = skewed
-    assert [r["g"] for r in frequent_groups(frame, ["g"], 16)] == [7]
+    assert [r["g"] for r in frequent_groups(frame, ["g"], 16, min_rows=0)] == [7]
+    assert frequent_groups(frame, ["g"], 16) == []  # too few rows to matter
+    assert frequent_groups(frame.limit(0), ["g"], 16, min_rows=0) == []
 
 
 @pytest.mark.parametrize("share", [1, 16, 64])
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_running_in_hot_groups(skewed, share, inclusive):
+@pytest.mark.parametrize("listed", [32, 0])
+def test_running_in_hot_groups(skewed, monkeypatch, share, inclusive, listed):
+    monkeypatch.setattr(scans, "HOT_ROWS", 0)
+    monkeypatch.setattr(scans, "LISTED_KEYS", listed)
     frame, df = skewed
     outputs = {"m": ("max", F.col("p")), "lo": ("min", F.col("p")), "n": ("sum", F.lit(1))}
     got = running(frame, ["g"], ["id"], outputs, inclusive, share=share).toPandas().sort_values("id")
@@ -89,7 +94,8 @@ def test_checkpoints_are_strict_improvements(spark):
     assert got == {("a", 1): False, ("a", 2): True, ("a", 3): False, ("a", 4): True, ("b", 1): True}
 
 
-def test_exact_median_of_a_hot_stage(skewed):
+@pytest.mark.parametrize("min_rows", [0, None])
+def test_exact_median_of_a_hot_stage(skewed, min_rows):
     frame, df = skewed
-    got = stages.exact_median(frame, ["g"], "p").toPandas().set_index("g")["median"].sort_index()
+    got = stages.exact_median(frame, ["g"], "p", share=16, min_rows=min_rows).toPandas().set_index("g")["median"].sort_index()
     pd.testing.assert_series_equal(got, df.groupby("g").p.median(), check_names=False)
