@@ -271,7 +271,7 @@ def _(spark, sf):
 
 @query(
     "f7_cost_slope",
-    f"WITH {FLAT}, {TARGETS} SELECT id, j, round((y - t) / (SELECT count(*) FROM embeddings), 9) AS y FROM t",
+    f"WITH {FLAT}, {TARGETS} SELECT id, j, round((y - t) / (SELECT count(*) FROM embeddings), 9) + 0.0::DOUBLE AS y FROM t",
 )
 def _(spark, sf):
     rows = images(spark, sf).count()
@@ -284,8 +284,8 @@ def _(spark, sf):
 DELTA = f"""{FLAT}, n AS (SELECT count(*) AS n FROM embeddings),
 d AS (SELECT id, j, (y - CASE WHEN j = label THEN 1 ELSE 0 END) / n AS d FROM p, n)"""
 DENSE_GRADIENT_SQL = f"""WITH {DELTA}
-SELECT 'w' AS part, CAST(k * 10 + j AS INTEGER) AS pos, round(sum(v * d), 8) AS g FROM px JOIN d USING (id) GROUP BY k, j
-UNION ALL SELECT 'b', CAST(j AS INTEGER), round(sum(d), 8) FROM d GROUP BY j"""
+SELECT 'w' AS part, CAST(k * 10 + j AS INTEGER) AS pos, round(sum(v * d), 8) + 0.0::DOUBLE AS g FROM px JOIN d USING (id) GROUP BY k, j
+UNION ALL SELECT 'b', CAST(j AS INTEGER), round(sum(d), 8) + 0.0::DOUBLE FROM d GROUP BY j"""
 
 
 @query("n7_dense_backward", DENSE_GRADIENT_SQL)
@@ -308,7 +308,7 @@ def _(spark, sf):
 
 @query(
     "a11_gradient_sum",
-    f"""WITH {DELTA} SELECT j, round(sum(d), 8) AS bias_gradient FROM d GROUP BY j""",
+    f"""WITH {DELTA} SELECT j, round(sum(d), 8) + 0.0::DOUBLE AS bias_gradient FROM d GROUP BY j""",
 )
 def _(spark, sf):
     data = images(spark, sf)
@@ -327,9 +327,9 @@ cd AS (SELECT conv.id, e, i, j, sum(d * w) * any_value(CASE WHEN conv.v > 0 THEN
 
 
 CONV_GRADIENT_SQL = f"""WITH {CONV_DELTA}
-SELECT 'w' AS part, CAST(e * 9 + ky * 3 + kx AS INTEGER) AS pos, round(sum(v * d), 8) AS g
+SELECT 'w' AS part, CAST(e * 9 + ky * 3 + kx AS INTEGER) AS pos, round(sum(v * d), 8) + 0.0::DOUBLE AS g
 FROM cell JOIN cd USING (id), range(3) a(ky), range(3) b(kx) WHERE y + 1 - ky = i AND x + 1 - kx = j GROUP BY e, ky, kx
-UNION ALL SELECT 'b', CAST(e AS INTEGER), round(sum(d), 8) FROM cd GROUP BY e"""
+UNION ALL SELECT 'b', CAST(e AS INTEGER), round(sum(d), 8) + 0.0::DOUBLE FROM cd GROUP BY e"""
 
 
 @query("n8_convolution_backward", CONV_GRADIENT_SQL)
@@ -364,7 +364,7 @@ def _(spark, sf):
 @query(
     "n8_convolution_input_gradient",
     f"""WITH {CONV_DELTA}
-SELECT cd.id, i + ky - 1 AS y, j + kx - 1 AS x, round(sum(d * kern.w), 8) AS g FROM cd JOIN kern ON cd.e = kern.e
+SELECT cd.id, i + ky - 1 AS y, j + kx - 1 AS x, round(sum(d * kern.w), 8) + 0.0::DOUBLE AS g FROM cd JOIN kern ON cd.e = kern.e
 WHERE i + ky - 1 BETWEEN 0 AND 7 AND j + kx - 1 BETWEEN 0 AND 7 GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):

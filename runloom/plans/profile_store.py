@@ -33,6 +33,9 @@ def _schema(text: Sequence[str], whole: Sequence[str], real: Sequence[str], orde
     return StructType([StructField(c, kinds[c]) for c in order])
 
 
+# Characters a run stamp may have, as it names a folder.
+STAMP_CHARACTERS = r"[\w.\-]+"
+
 META = _schema(
     ["struct", "cost_type", "train_func"],
     ["train_size", "test_size", "batch_size"],
@@ -103,14 +106,18 @@ class ProfileStore:
     def append(self, table: str, rows: DataFrame, constants: dict[str, Any] | None = None, run_id: str | None = None) -> str:
         """Append rows under a run stamp, constants repeated; types must fit the table."""
         stamp = run_id or new_stamp()
-        if not re.fullmatch(r"[\w.\-]+", stamp):
+        if not re.fullmatch(STAMP_CHARACTERS, stamp):
             raise ValueError(f"run stamp {stamp!r} cannot name a folder")
-        full = profile_rows(rows, constants, stamp)
+        self.append_runs(table, profile_rows(rows, constants, stamp))
+        return stamp
+
+    def append_runs(self, table: str, rows: DataFrame) -> None:
+        """Append rows of several runs, told apart by their stamp column."""
+        full = rows.select(RUN_KEY, *[c for c in rows.columns if c != RUN_KEY])
         body = full.drop(RUN_KEY)
         self.open(table, body.schema)
         require_same_schema(self.read(table), full)
         full.select(*body.columns, RUN_KEY).write.insertInto(self._name(table))
-        return stamp
 
     def add_run(self, config: NetConfig, run_id: str, train_size: int, test_size: int) -> None:
         """One configuration row."""

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from runloom.functions import text
 from runloom.operators import dataset
@@ -80,8 +80,12 @@ def npz_sets(spark: SparkSession, pattern: str | Sequence[str]) -> DataFrame:
     Each archive is one binary row, decoded where it is read. Archives are meant to be
     small sets; store large ones as Parquet, which splits.
     """
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    rows = files.mapInArrow(_archive_rows, _ARCHIVE)
+    return archive_rows(spark.read.format("binaryFile").load(pattern))
+
+
+def archive_rows(files: DataFrame) -> DataFrame:
+    """Decode (path, content) rows of archives."""
+    rows = files.select("path", "content").mapInArrow(_archive_rows, _ARCHIVE)
     return rows.select(text.base_name(F.col("path")).alias("set"), "row", "shape", "data", "target")
 
 
@@ -126,9 +130,13 @@ def libsvm_to_dataset(spark: SparkSession, path: str, channels: int, height: int
 
 def category_files(spark: SparkSession, root: str, lookup: dict[str, int] | None = None) -> DataFrame:
     """Files of ``root/<category>/<file>`` with their class index; unknown folders fail."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return with_category(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), lookup)
+
+
+def with_category(files: DataFrame, lookup: dict[str, int] | None = None) -> DataFrame:
+    """Class index of (path, content) rows from the folder name."""
     named = files.select("path", "content", F.element_at(F.split("path", "/"), -2).alias("category"))
-    known = spark.createDataFrame(sorted((lookup or CATEGORY_INDEX).items()), "name string, label int")
+    known = files.sparkSession.createDataFrame(sorted((lookup or CATEGORY_INDEX).items()), "name string, label int")
     return category_lookup(named, "category", known, "name", "label")
 
 
@@ -136,25 +144,32 @@ def category_dir_ingest(
     spark: SparkSession, root: str, channels: int, height: int, width: int, lookup: dict[str, int] | None = None, seed: int = 0
 ) -> DataFrame:
     """Raw byte images (y, x, channel) by class folder, as shuffled channel-first rows."""
-    decode = byte_decoder(channels, height, width, interleaved=True)
-    files = category_files(spark, root, lookup)
-    rows = files.select("path", "label", decode("content").alias("data"), F.xxhash64("path").alias("id"))
+    return category_images(category_files(spark, root, lookup), channels, height, width, seed)
+
+
+def category_images(files: DataFrame, channels: int, height: int, width: int, seed: int = 0) -> DataFrame:
+    """Decode and shuffle (path, content, label) rows."""
+    named = files.select("path", "label", F.xxhash64("path").alias("id"), "content")
+    rows = decode_images(named, "content", channels, height, width, interleaved=True)
     return dataset.shuffle(rows, seed, id_col="id").drop("id")
 
 
-def byte_decoder(
-    channels: int, height: int, width: int, interleaved: bool = False, scaled: bool = False, reverse: bool = False
-) -> Callable[[str], Column]:
-    """Raw unsigned bytes to channel-first doubles, a whole Arrow batch at a time.
+def decode_images(
+    df: DataFrame, content: str, channels: int, height: int, width: int,
+    interleaved: bool = False, scaled: bool = False, reverse: bool = False,
+) -> DataFrame:
+    """Replace a column of raw unsigned bytes by ``data``: channel-first doubles.
 
     ``interleaved`` input is (y, x, channel), otherwise (channel, y, x); ``reverse`` swaps the
-    channel order; ``scaled`` maps 0..255 to [-1, 1]. An image of another length fails.
+    channel order; ``scaled`` maps 0..255 to [-1, 1]. An image of another length fails. Whole
+    Arrow batches are decoded, in steps of bounded size.
     """
     count = channels * height * width
+    kept = [f for f in df.schema.fields if f.name != content]
+    schema = StructType([*kept, StructField("data", ArrayType(DoubleType()))])
+    step = max(1, ROWS_PER_BATCH_BYTES // (8 * count))
 
-    @F.arrow_udf(ArrayType(DoubleType()))
-    def decode(content: pa.Array) -> pa.Array:
-        raw = [c.as_buffer() for c in content]
+    def decode(raw: list[pa.Buffer]) -> pa.Array:
         wrong = [len(b) for b in raw if len(b) != count]
         if wrong:
             raise ValueError(f"expected {count} bytes, found {wrong[0]}")
@@ -166,7 +181,14 @@ def byte_decoder(
         flat = planes.reshape(len(raw), count).astype(np.float64)
         return as_lists(flat / 127.5 - 1.0 if scaled else flat)
 
-    return decode
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                data = decode([c.as_buffer() for c in part.column(content)])
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], data], names=schema.fieldNames())
+
+    return df.select(*[f.name for f in kept], content).mapInArrow(run, schema)
 
 
 def image_ingest(spark: SparkSession, pattern: str, height: int, width: int) -> DataFrame:
@@ -175,17 +197,22 @@ def image_ingest(spark: SparkSession, pattern: str, height: int, width: int) ->
     A grey stack holds its channels one below the other, so its rows are channel-first
     already. All files must agree on the number of channels.
     """
-    files = spark.read.format("binaryFile").load(pattern).select(text.base_name(F.col("path")).alias("name"), "content")
-    tagged = files.select("name", *text.image_name_parts(F.col("name")), "content")
+    return named_images(spark.read.format("binaryFile").load(pattern), height, width)
+
+
+def named_images(files: DataFrame, height: int, width: int) -> DataFrame:
+    """Decode (path, content) rows; see ``image_ingest``."""
+    named = files.select(text.base_name(F.col("path")).alias("name"), "content")
+    tagged = named.select("name", *text.image_name_parts(F.col("name")), "content")
     counts = [r["channel"] for r in tagged.select("channel").distinct().limit(2).collect()]
     if len(counts) != 1:
         raise ValueError(f"files disagree on the number of channels: {sorted(counts)}")
-    decode = byte_decoder(counts[0], height, width, scaled=True)
-    return tagged.select("name", "img", "channel", "category", decode("content").alias("data"))
+    return decode_images(tagged, "content", counts[0], height, width, scaled=True)
 
 
 def rgb_images(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
     """Encoded colour pictures through Spark's image source, scaled and channel-first (R, G, B)."""
     rows = spark.read.format("image").load(path).select("image.*")
-    decode = byte_decoder(3, height, width, interleaved=True, scaled=True, reverse=True)  # stored B, G, R
-    return rows.select(text.base_name(F.col("origin")).alias("name"), decode("data").alias("data"))
+    named = rows.select(text.base_name(F.col("origin")).alias("name"), F.col("data").alias("content"))
+    # Spark stores pixels as B, G, R.
+    return decode_images(named, "content", 3, height, width, interleaved=True, scaled=True, reverse=True)
