@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.operators.records import RUN_KEY, require_columns
+from runloom.operators.skew import salted_join
 
 
 def control_columns(meta: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> list[str]:
@@ -28,16 +29,16 @@ def control_dim(
 ) -> DataFrame:
     """Join run data with the studied variables, labelled by the combination of all others.
 
-    One lazy join for every combination. No hint is given: a small configuration table is
-    broadcast on its measured size, a larger one is joined by sort-merge, where the adaptive
-    skew join splits a run that holds much of the data.
+    One join for every combination. No hint is given: a small configuration table is
+    broadcast on its measured size, a larger one is shuffled, with salts for a run that holds
+    much of the data. ``meta`` has one row per key.
     """
     require_columns(meta, [*variables, *keys])
     require_columns(data, keys)
     fixed = control_columns(meta, variables, keys)
     left = meta.select(*keys, *[v for v in variables if v not in keys], control_key(fixed).alias(name))
     kept = [c for c in data.columns if c not in variables]
-    joined = left.join(data.select(*kept), list(keys))
+    joined = salted_join(data.select(*kept), left, keys)
     return joined.select(name, *variables, *[c for c in kept if c not in variables])
 
 
@@ -57,8 +58,11 @@ def control_catalogue(
 
 
 def join_input_output(outputs: DataFrame, inputs: DataFrame, keys: Sequence[str] = (RUN_KEY, "idx")) -> DataFrame:
-    """Inner join; input columns without the keys first, then the output columns."""
-    joined = inputs.join(outputs, list(keys))
+    """Inner join; input columns without the keys first, then the output columns.
+
+    Many outputs (one per epoch and batch) may share an input row, which is unique per key.
+    """
+    joined = salted_join(outputs, inputs, keys)
     return joined.select(*[c for c in inputs.columns if c not in keys], *outputs.columns)
 
 

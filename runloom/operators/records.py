@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.types import DataType, StringType
 
 from runloom.functions.text import STAMP_STRFTIME
-from runloom.operators.scans import key_in
+from runloom.operators.skew import salted_join
 
 RUN_KEY = "populate_time"
 
@@ -73,8 +73,9 @@ def without_last_runs(frames: dict[str, DataFrame], num_run: int = 1, key: str =
     keyed = [f for f in frames.values() if key in f.columns]
     if not keyed:
         return dict(frames)
-    gone = last_runs(keyed, num_run, key)
-    return {n: f.where(~key_in([key], gone)) if key in f.columns else f for n, f in frames.items()}
+    gone = [r[key] for r in last_runs(keyed, num_run, key)]
+    kept = ~F.coalesce(F.col(key).isin(gone), F.lit(False))
+    return {n: f.where(kept) if key in f.columns else f for n, f in frames.items()}
 
 
 def load_columns(df: DataFrame, columns: Sequence[str], size: int = -1, order_by: Sequence[str] | None = None) -> DataFrame:
@@ -103,11 +104,10 @@ def normalize_col(df: DataFrame, col: str, group_by: str) -> DataFrame:
     """Append ``<col>_norm`` = value / largest value of its group; NULL when that is 0.
 
     A window would sort every group in one task. The group maxima are combined map-side
-    and joined back: small ones broadcast, large ones leave a sort-merge join whose hot
-    keys the adaptive skew join splits. Group keys may be NULL.
+    and joined back, hot groups by salts. Group keys may be NULL.
     """
-    top = df.groupBy(F.col(group_by).alias("_g")).agg(F.max(col).alias("_top"))
-    joined = df.join(top, F.col(group_by).eqNullSafe(F.col("_g")), "left")
+    top = df.groupBy(group_by).agg(F.max(col).alias("_top"))
+    joined = salted_join(df, top, [group_by], "left", null_safe=True)
     return joined.select(*df.columns, F.try_divide(F.col(col), F.col("_top")).cast("double").alias(f"{col}_norm"))
 
 

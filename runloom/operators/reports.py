@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions import arrays
-from runloom.operators.scans import default_blocks, frequent_groups, row_index, running
+from runloom.operators.scans import row_index, running
+from runloom.operators.skew import default_share, hot_keys
 
 TOTAL = "TOTAL"
 
@@ -71,14 +72,14 @@ def best_checkpoint(costs: DataFrame, run: str, epoch: str, correct: str, cost:
     the lowest cost so far (``best_cost``). ``epoch`` must be unique within a run.
     """
     seen = {"best_before": ("max", F.col(correct))}
-    frequent = frequent_groups(costs, [run], default_blocks(costs.sparkSession))
-    out = running(costs, [run], [epoch], seen, inclusive=False, frequent=frequent)
+    hot = hot_keys(costs, [run], default_share(costs.sparkSession))
+    out = running(costs, [run], [epoch], seen, inclusive=False, hot=hot)
     before = F.coalesce(F.col("best_before").cast("double"), F.lit(0.0))
     out = out.withColumn("best_before", before)
     out = out.withColumn("is_checkpoint", F.coalesce(F.col(correct) > F.col("best_before"), F.lit(False)))
     out = out.withColumn("best_correct", F.greatest("best_before", F.col(correct)))
     if cost is not None:
-        out = running(out, [run], [epoch], {"best_cost": ("min", F.col(cost))}, frequent=frequent)
+        out = running(out, [run], [epoch], {"best_cost": ("min", F.col(cost))}, hot=hot)
     return out
 
 

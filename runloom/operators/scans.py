@@ -19,31 +19,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from runloom.operators.skew import HotKeys, default_share, hot_keys, is_hot
 
-MAX_BLOCKS = 32768
 # A value that covers this many quantiles is cut by its tie-break column.
 TIE_QUANTILES = 4
-# Groups below this size are no burden for one task, whatever their share.
-HOT_ROWS = 1_000_000
-# Up to this many hot groups are told apart by a condition, more by a broadcast join.
-LISTED_KEYS = 32
 _KEY, _TIE, _B1, _B2 = "_scan_key", "_scan_tie", "_scan_b1", "_scan_b2"
 _COMBINE = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
-def default_blocks(spark: SparkSession) -> int:
-    """Two blocks per shuffle partition, within fixed limits."""
-    return max(16, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS))
-
-
 def hash_blocks(hashed: Column, spark: SparkSession) -> Column:
     """The top bits of a 64-bit hash as a block number: evenly spread, in hash order."""
-    bits = math.ceil(math.log2(default_blocks(spark)))
+    bits = math.ceil(math.log2(default_share(spark)))
     return F.shiftright(hashed, 64 - bits).cast("int")
 
 
@@ -113,7 +103,7 @@ def row_index(
         if tie is None and len(order) == 2:
             tie = order[1]
         tie = None if tie is None else _as_column(tie)
-        blocked = with_blocks(df, order[0], tie, blocks or default_blocks(df.sparkSession))
+        blocked = with_blocks(df, order[0], tie, blocks or default_share(df.sparkSession))
     else:
         blocked = df.withColumn(_B1, block).withColumn(_B2, F.lit(0))
     keys = [*groups, _B1, _B2]
@@ -134,38 +124,6 @@ def row_index(
     )
 
 
-def frequent_groups(df: DataFrame, keys: Sequence[str], share: int, min_rows: int | None = None) -> list[Row]:
-    """Key values that hold more than 1/share of all rows, and more than ``min_rows``.
-
-    There are fewer than ``share`` of them, whatever the data. A table without enough rows
-    for one is recognised by its count alone.
-    """
-    total = df.count()
-    limit = max(total / share, HOT_ROWS if min_rows is None else min_rows)
-    if total <= limit:
-        return []
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > limit).collect()
-
-
-def key_in(keys: Sequence[str], rows: Sequence[Row]) -> Column:
-    """True for rows whose key is one of a short list."""
-    matches = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]) for r in rows]
-    return reduce(lambda a, b: a | b, matches) if matches else F.lit(False)
-
-
-def flagged(df: DataFrame, keys: Sequence[str], rows: Sequence[Row], name: str) -> DataFrame:
-    """Add a boolean column: is the key one of ``rows``?"""
-    if len(rows) <= LISTED_KEYS:
-        return df.withColumn(name, F.coalesce(key_in(keys, rows), F.lit(False)))
-    fields = [df.schema[k] for k in keys]
-    listed = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in rows], StructType(fields))
-    listed = F.broadcast(listed.select(*[F.col(k).alias(f"_l_{k}") for k in keys], F.lit(True).alias("_listed")))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
-    found = df.join(listed, same, "left")
-    return found.select(*df.columns, F.coalesce("_listed", F.lit(False)).alias(name))
-
-
 def _merge(kind: str, carried: Column, inner: Column) -> Column:
     if kind == "max":
         return F.greatest(carried, inner)
@@ -181,31 +139,31 @@ def running(
     outputs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     share: int | None = None,
-    frequent: Sequence[Row] | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Running max, min or sum inside each group, in a total order within the group.
 
     ``outputs`` maps a new column to (kind, expression). With ``inclusive=False`` a
     row sees the rows before it only. Ordinary groups take one window; groups holding
     more than 1/share of all rows are cut into blocks so that no task gets them whole.
-    ``frequent`` passes those groups on when they are known already.
+    ``hot`` passes those groups on when they are known already.
     """
     order = [_as_column(c) for c in order_by]
-    share = share or default_blocks(df.sparkSession)
-    if frequent is None:
-        frequent = frequent_groups(df, group_by, share)
+    share = share or default_share(df.sparkSession)
+    if hot is None:
+        hot = hot_keys(df, group_by, share)
     last = 0 if inclusive else -1
 
     def scan(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return frame.select("*", *[_COMBINE[k](e).over(window).alias(n) for n, (k, e) in outputs.items()])
 
-    if not frequent:
+    if not hot:
         return scan(df, group_by)
 
     large = F.col("_scan_hot")
     tie = order[1] if len(order) == 2 else None
-    blocked = with_blocks(flagged(df, group_by, frequent, "_scan_hot"), order[0], tie, share)
+    blocked = with_blocks(df.withColumn("_scan_hot", is_hot(group_by, hot)), order[0], tie, share)
     blocked = blocked.withColumn(_B1, F.when(large, F.col(_B1)).otherwise(0)).withColumn(
         _B2, F.when(large, F.col(_B2)).otherwise(0)
     )

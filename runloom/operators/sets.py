@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from runloom.operators.skew import salted_join
+
 
 def union_distinct(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, frames).distinct()
@@ -19,12 +21,12 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def keep_matching(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows with a match. Keys of ``right`` are made distinct first, so a hot one travels once."""
-    return left.join(right.select(*on).distinct(), list(on), "left_semi")
+    return salted_join(left, right.select(*on).distinct(), on, "left_semi")
 
 
 def drop_matching(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows without a match."""
-    return left.join(right.select(*on).distinct(), list(on), "left_anti")
+    return salted_join(left, right.select(*on).distinct(), on, "left_anti")
 
 
 def row_differences(a: DataFrame, b: DataFrame) -> DataFrame:

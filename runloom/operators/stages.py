@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from runloom.operators.scans import default_blocks, flagged, frequent_groups, running
+from runloom.operators.scans import running
+from runloom.operators.skew import default_share, hot_keys, is_hot
 from runloom.session import cut_lineage
 
 # The metric columns of a stage row, in their stored order.
@@ -50,20 +51,19 @@ def exact_median(
     The counts are checkpointed, as they are read several times.
     """
     counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    share = share or default_blocks(df.sparkSession)
-    hot = frequent_groups(counted, keys, share, min_rows)
+    share = share or default_share(df.sparkSession)
+    hot = hot_keys(counted, keys, share, min_rows)
     group = Window.partitionBy(*keys)
     upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_upto")
     total = F.sum("_n").over(group).alias("_total")
     if not hot:
         placed = counted.select("*", upto, total)
     else:
-        split = flagged(counted, keys, hot, "_hot")
-        large, rest = split.where("_hot").drop("_hot"), split.where(~F.col("_hot")).drop("_hot")
+        large, rest = counted.where(is_hot(keys, hot)), counted.where(~is_hot(keys, hot))
         totals = large.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.sum("_n").alias("_total"))
         same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        scanned = running(large, keys, [value], {"_upto": ("sum", F.col("_n"))}, share=share, frequent=hot)
-        whole = scanned.join(F.broadcast(totals), same)  # fewer than ``share`` rows
+        scanned = running(large, keys, [value], {"_upto": ("sum", F.col("_n"))}, share=share, hot=hot)
+        whole = scanned.join(F.broadcast(totals), same)  # one row per hot group
         columns = [*counted.columns, "_upto", "_total"]
         placed = rest.select("*", upto, total).select(*columns).unionByName(whole.select(*columns))
     low = F.floor((F.col("_total") + 1) / 2)

@@ -15,6 +15,7 @@ from runloom.plans.network import Network, NetConfig, ann_bias, ann_weights
 from runloom.session import cut_lineage
 
 SLICE_BYTES = 64 << 20
+WEIGHT_TABLE_BYTES = 64 << 20
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:
@@ -128,14 +129,20 @@ def network_target(df: DataFrame, inputs: Sequence[str], structure: Sequence[int
 
 
 def weight_rows(net: Network, layer: int, spark) -> tuple[DataFrame, DataFrame]:
-    """Weights and bias of one layer as long tables, for the join form."""
+    """Weights and bias of one layer as long tables, for the join form.
+
+    Kernels have few different keys, so their tables must not be shuffled against the data:
+    tables up to ``WEIGHT_TABLE_BYTES`` are broadcast. Only dense layers, whose keys are as
+    many as their inputs, grow beyond.
+    """
     w, b = net.weights[layer], net.biases[layer]
     index = np.indices(w.shape).reshape(w.ndim, -1)
     axes = ("k", "j") if w.ndim == 2 else ("c", "e", "ky", "kx")
     columns = {a: pa.array(i.astype(np.int32)) for a, i in zip(axes, index)}
     weights = spark.createDataFrame(pa.table({**columns, "w": pa.array(w.reshape(-1))}))
     bias = spark.createDataFrame(pa.table({axes[1]: pa.array(np.arange(len(b), dtype=np.int32)), "b": pa.array(b)}))
-    return weights, bias
+    small = lambda df, rows: F.broadcast(df) if 24 * rows <= WEIGHT_TABLE_BYTES else df
+    return small(weights, w.size), small(bias, b.size)
 
 
 def relational_forward(cells: DataFrame, net: Network) -> DataFrame:

@@ -4,9 +4,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.operators import dataset, scans, stages
+from runloom.operators import dataset, skew, stages
 from runloom.operators.reports import best_checkpoint
-from runloom.operators.scans import frequent_groups, row_index, running
+from runloom.operators.scans import row_index, running
 
 
 @pytest.fixture(scope="module")
@@ -64,19 +64,19 @@ def test_partition_count_does_not_matter(skewed, partitions):
     assert [r["id"] for r in other.collect()] != first
 
 
-def test_frequent_groups(skewed):
+def test_hot_keys(skewed):
     frame, _ = skewed
-    assert [r["g"] for r in frequent_groups(frame, ["g"], 16, min_rows=0)] == [7]
-    assert frequent_groups(frame, ["g"], 16) == []  # too few rows to matter
-    assert frequent_groups(frame.limit(0), ["g"], 16, min_rows=0) == []
+    hot = skew.hot_keys(frame, ["g"], 16, min_rows=0)
+    assert [r["g"] for r in frame.where(skew.is_hot(["g"], hot)).select("g").distinct().collect()] == [7]
+    assert list(hot.counts.values())[0] >= 3000
+    assert skew.hot_keys(frame, ["g"], 16).counts == {}  # too few rows to matter
+    assert skew.hot_keys(frame.limit(0), ["g"], 16, min_rows=0).counts == {}
 
 
 @pytest.mark.parametrize("share", [1, 16, 64])
 @pytest.mark.parametrize("inclusive", [True, False])
-@pytest.mark.parametrize("listed", [32, 0])
-def test_running_in_hot_groups(skewed, monkeypatch, share, inclusive, listed):
-    monkeypatch.setattr(scans, "HOT_ROWS", 0)
-    monkeypatch.setattr(scans, "LISTED_KEYS", listed)
+def test_running_in_hot_groups(skewed, monkeypatch, share, inclusive):
+    monkeypatch.setattr(skew, "HOT_ROWS", 0)
     frame, df = skewed
     outputs = {"m": ("max", F.col("p")), "lo": ("min", F.col("p")), "n": ("sum", F.lit(1))}
     got = running(frame, ["g"], ["id"], outputs, inclusive, share=share).toPandas().sort_values("id")
