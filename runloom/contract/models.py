@@ -11,7 +11,6 @@ from runloom.contract.base import (
     CONV_OUT,
     FLAT,
     PIXELS,
-    POOL,
     SCORED,
     W0,
     conv_net,
@@ -29,7 +28,7 @@ from runloom.operators.scans import row_index
 from runloom.plans import gradients
 from runloom.plans.checkpoints import load_model, save_model
 from runloom.plans.score import evaluate, evaluate_details, predict, relational_forward, score, weight_rows
-from runloom.plans.training import fit
+from runloom.plans.training import fit, fit_many
 from runloom.session import cut_lineage, shared_path
 
 
@@ -390,57 +389,129 @@ def _(spark, sf):
 # -- training ------------------------------------------------------------------------------------
 
 STEPS, ALPHA, MOMENTUM = 3, 2.0, 0.9
+COSTS = ("cost_batch", "correct_batch", "cost_val", "correct_val")
 
 
-def _steps_sql() -> str:
-    """Whole-set momentum steps from the closed-form weights, one chain of views per step."""
-    parts = [
-        f"px AS ({PIXELS})",
-        "n AS (SELECT count(*) AS n FROM embeddings)",
-        f"w0 AS (SELECT k, j, {W0} AS w, 0.0::DOUBLE AS m FROM range(64) a(k), range(10) b(j))",
-        f"b0 AS (SELECT j, {B0} AS b, 0.0::DOUBLE AS m FROM range(10) r(j))",
+def _training_views(run: str, alpha: float, momentum: float, epochs: int, batches: int, restarts: bool = False) -> list[str]:
+    """Momentum steps over contiguous batches in SQL, a few views per step.
+
+    Views of a run share its prefix; ``{run}w{t}`` are the weights before step t, and
+    ``{run}v{e}`` the whole-set metrics after epoch e. ``restarts`` forgets momentum per epoch.
+    """
+    views = [
+        f"{run}w0 AS MATERIALIZED (SELECT k, j, {W0} AS w, 0.0::DOUBLE AS m FROM range(64) a(k), range(10) b(j))",
+        f"{run}b0 AS MATERIALIZED (SELECT j, {B0} AS b, 0.0::DOUBLE AS m FROM range(10) r(j))",
     ]
-    for s in range(STEPS + 1):
-        parts += [
-            f"z{s} AS (SELECT id, label, px_w.j AS j, s + b AS z FROM (SELECT id, label, j, sum(v * w) AS s FROM px JOIN w{s} USING (k) GROUP BY id, label, j) px_w JOIN b{s} USING (j))",
-            f"y{s} AS (SELECT id, label, j, exp(least(z, 400)) / sum(exp(least(z, 400))) OVER (PARTITION BY id) AS y FROM z{s})",
-            f"c{s} AS (SELECT avg(-ln(y + 1e-30)) AS cost FROM y{s} WHERE j = label)",
-            f"a{s} AS (SELECT avg(CAST(j = label AS INTEGER)) AS correct FROM (SELECT * FROM y{s} QUALIFY row_number() OVER (PARTITION BY id ORDER BY y DESC, j) = 1))",
-            f"d{s} AS (SELECT id, j, (y - CASE WHEN j = label THEN 1 ELSE 0 END) / n AS d FROM y{s}, n)",
-            f"mw{s + 1} AS (SELECT k, j, w, {MOMENTUM} * m + g AS m FROM (SELECT k, j, sum(v * d) AS g FROM px JOIN d{s} USING (id) GROUP BY k, j) JOIN w{s} USING (k, j))",
-            f"w{s + 1} AS (SELECT k, j, w - {ALPHA} * m AS w, m FROM mw{s + 1})",
-            f"mb{s + 1} AS (SELECT j, b, {MOMENTUM} * m + g AS m FROM (SELECT j, sum(d) AS g FROM d{s} GROUP BY j) JOIN b{s} USING (j))",
-            f"b{s + 1} AS (SELECT j, b - {ALPHA} * m AS b, m FROM mb{s + 1})",
+
+    def outputs(name: str, t: int, where: str) -> list[str]:
+        return [
+            f"""{name} AS MATERIALIZED (SELECT id, label, j, exp(least(z, 400)) / sum(exp(least(z, 400))) OVER (PARTITION BY id) AS y FROM (
+  SELECT id, label, s.j AS j, s + b AS z FROM (SELECT id, label, j, sum(v * w) AS s FROM px JOIN {run}w{t} USING (k) WHERE {where} GROUP BY id, label, j) s
+  JOIN {run}b{t} USING (j)))""",
+            f"""{name}m AS MATERIALIZED (SELECT (SELECT avg(-ln(y + 1e-30)) FROM {name} WHERE j = label) AS cost, avg(CAST(j = label AS INTEGER)) AS correct
+FROM (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY y DESC, j) = 1))""",
         ]
-    return "WITH " + ",\n".join(parts)
+
+    for t in range(epochs * batches):
+        keep = 0.0 if restarts and t % batches == 0 else momentum
+        views += outputs(f"{run}y{t}", t, f"batch = {t % batches}")
+        views += [
+            f"{run}d{t} AS MATERIALIZED (SELECT id, j, (y - CASE WHEN j = label THEN 1 ELSE 0 END) / (SELECT count(DISTINCT id) FROM {run}y{t}) AS d FROM {run}y{t})",
+            f"""{run}w{t + 1} AS MATERIALIZED (SELECT k, j, w - {alpha} * ({keep} * m + g) AS w, {keep} * m + g AS m
+  FROM (SELECT k, j, sum(v * d) AS g FROM px JOIN {run}d{t} USING (id) GROUP BY k, j) JOIN {run}w{t} USING (k, j))""",
+            f"""{run}b{t + 1} AS MATERIALIZED (SELECT j, b - {alpha} * ({keep} * m + g) AS b, {keep} * m + g AS m
+  FROM (SELECT j, sum(d) AS g FROM {run}d{t} GROUP BY j) JOIN {run}b{t} USING (j))""",
+        ]
+        if (t + 1) % batches == 0:
+            views += outputs(f"{run}v{t // batches}", t + 1, "true")
+    return views
+
+
+def _batches_sql(batches: int) -> str:
+    return f"""WITH ids AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // ((count(*) OVER () + {batches - 1}) // {batches}) AS batch FROM embeddings),
+px AS MATERIALIZED (SELECT p.*, batch FROM ({PIXELS}) p JOIN ids ON vec_id = id)"""
+
+
+def _costs_sql(run: str, epochs: int, batches: int, lead: str = "") -> str:
+    """The per-epoch cost rows of a run."""
+    rows = []
+    for e in range(epochs):
+        steps = [f"{run}y{t}m" for t in range(e * batches, (e + 1) * batches)]
+        mean = lambda c: f"round(({' + '.join(f'(SELECT {c} FROM {s})' for s in steps)}) / {batches}, 6)"
+        rows.append(
+            f"SELECT {lead}{e + 1} AS epoch_num, {(e + 1) * batches} AS batch_num, {mean('cost')} AS cost_batch, {mean('correct')} AS correct_batch, "
+            f"round(cost, 6) AS cost_val, round(correct, 6) AS correct_val FROM {run}v{e}m"
+        )
+    return " UNION ALL ".join(rows)
+
+
+def _training_sql(runs: dict[str, tuple], tail: str) -> str:
+    """``runs`` maps a prefix to (alpha, momentum, epochs, batches[, restarts])."""
+    batches = next(iter(runs.values()))[3]
+    views = [v for run, options in runs.items() for v in _training_views(run, *options)]
+    return ",\n".join([_batches_sql(batches), *views]) + "\n" + tail
 
 
-def _trained(spark, sf, **options):
+def _in_order(data: DataFrame, batches: int, **conf):
+    """A network and configuration that take ``data`` in stored order, in so many batches."""
+    return flat_net(batch=-(-data.count() // batches), shuffle=False, **conf)
+
+
+def _trained(spark, sf, batches: int, epochs: int):
     data = images(spark, sf)
-    conf = {"epoch": STEPS, "batch": data.count(), "alpha": ALPHA, "momentum": MOMENTUM, "shuffle": False}
-    net = flat_net(**conf)
-    return fit(data, data, None, net.config, start=net, **options)
+    net = _in_order(data, batches, epoch=epochs, alpha=ALPHA, momentum=MOMENTUM)
+    return fit(data, data, None, net.config, start=net)
+
+
+WHOLE = {"r": (ALPHA, MOMENTUM, STEPS, 1)}
+
+
+@query("n11_fit_whole_set", _training_sql(WHOLE, _costs_sql("r", STEPS, 1)))
+def _(spark, sf):
+    return rounded(spark.createDataFrame(_trained(spark, sf, 1, STEPS).cost_rows), *COSTS)
+
+
+@query("n10_sgd_weights", _training_sql(WHOLE, f"SELECT k, j, round(w, 7) + 0.0::DOUBLE AS w FROM rw{STEPS}"))
+def _(spark, sf):
+    weights, _ = weight_rows(_trained(spark, sf, 1, STEPS).network, 0, spark)
+    return rounded(weights, "w", digits=7)
+
+
+@query("n11_fit_in_order", _training_sql({"r": (ALPHA, MOMENTUM, 2, 4)}, _costs_sql("r", 2, 4)))
+def _(spark, sf):
+    return rounded(spark.createDataFrame(_trained(spark, sf, 4, 2).cost_rows), *COSTS)
+
+
+@query("n13_resume", _training_sql({"r": (ALPHA, MOMENTUM, 2, 3, True)}, _costs_sql("r", 2, 3)))
+def _(spark, sf):
+    """One epoch, save, load, one more: counters go on, momentum starts anew."""
+    data, path = images(spark, sf), shared_path(spark, "model")
+    net = _in_order(data, 3, epoch=1, alpha=ALPHA, momentum=MOMENTUM)
+    first = fit(data, data, None, net.config, start=net, run_id="first")
+    save_model(spark, first.network, path, "first")
+    second = fit(data, data, None, net.config, start=load_model(spark, path, "first", net.config), run_id="second")
+    return rounded(spark.createDataFrame(first.cost_rows + second.cost_rows), *COSTS)
+
+
+SWEEP = [(0.5, 0.0), (0.5, 0.9), (2.0, 0.0)]
 
 
 @query(
-    "n11_fit_whole_set",
-    _steps_sql()
-    + "\n"
-    + " UNION ALL ".join(
-        f"SELECT {s + 1} AS epoch_num, {s + 1} AS batch_num, round(c{s}.cost, 6) AS cost_batch, round(a{s}.correct, 6) AS correct_batch, "
-        f"round(c{s + 1}.cost, 6) AS cost_val, round(a{s + 1}.correct, 6) AS correct_val FROM c{s}, a{s}, c{s + 1}, a{s + 1}"
-        for s in range(STEPS)
+    "n14_sweep_in_order",
+    _training_sql(
+        {f"r{i}": (a, m, 1, 2) for i, (a, m) in enumerate(SWEEP)},
+        " UNION ALL ".join(_costs_sql(f"r{i}", 1, 2, f"{i} AS config_id, ") for i in range(len(SWEEP))),
     ),
 )
 def _(spark, sf):
-    rows = spark.createDataFrame(_trained(spark, sf).cost_rows)
-    return rounded(rows, "cost_batch", "correct_batch", "cost_val", "correct_val")
+    data = images(spark, sf)
+    nets = {i: _in_order(data, 2, epoch=1, alpha=a, momentum=m) for i, (a, m) in enumerate(SWEEP)}
+    return rounded(_sweep_rows(spark, data, nets), *COSTS)
 
 
-@query("n10_sgd_weights", _steps_sql() + f"\nSELECT k, j, round(w, 7) AS w FROM w{STEPS}")
-def _(spark, sf):
-    weights, _ = weight_rows(_trained(spark, sf).network, 0, spark)
-    return rounded(weights, "w", digits=7)
+def _sweep_rows(spark, data: DataFrame, nets: dict) -> DataFrame:
+    runs = fit_many(data, data, None, {i: n.config for i, n in nets.items()}, start=nets)
+    return spark.createDataFrame([{"config_id": i, **row} for i, run in runs.items() for row in run.cost_rows])
 
 
 @query("n11_fit_mini_batches")
@@ -452,9 +523,5 @@ def _(spark, sf):
 
 @query("n14_sweep")
 def _(spark, sf):
-    from runloom.plans.training import fit_many
-
-    data = images(spark, sf)
-    nets = {i: flat_net(epoch=2, batch=250, alpha=a, momentum=m) for i, (a, m) in enumerate([(0.5, 0.0), (0.5, 0.9), (2.0, 0.0)])}
-    runs = fit_many(data, data, None, {i: n.config for i, n in nets.items()}, start=nets)
-    return spark.createDataFrame([{"config_id": i, **row} for i, run in runs.items() for row in run.cost_rows])
+    nets = {i: flat_net(epoch=2, batch=250, alpha=a, momentum=m) for i, (a, m) in enumerate(SWEEP)}
+    return _sweep_rows(spark, images(spark, sf), nets)

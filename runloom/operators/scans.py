@@ -118,7 +118,7 @@ def row_index(
         # One row per block and group value, so its size is bounded by the block count.
         carry = F.broadcast(carry)
     return (
-        blocked.join(carry, keys)
+        blocked.join(carry, keys, "left")
         .withColumn(name, F.col("_carry") + F.row_number().over(inside) + F.lit(start - 1))
         .drop(_B1, _B2, "_carry")
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType, VariantType
 
 MAX_SHARE = 32768
 # Keys below this size are no burden for one task, whatever their share.
@@ -88,7 +89,8 @@ def salted_join(
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) if null_safe else F.col(k) == F.col(f"_r_{k}") for k in on]
     rest = [c for c in right.columns if c not in on]
     if hot:
-        salt = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), _salts(key_hash(on), hot))
+        hashed = F.xxhash64(*[f.name for f in left.schema.fields if not isinstance(f.dataType, (MapType, VariantType))])
+        salt = F.pmod(hashed + F.spark_partition_id(), _salts(key_hash(on), hot))
         left_columns, left = left.columns, left.withColumn("_salt", salt)
         repeat = F.sequence(F.lit(0), _salts(key_hash(on, left), hot) - 1)
         right = right.withColumn("_r_salt", F.explode(repeat))

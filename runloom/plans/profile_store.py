@@ -60,7 +60,7 @@ class ProfileStore:
 
     def __init__(self, spark: SparkSession, root: str, database: str = "profiles"):
         self.spark, self.root, self.database = spark, root.rstrip("/"), database
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{self.root}'")
 
     # -- catalog -----------------------------------------------------------------
 

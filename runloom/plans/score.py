@@ -107,9 +107,11 @@ def evaluate_details(
 ) -> tuple[DataFrame, DataFrame]:
     """(ranked probability rows, misclassified images).
 
-    Scores are checkpointed once, as the ranking and the images read them several times.
+    Scores are checkpointed once, as the ranking and the images read them several times;
+    images are kept for wrong rows only, so the checkpoint stays far smaller than the data.
     """
-    scored = cut_lineage(score(df, net, id_col, data, target, data=data, target=target))
+    scored = score(df, net, id_col, data, target, data=data, target=target).drop("cost")
+    scored = cut_lineage(scored.withColumn(data, F.when(F.col("correct") == 0, F.col(data))))
     detail = reports.evaluation_detail(scored, net.config.network[-1].num_channels, set_name, id_col)
     one_hot = isinstance(scored.schema[target].dataType, ArrayType)
     label = arrays.argmax(F.col(target)) if one_hot else F.col(target)

@@ -137,7 +137,8 @@ def with_category(files: DataFrame, lookup: dict[str, int] | None = None) -> Dat
     """Class index of (path, content) rows from the folder name."""
     named = files.select("path", "content", F.element_at(F.split("path", "/"), -2).alias("category"))
     known = files.sparkSession.createDataFrame(sorted((lookup or CATEGORY_INDEX).items()), "name string, label int")
-    return category_lookup(named, "category", known, "name", "label")
+    # A dictionary held by the caller: broadcasting it keeps file contents from being shuffled.
+    return category_lookup(named, "category", F.broadcast(known), "name", "label")
 
 
 def category_dir_ingest(

@@ -29,7 +29,8 @@ def mirror(
     """Copy what was added since the last call, then stop.
 
     The checkpoint in ``state`` remembers the files already copied, so a table that did not
-    change costs a listing only, and a failed copy is repeated without doubling rows.
+    change costs a listing only, and a failed copy is repeated without doubling rows. Deleted
+    runs stay in the mirror; start a new one to leave them out.
     """
     writer = _source(spark, path, schema, pattern, files_per_trigger).writeStream.format("parquet")
     if partition_by is not None:

@@ -12,6 +12,7 @@ from runloom.plans.kernels import ACTIVATIONS, Dense
 from runloom.plans.network import Layer, NetConfig, Network
 from runloom.plans.profile_store import ProfileStore
 from runloom.plans.score import evaluate, evaluate_details, predict, relational_forward, score
+from runloom.plans.sweeps import configurations, sweep_table
 from runloom.plans.training import fit, fit_many, sgd_step, zero_velocity
 
 
@@ -235,6 +236,21 @@ def test_sweep_equals_single_runs(spark):
             assert ours == pytest.approx(theirs)
 
 
+def test_sweep_table(spark):
+    base = config(fc("FC_LIN", 1, 0.1), image=4, cost="SQR", epoch=1)
+    sets_ = spark.createDataFrame([("sine",)], "data string")
+    table = sweep_table(sets_, [0.1, 0.2], [0.9], [4, 8], ["5sig-1lin", "3sig-2sig-1lin"])
+    confs = configurations(table, base)
+    assert len(confs) == 8
+    row, conf = confs[0]
+    assert (row["data"], conf.alpha, conf.momentum, conf.batch) == ("sine", 0.1, 0.9, 4)
+    assert conf.structure() == "4FC_LIN-3FC_SIG-2FC_SIG-1FC_LIN"
+    x, _ = sample(conf, rows=8)
+    df = spark.createDataFrame([(i, [float(v) for v in r], [float(r.sum())]) for i, r in enumerate(x)], "id long, data array<double>, target array<double>")
+    runs = fit_many(df, df, None, {i: c for i, (_, c) in enumerate(confs)}, target="target")
+    assert len(runs) == 8 and all(r.cost_rows[0]["correct_val"] == 0.0 for r in runs.values())
+
+
 def test_layer_types_can_be_added(spark, monkeypatch):
     monkeypatch.setitem(ACTIVATIONS, "FC_CUBE", Dense(lambda z: z**3, lambda y: 3 * np.abs(y) ** (2 / 3)))
     conf = config(fc("FC_CUBE", 2), image=2, cost="SQR")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.operators import dataset
+from runloom.plans.profile_store import ProfileStore
 from runloom.sources import event_log, sets
 from runloom.streaming.mirror import mirror, running_best
 
@@ -201,3 +202,16 @@ def test_mirror_copies_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(target).count() == 12
     best = running_best(spark, source, schema, str(tmp_path / "best"))
     assert {r["run"]: r["best"] for r in best.collect()} == {"0": 10.0, "1": 11.0}
+
+
+def test_mirror_of_the_profile_store(spark, tmp_path):
+    """Runs are partitions of the source and of the copy."""
+    store = ProfileStore(spark, str(tmp_path / "store"), "db_mirror")
+    row = {"epoch_num": 1, "batch_num": 2, "cost_batch": 0.1, "correct_batch": 0.2, "cost_val": 0.3, "correct_val": 0.4}
+    target, state = str(tmp_path / "copy"), str(tmp_path / "state")
+    for day in (1, 2):
+        store.add_costs(f"2024.01.0{day}-00.00.00", [row])
+        schema = store.read("profile_cost_ann").schema
+        mirror(spark, f"{store.root}/profile_cost_ann", schema, target, state, partition_by="populate_time")
+        copied = spark.read.parquet(target)
+        assert copied.count() == day and copied.select("populate_time").distinct().count() == day
