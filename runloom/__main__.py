@@ -49,6 +49,8 @@ def open_store(spark: SparkSession, path: str) -> ProfileStore:
     store = ProfileStore(spark, path)
     for name, schema in TABLES.items():
         store.open(name, schema)
+    for name in ("input_data_ann", "output_data_ann"):
+        store.open_stored(name)
     return store
 
 
@@ -98,9 +100,11 @@ def evaluate(spark: SparkSession, args) -> None:
 def analyze(spark: SparkSession, args) -> None:
     """Join run data with the studied variables, one output folder per fixed combination."""
     store = open_store(spark, args.store)
-    joined = control.control_dim(store.read("meta_ann"), store.read(args.table), *args.variables)
-    write_parts(joined, args.out, "control_key")
-    control.control_catalogue(store.read("meta_ann"), store.read(args.table), *args.variables).show(1000, truncate=False)
+    meta, data = store.read("meta_ann"), store.read(args.table)
+    if args.table == "output_data_ann":
+        data = control.join_input_output(data, store.read("input_data_ann"))
+    write_parts(control.control_dim(meta, data, *args.variables), args.out, "control_key")
+    control.control_catalogue(meta, data, *args.variables).show(1000, truncate=False)
 
 
 def stages(spark: SparkSession, args) -> None:

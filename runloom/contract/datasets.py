@@ -363,6 +363,21 @@ def _(spark, sf):
     return rounded(made.drop("c"), "low", "mean")
 
 
+@query(
+    "x2_window_function",
+    f"""WITH cell AS ({CELLS})
+SELECT id, i * 4 + j AS k, round(max(abs(v)) - min(abs(v)), 6) AS v FROM cell, range(4) c(i), range(4) d(j)
+WHERE y // 2 = i AND x // 2 = j GROUP BY id, i, d.j""",
+)
+def _(spark, sf):
+    """A function no built-in layer has: the spread of magnitudes in each window."""
+    from runloom.plans.score import map_windows
+
+    spread = lambda w: abs(w).max(axis=(4, 5)) - abs(w).min(axis=(4, 5))
+    made = map_windows(images(spark, sf), spread, "id", image=(1, 8, 8), kernel=2, stride=2)
+    return rounded(_elements(made, "y", "id"), "v")
+
+
 # -- runs and epochs ----------------------------------------------------------------
 
 TURNS = "SELECT conv_id AS run, turn AS epoch, length(text) / 1000 AS metric FROM conversations"

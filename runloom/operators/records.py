@@ -34,6 +34,11 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"no such column(s): {missing}; have {df.columns}")
 
 
+def require_new_column(df: DataFrame, name: str) -> None:
+    if name in df.columns:
+        raise ValueError(f"column {name!r} is there already")
+
+
 def require_same_schema(have: DataFrame, add: DataFrame) -> None:
     """Names and types must agree in order; nullability may differ."""
     shape = lambda d: [(f.name, f.dataType.simpleString()) for f in d.schema.fields]
@@ -92,6 +97,7 @@ def add_col(
     ``f`` gets Columns and returns a Column; pass a pandas UDF for plain Python work.
     """
     require_columns(df, dependencies)
+    require_new_column(df, name)
     return df.withColumn(name, f(*[F.col(d) for d in dependencies]).cast(dtype))
 
 
@@ -106,6 +112,7 @@ def normalize_col(df: DataFrame, col: str, group_by: str) -> DataFrame:
     A window would sort every group in one task. The group maxima are combined map-side
     and joined back, hot groups by salts. Group keys may be NULL.
     """
+    require_new_column(df, f"{col}_norm")
     top = df.groupBy(group_by).agg(F.max(col).alias("_top"))
     joined = salted_join(df, top, [group_by], "left", null_safe=True)
     return joined.select(*df.columns, F.try_divide(F.col(col), F.col("_top")).cast("double").alias(f"{col}_norm"))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -101,6 +102,15 @@ class ProfileStore:
         )
         self.spark.catalog.recoverPartitions(self._name(table))
 
+    def open_stored(self, table: str) -> bool:
+        """Register a table whose columns only its files know; False when there is none yet."""
+        try:
+            stored = self.spark.read.parquet(f"{self.root}/{table}")
+        except AnalysisException:
+            return False
+        self.open(table, StructType([f for f in stored.schema.fields if f.name != RUN_KEY]))
+        return True
+
     # -- append ------------------------------------------------------------------
 
     def append(self, table: str, rows: DataFrame, constants: dict[str, Any] | None = None, run_id: str | None = None) -> str:
@@ -196,8 +206,15 @@ class ProfileStore:
         return sorted(stamps)
 
     def _replace(self, table: str, df: DataFrame) -> None:
-        """Rewrite a table whose columns change, from a checkpoint of its new rows."""
-        body = cut_lineage(df)
+        """Rewrite a table whose columns change.
+
+        The new rows are written beside the table first; should the rewrite fail half-way,
+        they are complete there.
+        """
+        beside = f"{self.root}/_rewrite/{table}"
+        df.write.mode("overwrite").partitionBy(RUN_KEY).parquet(beside)
+        columns = StructType([*[f for f in df.schema.fields if f.name != RUN_KEY], StructField(RUN_KEY, StringType())])
+        body = self.spark.read.schema(columns).parquet(beside)
         self.spark.sql(f"DROP TABLE {self._name(table)}")
         body.write.mode("overwrite").partitionBy(RUN_KEY).parquet(f"{self.root}/{table}")
         self.open(table, body.drop(RUN_KEY).schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from runloom.functions import arrays, neural
 from runloom.operators import reports, sliding
+from runloom.plans.kernels import windows
 from runloom.plans.network import Network, NetConfig, ann_bias, ann_weights
 from runloom.session import cut_lineage
 
@@ -48,13 +49,21 @@ def slices(rows: int, row_bytes: int) -> Iterator[slice]:
 
 
 def score(
-    df: DataFrame, net: Network, *keep: str, data: str = "data", target: str | None = None, with_y: bool = True
+    df: DataFrame,
+    net: Network,
+    *keep: str,
+    data: str = "data",
+    target: str | None = None,
+    with_y: bool = True,
+    keep_if_wrong: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``predicted`` and ``y``, and with a target also ``cost`` and ``correct`` (0/1).
 
     ``target`` is an integer label or a target array column. Only the kept, data and target
-    columns are read. The network is broadcast once; rows stay in their partitions.
+    columns are read; columns in ``keep_if_wrong`` come back for misclassified rows only and
+    are NULL elsewhere. The network is broadcast once; rows stay in their partitions.
     """
+    keep = (*keep, *keep_if_wrong)
     shipped = Network.ship(df.sparkSession, {0: net})
     needed = list(dict.fromkeys([*keep, data, *([target] if target else [])]))
     source = df.select(*needed)
@@ -75,13 +84,18 @@ def score(
             y = np.concatenate([model.forward(x[s])[-1] for s in slices(len(x), model.config.row_bytes())])
             y = y.reshape(len(x), -1)
             best = y.argmax(axis=1)
-            columns = [batch.column(k) for k in keep] + [pa.array(best.astype(np.int32))]
+            added = [pa.array(best.astype(np.int32))]
             if with_y:
-                columns.append(as_lists(y))
+                added.append(as_lists(y))
+            kept = {k: batch.column(k) for k in keep}
             if target:
                 t = as_targets(batch.column(target), y.shape[1])
-                columns.append(pa.array(model.row_cost(y, t)))
-                columns.append(pa.array((t.argmax(axis=1) == best).astype(np.int32)))
+                correct = t.argmax(axis=1) == best
+                added.append(pa.array(model.row_cost(y, t)))
+                added.append(pa.array(correct.astype(np.int32)))
+                for k in keep_if_wrong:
+                    kept[k] = kept[k].take(pa.array(np.arange(len(x)), mask=correct))
+            columns = [*kept.values(), *added]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)
@@ -110,8 +124,8 @@ def evaluate_details(
     Scores are checkpointed once, as the ranking and the images read them several times;
     images are kept for wrong rows only, so the checkpoint stays far smaller than the data.
     """
-    scored = score(df, net, id_col, data, target, data=data, target=target).drop("cost")
-    scored = cut_lineage(scored.withColumn(data, F.when(F.col("correct") == 0, F.col(data))))
+    scored = score(df, net, id_col, target, data=data, target=target, keep_if_wrong=[data])
+    scored = cut_lineage(scored.drop("cost"))
     detail = reports.evaluation_detail(scored, net.config.network[-1].num_channels, set_name, id_col)
     one_hot = isinstance(scored.schema[target].dataType, ArrayType)
     label = arrays.argmax(F.col(target)) if one_hot else F.col(target)
@@ -120,6 +134,37 @@ def evaluate_details(
     return detail, wrong
 
 
+def map_windows(
+    df: DataFrame,
+    f: Callable[[np.ndarray], np.ndarray],
+    *keep: str,
+    image: tuple[int, int, int],
+    kernel: int,
+    stride: int = 1,
+    padding: int = 0,
+    data: str = "data",
+) -> DataFrame:
+    """Any NumPy function over sliding windows, as a flat array column ``y``.
+
+    ``f`` gets all windows of a slice of rows, ``(rows, channel, i, j, ky, kx)`` with zero
+    borders, and returns ``(rows, ...)``; ``windows.max(axis=(4, 5))`` is max-pooling.
+    """
+    source = df.select(*dict.fromkeys([*keep, data]))
+    schema = StructType([*[source.schema[k] for k in keep], StructField("y", ArrayType(DoubleType()))])
+    row_bytes = 8 * image[0] * image[1] * image[2] * kernel * kernel
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = as_matrix(batch.column(data)).reshape(-1, *image)
+            parts = [f(windows(x[s], kernel, stride, padding)) for s in slices(len(x), row_bytes)]
+            y = np.concatenate([p.reshape(len(p), -1) for p in parts]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], as_lists(y)], names=[*keep, "y"])
+
+    return source.mapInArrow(run, schema)
+
+
 def network_target(df: DataFrame, inputs: Sequence[str], structure: Sequence[int], activations: Sequence[str], cost: str = "SQR") -> DataFrame:
     """Synthetic ``ann`` target: outputs ``y0..`` of a net with position-numbered weights."""
     layers = [{"type": a, "num_channels": n} for a, n in zip(activations, structure[1:])]

@@ -51,6 +51,13 @@ def test_normalize_edges(spark):
     assert got == {("a", 0.0): None, ("b", 2.0): 1.0, ("b", None): None, (None, 4.0): 1.0, (None, 1.0): 0.25}
 
 
+def test_existing_columns_are_not_replaced(demo):
+    with pytest.raises(ValueError):
+        records.add_col(demo, "cool", "double", lambda a: a, "this")
+    with pytest.raises(ValueError):
+        records.normalize_col(demo.withColumn("cool_norm", F.lit(1.0)), "cool", "is")
+
+
 def test_normalize_needs_no_window(spark):
     df = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("v"))
     plan = records.normalize_col(df, "v", "k")._jdf.queryExecution().executedPlan().toString()
@@ -146,6 +153,9 @@ def test_store_reopens(spark, store):
     again = ProfileStore(spark, store.root, store.database + "_again")
     again.open("profile_cost_ann", store.read("profile_cost_ann").drop("populate_time").schema)
     assert again.count_rows("profile_cost_ann") == 1
+    third = ProfileStore(spark, store.root, store.database + "_third")
+    assert third.open_stored("profile_cost_ann") and not third.open_stored("nothing")
+    assert third.read("profile_cost_ann").collect() == store.read("profile_cost_ann").collect()
 
 
 def test_inputs_and_outputs_join(spark, store):
