@@ -70,10 +70,10 @@ def concat_shuffle(*frames: DataFrame, seed: int = 0, id_cols: Sequence[str] = (
     _check_same(frames, dtypes=False)
     tagged = reduce(DataFrame.unionByName, [f.withColumn("_src", F.lit(i)) for i, f in enumerate(frames)])
     if sort_key is not None:
-        return row_index(tagged.withColumn("_order", sort_key), ["_order", "_src", *id_cols], tie=id_cols[0]).drop("_order", "_src")
+        return row_index(tagged.withColumn("_order", sort_key), ["_order", *id_cols, "_src"]).drop("_order", "_src")
     hashed = tagged.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_src"), *[F.col(c) for c in id_cols]))
     top = hash_blocks(F.col("_order"), tagged.sparkSession)
-    return row_index(hashed, ["_order", "_src", *id_cols], block=top).drop("_order", "_src")
+    return row_index(hashed, ["_order", *id_cols, "_src"], block=top).drop("_order", "_src")
 
 
 def array_width(df: DataFrame, data: str = "data") -> int:

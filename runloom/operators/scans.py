@@ -22,6 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from runloom.operators.skew import HotKeys, default_share, hot_keys, is_hot
 
@@ -41,6 +42,16 @@ def _as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _scale(df: DataFrame, c: Column) -> Column | None:
+    """The column as a double that orders alike; None for types that have none."""
+    kind = df.select(c).schema[0].dataType
+    if isinstance(kind, (NumericType, BooleanType)):
+        return c.cast("double")
+    if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return None
+
+
 def _edges(quantiles: Sequence[float] | None) -> tuple[list[float], list[int]]:
     """Strictly increasing bucket edges, and the numbers of single-value blocks to cut."""
     times = Counter(q for q in quantiles or () if math.isfinite(q))
@@ -57,15 +68,23 @@ def _bucket(df: DataFrame, edges: list[float], source: str, target: str) -> Data
     return cut.transform(df).withColumn(target, F.col(target).cast("int"))
 
 
-def with_blocks(df: DataFrame, key: Column, tie: Column | None, blocks: int) -> DataFrame:
-    """Add block numbers; their order agrees with (key, tie). NULL keys come first."""
+def with_blocks(df: DataFrame, order: Sequence[Column], blocks: int) -> DataFrame:
+    """Add block numbers that are non-decreasing in the order. NULL keys come first.
+
+    The first column of the order must be a number or a time. Where the second is one as
+    well, it cuts the blocks of very frequent first values.
+    """
     lowest = F.lit(float("-inf"))
-    keyed = df.withColumn(_KEY, F.coalesce(key.cast("double"), lowest))
+    key = _scale(df, order[0])
+    if key is None:
+        raise ValueError("the first order column must be a number or a time")
+    tie = _scale(df, order[1]) if len(order) > 1 else None
+    keyed = df.withColumn(_KEY, F.coalesce(key, lowest))
     probabilities = [i / blocks for i in range(1, blocks)]
     accuracy = max(10000, 4 * blocks)
     wanted = [F.percentile_approx(_KEY, probabilities, accuracy).alias(_KEY)]
     if tie is not None:
-        keyed = keyed.withColumn(_TIE, F.coalesce(tie.cast("double"), lowest))
+        keyed = keyed.withColumn(_TIE, F.coalesce(tie, lowest))
         wanted.append(F.percentile_approx(_TIE, probabilities, accuracy).alias(_TIE))
     found = keyed.agg(*wanted).first()
     edges, single = _edges(found[_KEY])
@@ -85,25 +104,20 @@ def row_index(
     name: str = "idx",
     start: int = 0,
     groups: Sequence[str] = (),
-    tie: Column | str | None = None,
     block: Column | None = None,
     blocks: int | None = None,
 ) -> DataFrame:
     """Number the rows ``start, start+1, ...`` in a total order.
 
     ``groups``    leading order columns with few values (set number, flag), not NULL
-    ``order_by``  the remaining order, first column numeric or a timestamp
-    ``tie``       unique numeric column that decides among equal first columns;
-                  taken from ``order_by`` when that has exactly two columns
+    ``order_by``  the remaining order, first column a number or a time; give it a second one
+                  where many rows may share the first
     ``block``     integer column non-decreasing in ``order_by``, for keys already
                   spread evenly, as hashes are; saves the quantile pass
     """
     order = [_as_column(c) for c in order_by]
     if block is None:
-        if tie is None and len(order) == 2:
-            tie = order[1]
-        tie = None if tie is None else _as_column(tie)
-        blocked = with_blocks(df, order[0], tie, blocks or default_share(df.sparkSession))
+        blocked = with_blocks(df, order, blocks or default_share(df.sparkSession))
     else:
         blocked = df.withColumn(_B1, block).withColumn(_B2, F.lit(0))
     keys = [*groups, _B1, _B2]
@@ -114,7 +128,7 @@ def row_index(
         .select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carry"))
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
-    if block is not None or tie is None:
+    if block is not None or len(order) == 1:
         # One row per block and group value, so its size is bounded by the block count.
         carry = F.broadcast(carry)
     return (
@@ -162,8 +176,7 @@ def running(
         return scan(df, group_by)
 
     large = F.col("_scan_hot")
-    tie = order[1] if len(order) == 2 else None
-    blocked = with_blocks(df.withColumn("_scan_hot", is_hot(group_by, hot)), order[0], tie, share)
+    blocked = with_blocks(df.withColumn("_scan_hot", is_hot(group_by, hot)), order, share)
     blocked = blocked.withColumn(_B1, F.when(large, F.col(_B1)).otherwise(0)).withColumn(
         _B2, F.when(large, F.col(_B2)).otherwise(0)
     )

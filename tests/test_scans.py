@@ -39,7 +39,7 @@ def test_hot_value_is_cut_into_blocks(skewed):
     from runloom.operators.scans import with_blocks
 
     frame, df = skewed
-    sizes = with_blocks(frame, F.col("p"), F.col("id"), 32).groupBy("_scan_b1", "_scan_b2").count().toPandas()
+    sizes = with_blocks(frame, [F.col("p"), F.col("id")], 32).groupBy("_scan_b1", "_scan_b2").count().toPandas()
     assert sizes["count"].max() < len(df) / 8
 
 
@@ -99,3 +99,20 @@ def test_exact_median_of_a_hot_stage(skewed, min_rows):
     frame, df = skewed
     got = stages.exact_median(frame, ["g"], "p", share=16, min_rows=min_rows).toPandas().set_index("g")["median"].sort_index()
     pd.testing.assert_series_equal(got, df.groupby("g").p.median(), check_names=False)
+
+
+def test_order_by_time_and_by_three_columns(spark):
+    rows = [(f"2024-01-0{1 + i % 3}", i % 2, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "d string, flag int, id long").select(F.col("d").cast("timestamp_ntz").alias("t"), "flag", "id")
+    got = row_index(df, ["t", "flag", "id"], blocks=20).orderBy("idx").collect()
+    assert [r["id"] for r in got] == [r[2] for r in sorted(rows)]
+    with pytest.raises(ValueError):
+        row_index(df.withColumn("s", F.lit("x")), ["s", "id"])
+
+
+def test_constant_sort_key_keeps_every_row(spark):
+    """All rows tie: the order falls to the ids, then the source."""
+    a, b = spark.range(500), spark.range(250, 750)
+    got = dataset.concat_shuffle(a, b, sort_key=F.lit(1)).orderBy("idx").collect()
+    assert [r["idx"] for r in got] == list(range(1000))
+    assert [r["id"] for r in got] == sorted([*range(500), *range(250, 750)])
