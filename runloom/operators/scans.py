@@ -3,7 +3,7 @@
 A window without partition keys, or over one very large group, runs in one task.
 Both operators here cut the order into blocks of about equal size first:
 
-1. block bounds are quantiles of the order key (one aggregate, a bounded result);
+1. block bounds are quantiles of the order key in a thin sample (a bounded result);
    a value so frequent that it spans several quantiles gets a block of its own,
    cut once more by the quantiles of the tie-break column;
 2. each block is summarised (count, max, ...) with a map-side combine, and the
@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
-from runloom.operators.skew import HotKeys, default_share, hot_keys, is_hot
+from runloom.operators.skew import HotKeys, default_share, hot_keys, is_hot, sampling_fraction
 
 # A value that covers this many quantiles is cut by its tie-break column.
 TIE_QUANTILES = 4
@@ -82,11 +82,14 @@ def with_blocks(df: DataFrame, order: Sequence[Column], blocks: int) -> DataFram
     keyed = df.withColumn(_KEY, F.coalesce(key, lowest))
     probabilities = [i / blocks for i in range(1, blocks)]
     accuracy = max(10000, 4 * blocks)
+    fraction = sampling_fraction(df.count() / blocks)
     wanted = [F.percentile_approx(_KEY, probabilities, accuracy).alias(_KEY)]
     if tie is not None:
         keyed = keyed.withColumn(_TIE, F.coalesce(tie, lowest))
         wanted.append(F.percentile_approx(_TIE, probabilities, accuracy).alias(_TIE))
-    found = keyed.agg(*wanted).first()
+    bounds = keyed.select(_KEY, *([_TIE] if tie is not None else []))
+    bounds = bounds.sample(fraction, seed=0) if fraction < 1 else bounds
+    found = bounds.agg(*wanted).first()
     edges, single = _edges(found[_KEY])
     out = _bucket(keyed, edges, _KEY, _B1)
     if tie is not None and single:

@@ -1,4 +1,8 @@
-"""Hot keys: finding them without a shuffle, and joins that split them."""
+"""Hot keys: finding them from a sample, and joins that split them.
+
+The sample only decides how work is cut. Every operator here gives the same, exact rows
+whichever keys it lists.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +17,8 @@ from pyspark.sql.types import MapType, VariantType
 MAX_SHARE = 32768
 # Keys below this size are no burden for one task, whatever their share.
 HOT_ROWS = 1_000_000
-# Sketch entries per wanted key. The sketch reports every key above 7 / entries of all rows,
-# so that with 8 entries no key above 1 / share is missed.
-ENTRIES = 8
+# Sampled rows expected for a key just at the limit; far more for the keys that matter.
+SAMPLED = 64
 
 
 def default_share(spark: SparkSession) -> int:
@@ -41,16 +44,27 @@ class HotKeys:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int, min_rows: int | None = None) -> HotKeys:
-    """Keys that hold more than 1/share of all rows.
+    """Keys that hold more than about 1/share of all rows: fewer than 2 x share of them.
 
-    One scan of the key columns builds a frequent-items sketch per task; only sketches move.
-    Counts may be somewhat high and a few smaller keys may be listed (fewer than 2 x share in
-    all), which changes how work is split, never the result.
+    A table too small for a hot key is recognised by its count. Otherwise the keys of a thin
+    sample are counted, so neither the table nor its key columns are shuffled, and no single
+    task merges anything that grows with the number of tasks.
     """
-    top = F.call_function("approx_top_k", F.col("h"), F.lit(share), F.lit(ENTRIES * share))
-    found = df.select(key_hash(keys).alias("h")).agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
-    limit = max(found["n"] / share, HOT_ROWS if min_rows is None else min_rows)
-    return HotKeys({r["item"]: r["count"] for r in found["top"] if r["count"] > limit}, limit)
+    total = df.count()
+    limit = max(total / share, HOT_ROWS if min_rows is None else min_rows)
+    if total <= limit:
+        return HotKeys({}, limit)
+    fraction = sampling_fraction(limit)
+    hashes = df.select(key_hash(keys).alias("h"))
+    sampled = hashes.sample(fraction, seed=0) if fraction < 1 else hashes
+    often = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit * fraction / 2)
+    counts = {r["h"]: max(r["n"] / fraction, limit) for r in often.collect()}
+    return HotKeys(counts, limit)
+
+
+def sampling_fraction(rows_per_part: float) -> float:
+    """Thin enough to be cheap, with ``SAMPLED`` rows expected per part of that many rows."""
+    return min(1.0, SAMPLED / max(rows_per_part, 1.0))
 
 
 def is_hot(keys: Sequence[str], hot: HotKeys) -> Column:
