@@ -7,3 +7,10 @@
 ``streaming``  incremental mirror of the profile store and running bests
 ``contract``   the registered queries and their SQL counterparts
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
