@@ -1,6 +1,6 @@
 """Command line: train, sweep, evaluate, analyze, stages.
 
-Submit with ``spark-submit`` on a cluster; the session's own settings are used there.
+The session is taken as configured: run it where Spark's defaults point at the cluster.
 """
 
 from __future__ import annotations
