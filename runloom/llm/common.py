@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # The characters that separate words, [\x20\x09-\x0D]: exactly those bytes.split() splits at.
 SPACES = " \t\n\x0b\x0c\r"
@@ -36,17 +38,16 @@ def map_arrow(df: DataFrame, process: Callable[[pa.RecordBatch], dict], schema:
     Spark cuts Arrow batches by size; the slices keep what a task holds at once small.
     """
 
+    fields = StructType.fromDDL(schema).fields
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 out = process(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(out.values(), kinds, strict=True)],
-                    names=list(out),
+                    names=names,
                 )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema).fields]
     return df.mapInArrow(run, schema)
