@@ -85,12 +85,14 @@ def links(distinct: DataFrame, radius: int, plan: list[tuple[int, int, int]]) ->
     A pair is looked up from both sides alike, so a lookup other than the value itself is made only
     from the side whose segment is the smaller, and equal segments are met as a < b.
     """
-    tables, lookups = [], []
-    for k, (first, bits, r) in enumerate(plan):
-        part = _part(F.col("fp"), first, bits)
-        tables.append(F.struct(F.lit(k).alias("k"), part.alias("v")))
-        own = part
-        lookups.append(F.transform(F.filter(ball(part, bits, r), lambda v, own=own: v >= own), lambda v, k=k: F.struct(F.lit(k).alias("k"), v.alias("v"))))
+
+    def lookup(k: int, part: Column, bits: int, r: int) -> Column:
+        upward = F.filter(ball(part, bits, r), lambda v: v >= part)
+        return F.transform(upward, lambda v: F.struct(F.lit(k).alias("k"), v.alias("v")))
+
+    parts = [_part(F.col("fp"), first, bits) for first, bits, _ in plan]
+    tables = [F.struct(F.lit(k).alias("k"), part.alias("v")) for k, part in enumerate(parts)]
+    lookups = [lookup(k, part, bits, r) for k, (part, (_, bits, r)) in enumerate(zip(parts, plan, strict=True))]
     entries = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*tables)).alias("t")).select("b", "t.k", "t.v")
     wanted = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*lookups)).alias("t")).select("a", "t.k", "t.v")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
