@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runloom.llm import bpe, language, packing, simhash, toxicity
+from runloom.llm import bpe, language, packing, quality, simhash, toxicity, urls
 from runloom.llm.common import fold
 from runloom.llm.registry import ORACLES, QUERIES, query, table, vocabulary
 
@@ -43,3 +43,36 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity.detect(docs, labels, for_model=part.isin(0, 1), for_calibration=part == 3)
     return found.select("doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+# The rules that the contract names.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+URL_SQL = """
+WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+    SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+),
+fits AS (
+    SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+    FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    GROUP BY host, path
+)
+SELECT page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN fits ON parts.host = fits.host AND parts.path = fits.path
+"""
+
+
+@query("op8_url_filter", URL_SQL)
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold(F.col("doc_id"), 5)
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable=part != 0)
+    return found.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
