@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runloom.llm import bpe, language, packing, quality, simhash, toxicity, urls
+from runloom.llm import ann, attribution, bpe, language, outliers, packing, quality, simhash, toxicity, urls
 from runloom.llm.common import fold
 from runloom.llm.registry import ORACLES, QUERIES, query, table, vocabulary
 
@@ -25,6 +25,17 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "n_languages")
 
 
+@query("op3_nearest")
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_outliers")
+def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outliers.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -76,3 +87,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fold(F.col("doc_id"), 5)
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable=part != 0)
     return found.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ["text"])
