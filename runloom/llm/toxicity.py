@@ -15,9 +15,10 @@ from runloom.session import cut_lineage
 ORDER = 5
 SYMBOL_BITS = 12  # symbols below 2048 are code points, those above are shared by the other code points
 SLOT_BITS = 22  # slots of the broadcast tables
-WINDOW = 16  # words of a passage
+MARGINS = (1.0, 3.0, 5.0)  # by how much toxic must explain a word better than ordinary for it to count
+LEAST = 0.003  # excess per symbol that counts as none
 CELL = 8  # cells per unit of a feature, for calibration
-FEATURES = ("whole", "passage", "word")
+FEATURES = ("whole", *(f"excess{int(m)}" for m in MARGINS))
 
 
 def symbol_table() -> tuple[np.ndarray, np.ndarray]:
@@ -190,23 +191,19 @@ def ratios(key: np.ndarray, seen: tuple, contexts: tuple) -> np.ndarray:
     return out
 
 
-def features(text: str | None, seen: tuple, contexts: tuple) -> tuple[float, float, float]:
-    """Length-normalised ratios of the whole text, of its worst passage, and of its worst word.
+def features(text: str | None, seen: tuple, contexts: tuple) -> tuple[float, ...]:
+    """Length-normalised log-likelihood ratios of a text, toxic to ordinary.
 
-    A passage is a run of ``WINDOW`` words, or the text if that is shorter; a length is counted in symbols.
-    Zeros for a text without letters and digits.
+    First of the whole; then, for each margin, of its words as far as a word's ratio exceeds the margin, so
+    that a few expressions are not outweighed by the ordinary rest. The latter are logarithms of excess
+    per symbol. A text without letters and digits is like one without excess.
     """
     key, begins = grams(text) if text else (np.zeros(0, dtype=np.int64), None)
     if not len(key):
-        return 0.0, 0.0, 0.0
-    per_word = np.add.reduceat(ratios(key, seen, contexts).astype(np.float64), begins)
-    size = np.diff(np.append(begins, len(key)))
-    if len(size) > WINDOW:
-        sums, sizes = (np.concatenate(([0], np.cumsum(v))) for v in (per_word, size))
-        passage = ((sums[WINDOW:] - sums[:-WINDOW]) / (sizes[WINDOW:] - sizes[:-WINDOW])).max()
-    else:
-        passage = per_word.sum() / size.sum()
-    return float(per_word.sum() / size.sum()), float(passage), float((per_word / size).max())
+        return (0.0, *[float(np.log(LEAST))] * len(MARGINS))
+    words = np.add.reduceat(ratios(key, seen, contexts).astype(np.float64), begins)
+    excess = [np.maximum(words - m, 0).sum() / len(key) for m in MARGINS]
+    return (float(words.sum() / len(key)), *(float(np.log(e + LEAST)) for e in excess))
 
 
 def measure(docs: DataFrame, seen: tuple, contexts: tuple, keep: list[str]) -> DataFrame:
@@ -217,7 +214,7 @@ def measure(docs: DataFrame, seen: tuple, contexts: tuple, keep: list[str]) -> D
     def process(batch: pa.RecordBatch) -> dict:
         last = batch.num_columns - 1
         rows = [features(text, *held.value) for text in batch.column(last).to_pylist()]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        columns = list(zip(*rows, strict=True)) or [()] * len(FEATURES)
         return {f"{i}": batch.column(i) for i in range(last)} | dict(zip(FEATURES, columns, strict=True))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
@@ -230,22 +227,24 @@ def learn_models(labelled: DataFrame) -> tuple[tuple, tuple]:
     return slotted(seen), slotted(contexts)
 
 
+def _units() -> list[Column]:
+    """Features in cells; the ratio of the whole within the range of the others."""
+    return [F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col(f))) * CELL for f in FEATURES]
+
+
 def calibrate(marked: DataFrame) -> np.ndarray:
     """Logistic weights from all rows (features, toxic), brought together as counts of feature cells."""
     names = list(FEATURES)
-    cells = marked.select(
-        *[F.round(F.greatest(F.lit(-4.0), F.least(F.lit(8.0), F.col(f) * (4 if f == "whole" else 1))) * CELL).cast("int").alias(f) for f in names],
-        F.col("toxic").cast("int").alias("mark"),
-    ).where("mark IN (0, 1)")
-    return fit_cells(cells.groupBy(*names, "mark").agg(F.count(F.lit(1)).alias("n")).toArrow(), names)
+    cells = marked.select(*[F.round(u).cast("int").alias(f) for u, f in zip(_units(), names, strict=True)], F.col("toxic").cast("int").alias("mark"))
+    cells = cells.where("mark IN (0, 1)").groupBy(*names, "mark").agg(F.count(F.lit(1)).alias("n"))
+    return fit_cells(cells.toArrow(), names)
 
 
 def score(measured: DataFrame, weights: np.ndarray) -> DataFrame:
     """``measured`` with score, the calibrated probability of label 1."""
-    bounded = [F.greatest(F.lit(-4.0), F.least(F.lit(8.0), F.col(f) * (4 if f == "whole" else 1))) * CELL for f in FEATURES]
     z = F.lit(float(weights[0]))
-    for w, f in zip(weights[1:], bounded, strict=True):
-        z = z + F.lit(float(w)) * f
+    for w, u in zip(weights[1:], _units(), strict=True):
+        z = z + F.lit(float(w)) * u
     return measured.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
 
 
