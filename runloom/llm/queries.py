@@ -52,7 +52,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fold(F.col("doc_id"), 4)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = toxicity.detect(docs, labels, for_model=part.isin(0, 1), for_calibration=part == 3)
+    found = toxicity.detect(docs, labels, for_model=part.isin(0, 1), for_calibration=part == 3, keep=["doc_id"])
     return found.select("doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -95,23 +95,36 @@ def links(distinct: DataFrame, radius: int, plan: list[tuple[int, int, int]]) ->
     lookups = [lookup(k, part, bits, r) for k, (part, (_, bits, r)) in enumerate(zip(parts, plan, strict=True))]
     entries = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*tables)).alias("t")).select("b", "t.k", "t.v")
     wanted = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*lookups)).alias("t")).select("a", "t.k", "t.v")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    met = wanted.join(entries, ["k", "v"]).where((near > 0) & (near <= radius))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, component_id, root) of every fingerprint of the table (doc_id, fp), which is read repeatedly.
-
-    Equal fingerprints are one class before anything is looked up, so copies cost no pairs.
-    component_id is the smallest doc_id reachable over links; null when all ids there are null.
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    near = F.bit_count(apart)
+    within = [F.bit_count(_part(apart, first, bits)) <= r for first, bits, r in plan]
+    # A pair that several segments bring together counts in the first of them.
+    earliest = F.lit(True)
+    for k in range(1, len(plan)):
+        earliest = F.when(F.col("k") >= k, earliest & ~within[k - 1]).otherwise(earliest)
+    met = wanted.join(entries, ["k", "v"]).where((near > 0) & (near <= radius) & earliest)
+    # Equal segments are met from both sides, others from one.
+    met = met.select(F.least("a", "b").alias("c"), F.greatest("a", "b").alias("d"), "a", "b", _same(F.col("k"), apart, plan).alias("same"))
+    return met.where("a < b OR NOT same").select(F.col("c").alias("a"), F.col("d").alias("b"))
+
+
+def _same(k: Column, apart: Column, plan: list[tuple[int, int, int]]) -> Column:
+    """Whether a pair agrees in the segment that brought it together."""
+    out = F.lit(False)
+    for i, (first, bits, _) in enumerate(plan):
+        out = F.when(k == i, _part(apart, first, bits) == 0).otherwise(out)
+    return out
+
+
+def rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, doc_id, root) of every fingerprint of the table (doc_id, fp): its smallest id and its class.
+
+    Equal fingerprints are one before anything is looked up, so copies cost no pairs.
     """
     least = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    plan = segment_plan(least.count(), radius)
-    found = connected_components(links(least.select("fp"), radius, plan))
-    rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    rooted = cut_lineage(rooted)
-    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id", "root")
+    found = connected_components(links(least.select("fp"), radius, segment_plan(least.count(), radius)))
+    joined = least.join(found, least["fp"] == found["node"], "left")
+    return cut_lineage(joined.select("fp", "doc_id", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -126,5 +139,47 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     no rows; other columns are ignored.
     """
     prints = cut_lineage(fingerprints(docs, width))
-    found = classes(prints, radius).select(F.col("fp").alias("_fp"), "component_id")
+    found = rooted(prints, radius)
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(found, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = 6) -> DataFrame:
+    """The documents with one of each class of near-duplicates: that of the smallest doc_id.
+
+    Classes are those of ``near_duplicates``. The texts are hashed once and shuffled once, to meet the ids
+    that stay.
+
+    Defined cases: rows that repeat an id are told apart by their fingerprints, and of rows alike in both
+    one stays; a document without id stays only where no document of its class has one; null and
+    empty texts are copies of one another; all columns are returned as they are.
+    """
+    prints = cut_lineage(fingerprints(docs, width))
+    alone = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    chosen = rooted(prints, radius).groupBy("root").agg(F.min(alone).alias("x")).select("x.doc_id", "x.fp")
+    times = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    stay = chosen.join(times, chosen["doc_id"].eqNullSafe(times["doc_id"])).select(
+        chosen["doc_id"].alias("_id"), "fp", (chosen["doc_id"].isNull() | (F.col("times") > 1)).alias("shared")
+    )
+    stay = cut_lineage(stay)
+    own = F.col("doc_id").cast("long")
+    once = docs.join(stay.where("NOT shared").select("_id"), own == F.col("_id"), "left_semi")
+    shared = stay.where("shared")
+    if shared.isEmpty():
+        return once
+    several = docs.join(shared.select("_id").distinct(), own.eqNullSafe(F.col("_id")), "left_semi")
+    marked = with_fingerprint(several, width)
+    again = marked.join(shared, own.eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("fp")), "left_semi").dropDuplicates(["doc_id", "_fp"])
+    return once.unionByName(again.select(*docs.columns))
+
+
+def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with the fingerprint as ``_fp``."""
+
+    def process(batch: pa.RecordBatch) -> dict:
+        last = batch.num_columns - 1
+        return {f"{i}": batch.column(i) for i in range(last)} | {"_fp": [fingerprint(text, width) for text in batch.column(last).to_pylist()]}
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_arrow(docs.select("*", F.col("text").cast("string").alias("_text")), process, f"{fields}, _fp long")

@@ -248,22 +248,24 @@ def score(measured: DataFrame, weights: np.ndarray) -> DataFrame:
     return measured.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
 
 
-def detect(docs: DataFrame, labels: DataFrame, for_model: Column, for_calibration: Column, doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """(keep, features, score) for every document, from labels (doc_id, toxic).
+def detect(docs: DataFrame, labels: DataFrame, for_model: Column, for_calibration: Column, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all), the features and the score of every document, from labels (doc_id, toxic).
 
     The class models are counted over all labelled documents that ``for_model`` admits, the
     calibration over those that ``for_calibration`` admits; both are conditions on doc_id, and documents
-    counted into a model should not calibrate it. One pass counts the labelled texts, one measures all
-    texts into a table, and the labels meet that small table, not the texts, to calibrate.
+    counted into a model should not calibrate it. The labels meet the texts of the former in one
+    join, and only the features of the latter. Scoring leaves rows where they are.
 
     Broadcast are tables of 2 ** SLOT_BITS slots, a fixed size. Defined cases: a null or empty text, or
-    one without letters and digits, has zero features and their score; without any labels every
-    score is the prior of an empty sample, 1/2; labels other than 0 and 1 are ignored; a document with
-    several label rows counts with each; repeated rows and null ids are scored like any other.
+    one without letters and digits, has no excess and the score of that; without any labels every
+    score is 1/2; labels other than 0 and 1 are ignored; a document with several label rows counts
+    with each; repeated rows and null ids are scored like any other; a column of a feature's name or
+    ``score`` gives way to the result's.
     """
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (*FEATURES, "score")]
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic"))
-    training = docs.where(for_model).select(F.col(doc_id).cast("long").alias("_doc"), "text")
+    training = docs.where(for_model).select(F.col("doc_id").cast("long").alias("_doc"), "text")
     seen, contexts = learn_models(training.join(marks, F.col("_doc") == F.col("_id")))
-    measured = cut_lineage(measure(docs, seen, contexts, keep or [doc_id]))
-    marked = measured.where(for_calibration).join(marks, F.col(doc_id).cast("long") == F.col("_id"))
-    return score(measured, calibrate(marked))
+    measured = measure(docs.where(for_calibration), seen, contexts, ["doc_id"])
+    marked = measured.join(marks, F.col("doc_id").cast("long") == F.col("_id"))
+    return score(measure(docs, seen, contexts, kept), calibrate(marked))
