@@ -32,13 +32,18 @@ def per_worker(key: object, build: Callable[[], object]) -> object:
     return held[key]
 
 
-def map_arrow(df: DataFrame, process: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 256) -> DataFrame:
+def with_columns(fields: list, ddl: str) -> StructType:
+    """Fields and what a DDL string adds to them."""
+    return StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+
+def map_arrow(df: DataFrame, process: Callable[[pa.RecordBatch], dict], schema: str | StructType, rows: int = 256) -> DataFrame:
     """``process`` over slices of at most ``rows`` rows, each giving a dictionary of equally long columns.
 
     Spark cuts Arrow batches by size; the slices keep what a task holds at once small.
     """
-
-    fields = StructType.fromDDL(schema).fields
+    schema = with_columns([], schema) if isinstance(schema, str) else schema
+    fields = schema.fields
     names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

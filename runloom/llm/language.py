@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runloom.llm.common import map_arrow, per_worker
+from runloom.llm.common import map_arrow, per_worker, with_columns
 
 UNKNOWN = "und"
 # n-grams are counted in so many buckets; the model is this times the number of languages floats.
@@ -158,8 +158,7 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, keep: list[Co
     if keep is None:  # a column of the result's name gives way to it
         keep = [c for c in docs.columns if c not in ("lang_pred", "score", "share", "n_languages")]
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    fields = kept.schema[:-1]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "lang_pred string, score double, share double, n_languages int"])
+    schema = with_columns(kept.schema[:-1].fields, "lang_pred string, score double, share double, n_languages int")
 
     def process(batch: pa.RecordBatch) -> dict:
         names, model = held.value

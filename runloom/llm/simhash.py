@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runloom.llm.common import map_arrow
+from runloom.llm.common import map_arrow, with_columns
 from runloom.llm.components import connected_components
 from runloom.session import cut_lineage
 
@@ -160,7 +160,7 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = 6) -> DataFrame:
     chosen = rooted(prints, radius).groupBy("root").agg(F.min(alone).alias("x")).select("x.doc_id", "x.fp")
     times = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
     stay = chosen.join(times, chosen["doc_id"].eqNullSafe(times["doc_id"])).select(
-        chosen["doc_id"].alias("_id"), "fp", (chosen["doc_id"].isNull() | (F.col("times") > 1)).alias("shared")
+        chosen["doc_id"].alias("_id"), F.col("fp").alias("_kept"), (chosen["doc_id"].isNull() | (F.col("times") > 1)).alias("shared")
     )
     stay = cut_lineage(stay)
     own = F.col("doc_id").cast("long")
@@ -170,7 +170,7 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = 6) -> DataFrame:
         return once
     several = docs.join(shared.select("_id").distinct(), own.eqNullSafe(F.col("_id")), "left_semi")
     marked = with_fingerprint(several, width)
-    again = marked.join(shared, own.eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("fp")), "left_semi").dropDuplicates(["doc_id", "_fp"])
+    again = marked.join(shared, own.eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "_fp"])
     return once.unionByName(again.select(*docs.columns))
 
 
@@ -181,5 +181,5 @@ def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
         last = batch.num_columns - 1
         return {f"{i}": batch.column(i) for i in range(last)} | {"_fp": [fingerprint(text, width) for text in batch.column(last).to_pylist()]}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs.select("*", F.col("text").cast("string").alias("_text")), process, f"{fields}, _fp long")
+    rows = docs.select("*", F.col("text").cast("string").alias("_text"))
+    return map_arrow(rows, process, with_columns(docs.schema.fields, "_fp long"))

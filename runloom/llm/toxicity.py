@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runloom.llm.common import map_arrow, per_worker
+from runloom.llm.common import map_arrow, per_worker, with_columns
 from runloom.llm.logistic import fit_cells
 from runloom.session import cut_lineage
 
@@ -206,7 +206,7 @@ def features(text: str | None, seen: tuple, contexts: tuple) -> tuple[float, ...
     return (float(words.sum() / len(key)), *(float(np.log(e + LEAST)) for e in excess))
 
 
-def measure(docs: DataFrame, seen: tuple, contexts: tuple, keep: list[str]) -> DataFrame:
+def measure(docs: DataFrame, seen: tuple, contexts: tuple, keep: list[Column | str]) -> DataFrame:
     """The columns ``keep`` and the features of every row; rows stay where they are."""
     held = docs.sparkSession.sparkContext.broadcast((seen, contexts))
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
@@ -217,8 +217,7 @@ def measure(docs: DataFrame, seen: tuple, contexts: tuple, keep: list[str]) -> D
         columns = list(zip(*rows, strict=True)) or [()] * len(FEATURES)
         return {f"{i}": batch.column(i) for i in range(last)} | dict(zip(FEATURES, columns, strict=True))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
-    return map_arrow(kept, process, f"{fields}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return map_arrow(kept, process, with_columns(kept.schema[:-1].fields, ", ".join(f"{f} double" for f in FEATURES)))
 
 
 def learn_models(labelled: DataFrame) -> tuple[tuple, tuple]:
@@ -248,7 +247,7 @@ def score(measured: DataFrame, weights: np.ndarray) -> DataFrame:
     return measured.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
 
 
-def detect(docs: DataFrame, labels: DataFrame, for_model: Column, for_calibration: Column, keep: list[str] | None = None) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, for_model: Column, for_calibration: Column, keep: list[Column | str] | None = None) -> DataFrame:
     """The columns ``keep`` (all), the features and the score of every document, from labels (doc_id, toxic).
 
     The class models are counted over all labelled documents that ``for_model`` admits, the
@@ -259,10 +258,10 @@ def detect(docs: DataFrame, labels: DataFrame, for_model: Column, for_calibratio
     Broadcast are tables of 2 ** SLOT_BITS slots, a fixed size. Defined cases: a null or empty text, or
     one without letters and digits, has no excess and the score of that; without any labels every
     score is 1/2; labels other than 0 and 1 are ignored; a document with several label rows counts
-    with each; repeated rows and null ids are scored like any other; a column of a feature's name or
-    ``score`` gives way to the result's.
+    with each; repeated rows and null ids are scored like any other; without ``keep``, a column of a
+    feature's name or ``score`` gives way to the result's.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in (*FEATURES, "score")]
+    kept = [c for c in docs.columns if c not in (*FEATURES, "score")] if keep is None else keep
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic"))
     training = docs.where(for_model).select(F.col("doc_id").cast("long").alias("_doc"), "text")
     seen, contexts = learn_models(training.join(marks, F.col("_doc") == F.col("_id")))
