@@ -7,7 +7,7 @@ reads it back as the next stage's input, as ``run`` does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runloom.llm import language, packing, simhash, toxicity
 from runloom.llm.common import fold
@@ -18,18 +18,23 @@ TOXIC_SCORE = 0.5  # documents at or above it go
 LANGUAGE_SHARE = 0.5  # documents whose first language has less go, and those without a letter
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that no result's name can clash with theirs."""
+    return F.struct(*docs.columns).alias("row")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models, learned from the labels, find ordinary."""
     part = fold(F.col("doc_id"), 4)
-    scored = toxicity.detect(docs, table(spark, sf_dir, "labels"), for_model=part != 3, for_calibration=part == 3)
-    return scored.where(F.col("score") < TOXIC_SCORE).select(*docs.columns)
+    scored = toxicity.detect(docs, table(spark, sf_dir, "labels"), for_model=part != 3, for_calibration=part == 3, keep=[whole_row(docs)])
+    return scored.where(F.col("score") < TOXIC_SCORE).select("row.*")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which one language, of those that the corpus names, prevails."""
     names, model = language.learn(docs)
-    found = language.identify(docs, names, model)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("share") >= LANGUAGE_SHARE)).select(*docs.columns)
+    found = language.identify(docs, names, model, keep=[whole_row(docs)])
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("share") >= LANGUAGE_SHARE)).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
