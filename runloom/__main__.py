@@ -84,6 +84,20 @@ def sweep(spark: SparkSession, args) -> None:
             print(f"{names[i]}: test cost {run.test[0]:.4f}, accuracy {run.test[1]:.3f}")
 
 
+def publish(rows: DataFrame, path: str) -> None:
+    """Write the whole result, then say how many rows lie where, and show its beginning."""
+    rows.write.mode("overwrite").csv(path, header=True)
+    written = rows.sparkSession.read.csv(path, header=True)
+    written.show(truncate=False)
+    print(f"{written.count()} rows in {path}")
+
+
+def delete_last(spark: SparkSession, args) -> None:
+    """Remove the last runs from the store's tables."""
+    store = open_store(spark, args.store)
+    print("removed:", *store.delete_last_runs(*args.tables, num_run=args.runs))
+
+
 def evaluate(spark: SparkSession, args) -> None:
     """Report per set with a TOTAL row, or predictions for raw images."""
     net = load_model(spark, args.checkpoint, args.run)
@@ -94,7 +108,7 @@ def evaluate(spark: SparkSession, args) -> None:
         found = sets.npz_sets(spark, args.data) if args.kind == "npz" else sets.parquet_sets(spark, args.data)
         target = "target" if "target" in found.columns else "label"
         shown = reports.eval_report(score(found, net, "set", target=target, with_y=False))
-    shown.write.mode("overwrite").csv(args.out, header=True) if args.out else shown.show(1000, truncate=False)
+    publish(shown, args.out)
 
 
 def analyze(spark: SparkSession, args) -> None:
@@ -104,7 +118,7 @@ def analyze(spark: SparkSession, args) -> None:
     if args.table == "output_data_ann":
         data = control.join_input_output(data, store.read("input_data_ann"))
     write_parts(control.control_dim(meta, data, *args.variables), args.out, "control_key")
-    control.control_catalogue(meta, data, *args.variables).show(1000, truncate=False)
+    publish(control.control_catalogue(meta, data, *args.variables), f"{args.out.rstrip('/')}-catalogue")
 
 
 def stages(spark: SparkSession, args) -> None:
@@ -112,7 +126,7 @@ def stages(spark: SparkSession, args) -> None:
     store = ProfileStore(spark, args.store)
     rows = event_log.stage_rows(event_log.read_events(spark, args.logs), args.node_type)
     store.append("stage_metrics", rows.drop("populate_time"))
-    rows.groupBy("app_name").agg(F.count(F.lit(1)).alias("stages")).show(1000, truncate=False)
+    publish(rows.groupBy("app_name").agg(F.count(F.lit(1)).alias("stages")), f"{args.store.rstrip('/')}/_reports/stages")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -130,13 +144,14 @@ def main(argv: list[str] | None = None) -> None:
     command("train", train, (("model",), {}), store, checkpoint, (("--run",), {}), (("--resume",), {"help": "run to resume"}))
     command("sweep", sweep, (("folder",), {}), store, checkpoint)
     command(
-        "evaluate", evaluate, (("checkpoint",), {}), (("run",), {}), (("data",), {}), (("--out",), {}),
+        "evaluate", evaluate, (("checkpoint",), {}), (("run",), {}), (("data",), {}), (("--out",), {"default": "evaluation"}),
         (("--kind",), {"choices": ["parquet", "npz", "images"], "default": "parquet"}),
     )
     command(
         "analyze", analyze, store, (("-t", "--table"), {"default": "profile_cost_ann"}), (("--out",), {"required": True}),
         (("variables",), {"nargs": "+"}),
     )
+    command("delete-last", delete_last, store, (("--runs",), {"type": int, "default": 1}), (("tables",), {"nargs": "*"}))
     command("stages", stages, (("logs",), {}), store, (("--node-type",), {"default": ""}))
     args = parser.parse_args(argv)
     args.job(SparkSession.builder.appName("runloom").getOrCreate(), args)

@@ -105,10 +105,28 @@ def _(spark, sf):
     return sets.keep_matching(table(spark, sf, "customer").select("c_custkey", "c_name"), buyers, ["c_custkey"])
 
 
-@query("j7_drop_matching", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j7_drop_matching", "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, sf):
-    buyers = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return sets.drop_matching(table(spark, sf, "customer").select("c_custkey", "c_name"), buyers, ["c_custkey"])
+    return sets.drop_matching(table(spark, sf, "documents").select("doc_id", "lang", "source"), table(spark, sf, "labels"), ["doc_id"])
+
+
+@query("j7_matching_hot", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IN (SELECT min(l_returnflag) FROM lineitem)")
+def _(spark, sf):
+    """Three keys hold everything: each is spread over salts."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return sets.keep_matching(lines, lines.agg(F.min("l_returnflag").alias("l_returnflag")), ["l_returnflag"])
+
+
+@query(
+    "j1_control_hot",
+    """SELECT 'size=' || length(l_returnflag) AS control_key, ascii(l_returnflag) AS rate, l_returnflag AS run, l_orderkey, l_linenumber, l_quantity
+FROM lineitem""",
+)
+def _(spark, sf):
+    """Three runs hold all data rows: each is spread over salts."""
+    data = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("run"), "l_orderkey", "l_linenumber", "l_quantity")
+    meta = data.select("run").distinct().select("run", F.ascii("run").alias("rate"), F.length("run").alias("size"))
+    return control.control_dim(meta, data, "rate", keys=["run"])
 
 
 @query(
@@ -257,6 +275,16 @@ def _(spark, sf):
     return records.normalize_col(lines, "l_quantity", "l_partkey")
 
 
+@query(
+    "w1_normalize_hot",
+    """SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity,
+       l_quantity / nullif(max(l_quantity) OVER (PARTITION BY l_returnflag), 0) AS l_quantity_norm FROM lineitem""",
+)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return records.normalize_col(lines, "l_quantity", "l_returnflag")
+
+
 @query("a1_count", "SELECT count(*) AS num_rows FROM lineitem")
 def _(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("num_rows"))
@@ -321,6 +349,12 @@ def _(spark, sf):
     return rounded(stages.exact_median(tasks, ["stage_id", "metric"], "value"), "median", digits=4)
 
 
+@query("a13_median_hot", "SELECT event_type AS metric, round(median(value), 4) AS median FROM events GROUP BY 1")
+def _(spark, sf):
+    tasks = table(spark, sf, "events").select(F.col("event_type").alias("metric"), "value")
+    return rounded(stages.exact_median(tasks, ["metric"], "value"), "median", digits=4)
+
+
 @query("o1_order_by", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey")
 def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey")
@@ -361,12 +395,9 @@ def _(spark, sf):
     return sets.union_distinct(_nations(spark, sf, "customer", "c"), _nations(spark, sf, "supplier", "s"))
 
 
-@query("u4_difference", "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u4_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def _(spark, sf):
-    return sets.difference(
-        table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey")),
-        table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey")),
-    )
+    return sets.difference(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"))
 
 
 @query(
@@ -388,6 +419,11 @@ def _(spark, sf):
     return row_index(table(spark, sf, "events").select("event_id", "value"), ["event_id"])
 
 
+@query("w3_row_index_by_time", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events")
+def _(spark, sf):
+    return row_index(table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), ["ts", "event_id"]).select("event_id", "idx")
+
+
 @query(
     "w3_row_index_by_value",
     "SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) AS idx FROM events",

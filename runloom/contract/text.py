@@ -10,7 +10,7 @@ from runloom.contract.base import images, query, rounded, table
 from runloom.functions import text
 from runloom.operators.configs import validate_configs
 from runloom.session import shared_path
-from runloom.streaming.mirror import mirror, running_best
+from runloom.streaming.mirror import mirror, mirrored, running_best
 
 # -- structure strings and configurations ------------------------------------------------
 
@@ -148,7 +148,21 @@ def _(spark, sf):
     source = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     target = shared_path(spark, "mirror")
     mirror(spark, sf, source.schema, target, shared_path(spark, "mirror-state"), pattern="events.parquet")
-    return spark.read.parquet(target)
+    return mirrored(spark, target)
+
+
+@query("s18_mirror_after_delete", "SELECT event_id, event_type, value FROM events WHERE event_type <> (SELECT min(event_type) FROM events)")
+def _(spark, sf):
+    """The mirror follows a rewrite and a vanished part of its source."""
+    events = table(spark, sf, "events").select("event_id", "value", "event_type")
+    source, target, state = (shared_path(spark, n) for n in ("source", "mirror", "mirror-state"))
+    events.write.partitionBy("event_type").parquet(source)
+    mirror(spark, source, events.schema, target, state)
+    first = events.agg(F.min("event_type")).first()[0]
+    rest = events.where(F.col("event_type") != first)
+    rest.write.mode("overwrite").partitionBy("event_type").parquet(source)
+    mirror(spark, source, events.schema, target, state)
+    return mirrored(spark, target)
 
 
 @query(

@@ -47,8 +47,13 @@ def _scale(df: DataFrame, c: Column) -> Column | None:
     kind = df.select(c).schema[0].dataType
     if isinstance(kind, (NumericType, BooleanType)):
         return c.cast("double")
-    if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, TimestampNTZType):  # field by field: a zone with daylight saving would reorder it
+        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+        return F.unix_date(c.cast("date")) * F.lit(86400.0) + seconds
     return None
 
 

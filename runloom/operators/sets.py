@@ -15,8 +15,13 @@ def union_distinct(*frames: DataFrame) -> DataFrame:
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct rows of ``left`` that are not in ``right``."""
-    return left.subtract(right)
+    """Distinct rows of ``left`` that are not in ``right``.
+
+    Both sides are tagged and counted per distinct row, so repeats are merged before the shuffle.
+    """
+    right = right.toDF(*left.columns)
+    tagged = left.withColumn("_right", F.lit(0)).unionByName(right.withColumn("_right", F.lit(1)))
+    return tagged.groupBy(*left.columns).agg(F.max("_right").alias("_right")).where("_right = 0").drop("_right")
 
 
 def keep_matching(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -14,16 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import MapType, VariantType
 
-MAX_SHARE = 32768
-# Keys below this size are no burden for one task, whatever their share.
-HOT_ROWS = 1_000_000
 # Sampled rows expected for a key just at the limit; far more for the keys that matter.
 SAMPLED = 64
 
 
 def default_share(spark: SparkSession) -> int:
-    """Two parts per shuffle partition, within fixed limits."""
-    return max(16, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_SHARE))
+    """Two parts per shuffle partition, 16 at least."""
+    return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def key_hash(keys: Sequence[str], like: DataFrame | None = None) -> Column:
@@ -43,15 +40,15 @@ class HotKeys:
         return bool(self.counts)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int, min_rows: int | None = None) -> HotKeys:
+def hot_keys(df: DataFrame, keys: Sequence[str], share: int) -> HotKeys:
     """Keys that hold more than about 1/share of all rows: fewer than 2 x share of them.
 
-    A table too small for a hot key is recognised by its count. Otherwise the keys of a thin
-    sample are counted, so neither the table nor its key columns are shuffled, and no single
-    task merges anything that grows with the number of tasks.
+    Only the share decides, at every size. The keys of a thin sample are counted, so neither the
+    table nor its key columns are shuffled, and no single task merges anything that grows with
+    the number of tasks. A key of one row is never hot.
     """
     total = df.count()
-    limit = max(total / share, HOT_ROWS if min_rows is None else min_rows)
+    limit = max(total / share, 2.0)
     if total <= limit:
         return HotKeys({}, limit)
     fraction = sampling_fraction(limit)
@@ -86,25 +83,26 @@ def salted_join(
     how: str = "inner",
     null_safe: bool = False,
     share: int | None = None,
-    min_rows: int | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Join where a key of ``left`` may hold much of the data and ``right`` is unique per key.
 
     Rows of a hot key are spread over salts by a hash of the row and its partition, which a
     repeated task computes alike, and the partner row is repeated once per salt: fewer than
     4 x share extra rows in all. Without hot keys this is a plain join, and the planner is
-    free to broadcast either way. Columns: those of ``left``, then the rest of ``right``.
+    free to broadcast either way, as it is with ``split`` off. Columns: those of ``left``, then
+    the rest of ``right``.
     """
     on = list(on)
     share = share or default_share(left.sparkSession)
-    limit = HOT_ROWS if min_rows is None else min_rows
-    hot = hot_keys(left, on, share, limit)
+    hot = hot_keys(left, on, share) if split else HotKeys({}, 1.0)
     kept = [c for c in right.columns if c not in on] if how not in ("left_semi", "left_anti") else []
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) if null_safe else F.col(k) == F.col(f"_r_{k}") for k in on]
     rest = [c for c in right.columns if c not in on]
     if hot:
         hashed = F.xxhash64(*[f.name for f in left.schema.fields if not isinstance(f.dataType, (MapType, VariantType))])
-        salt = F.pmod(hashed + F.spark_partition_id(), _salts(key_hash(on), hot))
+        parts = _salts(key_hash(on), hot)
+        salt = F.pmod(F.pmod(hashed, parts) + F.spark_partition_id(), parts)  # reduced first: no overflow
         left_columns, left = left.columns, left.withColumn("_salt", salt)
         repeat = F.sequence(F.lit(0), _salts(key_hash(on, left), hot) - 1)
         right = right.withColumn("_r_salt", F.explode(repeat))

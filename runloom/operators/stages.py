@@ -23,7 +23,7 @@ METRICS = (
     "Shuffle_Read_Size",
     "Shuffle_Read_Blocked_Time",
     "Shuffle_Remote_Reads",
-    "Input_Size_Records",
+    "Input_Size___Records",
 )
 
 
@@ -40,7 +40,7 @@ def stage_sums(
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", share: int | None = None, min_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", share: int | None = None
 ) -> DataFrame:
     """Exact median per group, the mean of the two middle values for an even count.
 
@@ -52,7 +52,7 @@ def exact_median(
     """
     counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     share = share or default_share(df.sparkSession)
-    hot = hot_keys(counted, keys, share, min_rows)
+    hot = hot_keys(counted, keys, share)
     group = Window.partitionBy(*keys)
     upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_upto")
     total = F.sum("_n").over(group).alias("_total")

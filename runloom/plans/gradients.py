@@ -14,10 +14,8 @@ from runloom.plans.score import as_lists, as_matrix, as_targets, slices
 
 # Flat vectors travel in blocks, so that a large model spreads over many reducers.
 BLOCK = 4096
+# Vectors of a network's block that one reducer adds at most on the first level.
 FAN_IN = 64
-# Up to this many bytes of partition vectors are added on the driver, which holds the model
-# anyway; above it they are added by reducers and one vector per network arrives.
-DRIVER_SUM_BYTES = 64 << 20
 _SCHEMA = "config_id int, block int, source int, part array<double>"
 
 
@@ -83,23 +81,23 @@ def partial_sums(
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """Sum the blocks of a group in source order, so that a retry adds in the same order."""
+    """Sum a group's vectors in source order, so that a retry adds in the same order; named by the group's number."""
     ordered = table.sort_by("source").combine_chunks()
     column = ordered.column("part").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    first = ordered.slice(0, 1).set_column(2, "source", pa.array([0], pa.int32()))
+    first = ordered.slice(0, 1).set_column(2, "source", pa.array([ordered.column("source")[0].as_py() // FAN_IN], pa.int32()))
     return first.set_column(3, "part", as_lists(as_matrix(column).sum(axis=0, keepdims=True)))
 
 
 def sum_partials(partials: DataFrame) -> DataFrame:
-    """Add the partition vectors block by block; on a wide cluster over two levels.
+    """Add the partition vectors block by block, ``FAN_IN`` sources to a reducer.
 
-    A group holds one block per source task, never data rows.
+    A group holds one block per source task, never data rows. What is left, one vector for each
+    ``FAN_IN`` tasks, is added on the driver, which holds the model anyway: the same path at
+    every size.
     """
-    if partials.sparkSession.sparkContext.defaultParallelism > FAN_IN:
-        slot = F.pmod(F.col("source"), F.lit(FAN_IN))
-        partials = partials.groupBy("config_id", "block", slot).applyInArrow(lambda t: _add_up(t), _SCHEMA)
-    return partials.groupBy("config_id", "block").applyInArrow(_add_up, _SCHEMA)
+    part = F.floor(F.col("source") / FAN_IN).cast("int")
+    return partials.groupBy("config_id", "block", part.alias("part_no")).applyInArrow(_add_up, _SCHEMA)
 
 
 def batch_sums(
@@ -108,18 +106,10 @@ def batch_sums(
     batch_rows: int,
     data: str = "data",
     target: str = "label",
-    partitions: int | None = None,
 ) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per network: [rows, cost, correct] and the flat gradient. Only model-sized arrays arrive here.
-
-    ``partitions`` is the number of partitions of ``df`` where it is known; a few small
-    vectors are then added without the reduce stage.
-    """
+    """Per network: [rows, cost, correct] and the flat gradient. Only model-sized arrays arrive here."""
     shipped = Network.ship(df.sparkSession, nets)
-    partials = partial_sums(df, shipped, batch_rows, data, target)
-    size = sum(n.nbytes for n in nets.values())
-    if partitions is None or partitions * size > DRIVER_SUM_BYTES:
-        partials = sum_partials(partials)
+    partials = sum_partials(partial_sums(df, shipped, batch_rows, data, target))
     order = [(c, "ascending") for c in ("config_id", "source", "block")]
     got = partials.toArrow().sort_by(order)
     shipped.destroy()

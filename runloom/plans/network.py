@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
@@ -188,9 +191,14 @@ class Shipped:
     """Broadcast networks: ``load`` on a worker, ``destroy`` when no job needs them again."""
 
     shared: Broadcast
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def load(self) -> dict[int, Network]:
-        return cloudpickle.loads(self.shared.value)
+        """Unpickled once per Python worker, not once per task, until other networks are shipped."""
+        held = sys.modules.setdefault("_runloom_networks", types.ModuleType("_runloom_networks")).__dict__
+        if held.get("token") != self.token:
+            held.update(token=self.token, networks=cloudpickle.loads(self.shared.value))
+        return held["networks"]
 
     def destroy(self) -> None:
         self.shared.destroy()

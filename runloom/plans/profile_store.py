@@ -116,18 +116,20 @@ class ProfileStore:
     def append(self, table: str, rows: DataFrame, constants: dict[str, Any] | None = None, run_id: str | None = None) -> str:
         """Append rows under a run stamp, constants repeated; types must fit the table."""
         stamp = run_id or new_stamp()
-        if not re.fullmatch(STAMP_CHARACTERS, stamp):
+        if not re.fullmatch(STAMP_CHARACTERS, stamp, re.ASCII):
             raise ValueError(f"run stamp {stamp!r} cannot name a folder")
         self.append_runs(table, profile_rows(rows, constants, stamp))
         return stamp
 
     def append_runs(self, table: str, rows: DataFrame) -> None:
-        """Append rows of several runs, told apart by their stamp column."""
+        """Append rows of several runs, told apart by their stamp column; a stamp that cannot name a folder fails."""
         full = rows.select(RUN_KEY, *[c for c in rows.columns if c != RUN_KEY])
         body = full.drop(RUN_KEY)
         self.open(table, body.schema)
         require_same_schema(self.read(table), full)
-        full.select(*body.columns, RUN_KEY).write.insertInto(self._name(table))
+        bad = F.raise_error(F.concat(F.lit("run stamp cannot name a folder: "), F.coalesce(RUN_KEY, F.lit("NULL")))).cast("string")
+        stamp = F.when(F.col(RUN_KEY).rlike(f"^(?:{STAMP_CHARACTERS})$"), F.col(RUN_KEY)).otherwise(bad)
+        full.select(*body.columns, stamp.alias(RUN_KEY)).write.insertInto(self._name(table))
 
     def add_run(self, config: NetConfig, run_id: str, train_size: int, test_size: int) -> None:
         """One configuration row."""
@@ -160,14 +162,17 @@ class ProfileStore:
     # -- delete and change -------------------------------------------------------
 
     def _runs(self, table: str) -> DataFrame:
-        """The run stamps of a table, from its partitions."""
+        """The run stamps of a table, from its partitions; stamps of other writers may be escaped there."""
         parts = self.spark.sql(f"SHOW PARTITIONS {self._name(table)}")
-        return parts.select(F.regexp_extract("partition", "^[^=]*=(.*)$", 1).alias(RUN_KEY))
+        written = F.regexp_extract("partition", "^[^=]*=(.*)$", 1)
+        return parts.select(F.url_decode(F.replace(written, F.lit("+"), F.lit("%2B"))).alias(RUN_KEY))
 
     def _drop_run(self, table: str, stamp: str) -> None:
         """Empty the partition, then forget it: files and catalog stay in step."""
-        name, spec = self._name(table), f"PARTITION (`{RUN_KEY}` = '{stamp}')"
+        name = self._name(table)
         fields = ", ".join(f"CAST(NULL AS {t}) AS `{c}`" for c, t in self.read(table).dtypes if c != RUN_KEY)
+        literal = stamp.replace("\\", "\\\\").replace("'", "\\'")
+        spec = f"PARTITION (`{RUN_KEY}` = '{literal}')"
         self.spark.sql(f"INSERT OVERWRITE TABLE {name} {spec} SELECT {fields} WHERE false")
         self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {spec}")
 
@@ -203,6 +208,9 @@ class ProfileStore:
             have = {r[RUN_KEY] for r in self._runs(table).where(F.col(RUN_KEY).isin(stamps)).collect()}
             for stamp in sorted(have):
                 self._drop_run(table, stamp)
+            left = self._runs(table).where(F.col(RUN_KEY).isin(stamps)).count()
+            if left:
+                raise RuntimeError(f"{left} of the runs {sorted(stamps)} are still in {table}")
         return sorted(stamps)
 
     def _replace(self, table: str, df: DataFrame) -> None:

@@ -20,13 +20,16 @@ WEIGHT_TABLE_BYTES = 64 << 20
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:
-    """List column to a (rows, width) array of doubles; every row must have the same width."""
+    """List column to a (rows, width) array of doubles; every row must have the same width and no NULL element."""
     if len(column) == 0:
         return np.zeros((0, 0))
     widths = np.diff(column.offsets.to_numpy())
     if column.null_count or (widths != widths[0]).any():
         raise ValueError("array column with NULL rows or rows of different width")
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("array column with NULL elements")
+    flat = flat.to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
@@ -39,7 +42,11 @@ def as_targets(column: pa.Array, classes: int) -> np.ndarray:
     """One-hot rows of an integer label column, or the rows of a target array column."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         return as_matrix(column)
-    return np.eye(classes)[column.to_numpy(zero_copy_only=False).astype(np.int64)]
+    labels = column.to_numpy(zero_copy_only=False)
+    outside = ~((labels >= 0) & (labels < classes))  # NULL arrives as NaN
+    if outside.any():
+        raise ValueError(f"label {labels[outside][0]} outside 0..{classes - 1}")
+    return np.eye(classes)[labels.astype(np.int64)]
 
 
 def slices(rows: int, row_bytes: int) -> Iterator[slice]:

@@ -83,13 +83,12 @@ class EpochTable:
         sorted_rows.write.mode("overwrite").partitionBy("batch_folder").parquet(self.path)
         self.frame = self.train.sparkSession.read.parquet(self.path)
 
-    def batch(self, number: int) -> tuple[DataFrame, int, int]:
-        """The rows of one batch, how many they are, and how many partitions the scan has."""
+    def batch(self, number: int) -> tuple[DataFrame, int]:
+        """The rows of one batch, and how many they are."""
         per_folder = -(-self.batches // BATCH_FOLDERS)
         rows = min(self.size, self.rows - number * self.size)
         wanted = (F.col("batch_folder") == number // per_folder) & (F.col("batch_no") == number)
-        found = self.frame.where(wanted)
-        return found, rows, found.rdd.getNumPartitions()
+        return self.frame.where(wanted), rows
 
 
 def evaluate_many(df: DataFrame | None, nets: dict[int, Network], data: str, target: str) -> dict[int, tuple[float, float]]:
@@ -151,8 +150,8 @@ def fit_many(
             for net in nets.values():
                 net.epoch += 1
             for number in range(table.batches):
-                rows_of_batch, count, parts = table.batch(number)
-                for key, (head, flat) in batch_sums(rows_of_batch, nets, count, data, target, parts).items():
+                rows_of_batch, count = table.batch(number)
+                for key, (head, flat) in batch_sums(rows_of_batch, nets, count, data, target).items():
                     means[key] += head[1:] / head[0]  # measured before the update
                     sgd_step(nets[key], velocity[key], unflatten(nets[key], flat))
                     nets[key].batch += 1

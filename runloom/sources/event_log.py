@@ -14,7 +14,7 @@ _SCHEMA = """
   `Job ID` long, `Submission Time` long, `Completion Time` long, `Stage IDs` array<long>,
   `Stage ID` long,
   `Stage Info` struct<`Stage ID`: long, `Stage Name`: string, `Number of Tasks`: long, `Submission Time`: long, `Completion Time`: long>,
-  `Executor Info` struct<`Host`: string, `Total Cores`: long>, `Maximum Memory` long,
+  `Executor Info` struct<`Host`: string, `Total Cores`: long>, `Spark Properties` map<string, string>,
   `Task Info` struct<`Launch Time`: long, `Finish Time`: long, `Getting Result Time`: long>,
   `Task Metrics` struct<
     `Executor Deserialize Time`: long, `Executor Run Time`: long, `JVM GC Time`: long,
@@ -51,7 +51,7 @@ def task_metrics(events: DataFrame) -> DataFrame:
         "Shuffle_Read_Size": shuffle["Remote Bytes Read"] + shuffle["Local Bytes Read"],
         "Shuffle_Read_Blocked_Time": seconds(shuffle["Fetch Wait Time"]),
         "Shuffle_Remote_Reads": shuffle["Remote Bytes Read"],
-        "Input_Size_Records": m["Input Metrics"]["Records Read"],
+        "Input_Size___Records": m["Input Metrics"]["Records Read"],
     }
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), values[n].cast("double").alias("value")) for n in METRICS])
     ends = events.where(F.col("Event") == "SparkListenerTaskEnd")
@@ -59,18 +59,36 @@ def task_metrics(events: DataFrame) -> DataFrame:
 
 
 def app_summary(events: DataFrame) -> DataFrame:
-    """Per application: name, seconds, jobs, stages completed, workers, cores, memory per worker."""
+    """Per application: name, seconds, jobs, stages completed, workers, cores, executor memory in MB.
+
+    A worker is a host, with the cores of its largest executor: an executor that replaces a lost
+    one on the same host adds nothing. Without a set memory Spark's 1024 MB hold.
+    """
     is_ = lambda e: F.col("Event") == f"SparkListener{e}"
     start, end = F.max(F.when(is_("ApplicationStart"), F.col("Timestamp"))), F.max(F.when(is_("ApplicationEnd"), F.col("Timestamp")))
-    return events.groupBy("app_id").agg(
+    added = events.where(is_("ExecutorAdded"))
+    hosts = added.groupBy("app_id", F.col("Executor Info")["Host"].alias("_host")).agg(F.max(F.col("Executor Info")["Total Cores"]).alias("_cores"))
+    workers = hosts.groupBy("app_id").agg(F.count(F.lit(1)).alias("num_workers"), F.sum("_cores").alias("num_cores"))
+    memory = F.max(F.when(is_("EnvironmentUpdate"), megabytes(F.col("Spark Properties")["spark.executor.memory"])))
+    apps = events.groupBy("app_id").agg(
         F.max("App Name").alias("name"),
         ((end - start) / 1000.0).alias("tot_dur"),
         F.count(F.when(is_("JobStart"), 1)).alias("num_jobs"),
         F.count(F.when(is_("StageCompleted"), 1)).alias("num_stages"),
-        F.count(F.when(is_("ExecutorAdded"), 1)).alias("num_workers"),
-        F.sum(F.when(is_("ExecutorAdded"), F.col("Executor Info")["Total Cores"])).alias("num_cores"),
-        F.max(F.when(is_("BlockManagerAdded"), F.col("Maximum Memory"))).alias("mem_per_node"),
+        F.coalesce(memory, F.lit(1024.0)).alias("mem_per_node"),
     )
+    joined = apps.join(workers, "app_id", "left")
+    return joined.select(
+        "app_id", "name", "tot_dur", "num_jobs", "num_stages", F.coalesce("num_workers", F.lit(0)).alias("num_workers"),
+        F.coalesce("num_cores", F.lit(0)).alias("num_cores"), "mem_per_node",
+    )
+
+
+def megabytes(size: Column) -> Column:
+    """A Spark memory setting such as ``4g`` in MB; MB where no unit is given."""
+    unit = F.lower(F.regexp_extract(size, r"([A-Za-z]?)[bB]?$", 1))
+    factor = F.when(unit == "k", 2.0**-10).when(unit == "g", 2.0**10).when(unit == "t", 2.0**20).otherwise(1.0)
+    return F.regexp_extract(size, r"^\s*([0-9]+)", 1).cast("double") * factor
 
 
 def job_summary(events: DataFrame) -> DataFrame:
@@ -99,10 +117,13 @@ def stage_summary(events: DataFrame) -> DataFrame:
 
 
 def stage_rows(events: DataFrame, node_type: str, stamp: str | None = None) -> DataFrame:
-    """Profile rows per (application, stage): cluster, application, stage and metric sums."""
+    """Profile rows per (application, stage): cluster, application, stage and metric sums.
+
+    A stage with tasks that never completed has no description.
+    """
     apps = app_summary(events).select("app_id", "num_workers", "num_cores", "mem_per_node", "name", "tot_dur")
     sums = stage_sums(task_metrics(events), ["app_id", "stage_id"])
-    joined = sums.join(stage_summary(events).select("app_id", "stage_id", "descp"), ["app_id", "stage_id"]).join(apps, "app_id")
+    joined = sums.join(stage_summary(events).select("app_id", "stage_id", "descp"), ["app_id", "stage_id"], "left").join(apps, "app_id")
     rows = joined.select(
         F.col("num_workers").alias("clt_size"),
         F.lit(node_type).alias("node_type"),

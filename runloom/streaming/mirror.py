@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+FILE = "_source_file"
+PRESENT = "-present"  # beside the mirror: the table's files at the last call
 
 
 def _source(spark: SparkSession, path: str, schema: StructType, pattern: str | None, files_per_trigger: int) -> DataFrame:
@@ -26,17 +28,30 @@ def mirror(
     partition_by: str | None = None,
     files_per_trigger: int = 1000,
 ) -> None:
-    """Copy what was added since the last call, then stop.
+    """Bring the mirror up to the table's present rows; ``mirrored`` reads them.
 
-    The checkpoint in ``state`` remembers the files already copied, so a table that did not
-    change costs a listing only, and a failed copy is repeated without doubling rows. Deleted
-    runs stay in the mirror; start a new one to leave them out.
+    The files that are new since the last call are copied, each row with the file it came from, and
+    then the table's present files are noted. Rows of a file that was rewritten or deleted since
+    are no longer read, so deletes and rewrites arrive like additions. The checkpoint in ``state``
+    remembers the files already copied: a table that did not change costs a listing and the
+    reading of footers, and a failed copy is repeated without doubling rows.
     """
-    writer = _source(spark, path, schema, pattern, files_per_trigger).writeStream.format("parquet")
+    source = _source(spark, path, schema, pattern, files_per_trigger).withColumn(FILE, F.col("_metadata.file_path"))
+    writer = source.writeStream.format("parquet")
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
     query = writer.option("checkpointLocation", state).option("path", target).trigger(availableNow=True).start()
     query.awaitTermination()
+    reader = spark.read.schema(schema)
+    reader = reader.option("pathGlobFilter", pattern) if pattern is not None else reader
+    present = reader.parquet(path).select(F.col("_metadata.file_path").alias(FILE)).distinct()
+    present.write.mode("overwrite").parquet(f"{target}{PRESENT}")
+
+
+def mirrored(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of a mirror that belong to files the table had at the last call."""
+    present = spark.read.parquet(f"{target}{PRESENT}")
+    return spark.read.parquet(target).join(present, FILE, "left_semi").drop(FILE)
 
 
 def running_best(

@@ -137,16 +137,16 @@ def test_join_form_agrees_with_batch_form(spark, name):
 
 
 @pytest.mark.parametrize("parts", [1, 4])
-@pytest.mark.parametrize("fan_in, known", [(64, False), (1, False), (64, True)])
-def test_distributed_gradient(spark, monkeypatch, parts, fan_in, known):
-    """One level of reducers, two levels, and a sum on the driver all agree."""
+@pytest.mark.parametrize("fan_in", [64, 1])
+def test_distributed_gradient(spark, monkeypatch, parts, fan_in):
+    """Sums are the same however many vectors a reducer adds."""
     monkeypatch.setattr(gradients, "FAN_IN", fan_in)
     monkeypatch.setattr(gradients, "BLOCK", 7)
     conf = NETS["conv"]
     net = Network.initial(conf, seed=2)
     x, labels = sample(conf, rows=20)
     t = np.eye(3)[labels]
-    head, flat = gradients.batch_sums(frame(spark, x, labels, parts), {0: net}, 20, partitions=parts if known else None)[0]
+    head, flat = gradients.batch_sums(frame(spark, x, labels, parts), {0: net}, 20)[0]
     want = net.gradients(net.forward(x), t, 20)
     np.testing.assert_allclose(flat, gradients.flatten(want), atol=1e-12)
     np.testing.assert_allclose(head, [20, cost_of(net, x, t) * 20, (net.forward(x)[-1].argmax(1) == labels).sum()])

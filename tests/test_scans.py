@@ -69,17 +69,16 @@ def test_partition_count_does_not_matter(skewed, partitions):
 
 def test_hot_keys(skewed):
     frame, _ = skewed
-    hot = skew.hot_keys(frame, ["g"], 16, min_rows=0)
+    hot = skew.hot_keys(frame, ["g"], 16)
     assert [r["g"] for r in frame.where(skew.is_hot(["g"], hot)).select("g").distinct().collect()] == [7]
     assert 2000 <= list(hot.counts.values())[0] <= 4000
-    assert skew.hot_keys(frame, ["g"], 16).counts == {}  # too few rows to matter
-    assert skew.hot_keys(frame.limit(0), ["g"], 16, min_rows=0).counts == {}
+    assert skew.hot_keys(frame.limit(0), ["g"], 16).counts == {}
+    assert skew.hot_keys(frame.select("id"), ["id"], 16).counts == {}
 
 
 @pytest.mark.parametrize("share", [1, 16, 64])
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_running_in_hot_groups(skewed, monkeypatch, share, inclusive):
-    monkeypatch.setattr(skew, "HOT_ROWS", 0)
+def test_running_in_hot_groups(skewed, share, inclusive):
     frame, df = skewed
     outputs = {"m": ("max", F.col("p")), "lo": ("min", F.col("p")), "n": ("sum", F.lit(1))}
     got = running(frame, ["g"], ["id"], outputs, inclusive, share=share).toPandas().sort_values("id")
@@ -97,10 +96,9 @@ def test_checkpoints_are_strict_improvements(spark):
     assert got == {("a", 1): False, ("a", 2): True, ("a", 3): False, ("a", 4): True, ("b", 1): True}
 
 
-@pytest.mark.parametrize("min_rows", [0, None])
-def test_exact_median_of_a_hot_stage(skewed, min_rows):
+def test_exact_median_of_a_hot_stage(skewed):
     frame, df = skewed
-    got = stages.exact_median(frame, ["g"], "p", share=16, min_rows=min_rows).toPandas().set_index("g")["median"].sort_index()
+    got = stages.exact_median(frame, ["g"], "p", share=16).toPandas().set_index("g")["median"].sort_index()
     pd.testing.assert_series_equal(got, df.groupby("g").p.median(), check_names=False)
 
 
@@ -119,3 +117,15 @@ def test_constant_sort_key_keeps_every_row(spark):
     got = dataset.concat_shuffle(a, b, sort_key=F.lit(1)).orderBy("idx").collect()
     assert [r["idx"] for r in got] == list(range(1000))
     assert [r["id"] for r in got] == sorted([*range(500), *range(250, 750)])
+
+
+def test_zoneless_times_order_alike_in_every_zone(spark):
+    """Over the change to daylight saving of the session's zone, a minute apart."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        start = F.lit("2024-03-10 00:00:30.25").cast("timestamp_ntz")
+        df = spark.range(240).select("id", (start + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("t"))
+        assert all(r["idx"] == r["id"] for r in row_index(df, ["t"], blocks=32).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -11,11 +11,10 @@ ROWS = 30000
 
 
 @pytest.fixture
-def no_size_limits(spark, monkeypatch):
-    """Make joins shuffle and treat small groups as hot ones."""
+def no_size_limits(spark):
+    """Make joins shuffle."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    monkeypatch.setattr(skew, "HOT_ROWS", 0)
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
@@ -37,7 +36,7 @@ def largest_part(df):
 def test_salted_join_equals_plain_join(spark, no_size_limits, skewed, how, null_safe):
     right = spark.createDataFrame([("hot", 1), (None, 2), ("k2", 3), ("absent", 4)], "populate_time string, v int")
     got = skew.salted_join(skewed, right, ["populate_time"], how, null_safe)
-    plain = skew.salted_join(skewed, right, ["populate_time"], how, null_safe, min_rows=ROWS)
+    plain = skew.salted_join(skewed, right, ["populate_time"], how, null_safe, split=False)
     assert got.columns == plain.columns
     assert sets.same_rows(got, plain)
     assert got.count() == plain.count()
@@ -47,7 +46,7 @@ def test_hot_key_is_spread(spark, no_size_limits, skewed):
     right = skewed.select("populate_time").distinct().withColumn("v", F.lit(1))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        plain = skew.salted_join(skewed, right, ["populate_time"], "left", True, min_rows=ROWS)
+        plain = skew.salted_join(skewed, right, ["populate_time"], "left", True, split=False)
         salted = skew.salted_join(skewed, right, ["populate_time"], "left", True)
         assert largest_part(plain) >= ROWS / 3
         assert largest_part(salted) < ROWS / 4
@@ -94,3 +93,18 @@ def test_no_operator_numbers_rows_in_one_task(spark, skewed):
     plan = row_index(skewed, ["epoch"])._jdf.queryExecution().optimizedPlan().toString()
     row_windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
     assert len(row_windows) == 1 and re.search(r"\], \[_scan_b1", row_windows[0])
+
+
+def test_salts_do_not_overflow(spark, no_size_limits, monkeypatch):
+    """A row's hash may be the largest integer."""
+    monkeypatch.setattr(skew.F, "xxhash64", lambda *c: F.lit(2**63 - 1))
+    left = spark.range(100, numPartitions=8).select(F.lit(1).alias("k"))
+    assert skew.salted_join(left, spark.createDataFrame([(1, 2)], "k int, v int"), ["k"]).count() == 100
+
+
+def test_hot_queries_split_at_every_size(spark, sf_dir):
+    """The plans of the hot-key queries hold salts or blocks on the smallest tables too."""
+    from runloom.contract import QUERIES
+
+    for name, sign in {"j1_control_hot": "_salt", "j7_matching_hot": "_salt", "w2_best_hot": "_scan_b1"}.items():
+        assert sign in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString(), name

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runloom.operators import dataset
 from runloom.plans.profile_store import ProfileStore
 from runloom.sources import event_log, sets
-from runloom.streaming.mirror import mirror, running_best
+from runloom.streaming.mirror import mirror, mirrored, running_best
 
 
 def archive(path, rows, shape=(1, 2, 3), seed=0):
@@ -156,11 +156,13 @@ def events(spark, tmp_path):
         {"Event": "SparkListenerApplicationStart", "App Name": "batch_eval-dsize_500-partition_8-itr_1", "App ID": "app-20240101000000-0001", "Timestamp": 1000},
         {"Event": "SparkListenerExecutorAdded", "Timestamp": 1100, "Executor Info": {"Host": "a", "Total Cores": 4}},
         {"Event": "SparkListenerExecutorAdded", "Timestamp": 1100, "Executor Info": {"Host": "b", "Total Cores": 4}},
-        {"Event": "SparkListenerBlockManagerAdded", "Maximum Memory": 4096, "Timestamp": 1100},
+        {"Event": "SparkListenerExecutorAdded", "Timestamp": 1300, "Executor Info": {"Host": "b", "Total Cores": 4}},
+        {"Event": "SparkListenerEnvironmentUpdate", "Spark Properties": {"spark.executor.memory": "4g", "spark.app.name": "x"}},
         {"Event": "SparkListenerJobStart", "Job ID": 0, "Submission Time": 1500, "Stage IDs": [0, 1, 2]},
         task_end(0, 100, 1500, 1620, 11),
         task_end(0, 300, 1500, 1810, 22),
         task_end(1, 50, 1900, 1960, 0),
+        task_end(2, 10, 1900, 1920, 0),
         {"Event": "SparkListenerStageCompleted", "Stage Info": stage(0)},
         {"Event": "SparkListenerStageCompleted", "Stage Info": stage(1)},
         {"Event": "SparkListenerJobEnd", "Job ID": 0, "Completion Time": 4000},
@@ -177,7 +179,7 @@ def test_event_log(events):
     job = event_log.job_summary(events).first()
     assert tuple(job)[1:] == (0, 2.5, 2, 3)
     rows = event_log.stage_rows(events, "small", "2024.01.01-00.00.00").orderBy("stage_id").collect()
-    assert [r["stage_id"] for r in rows] == [0, 1] and rows[0]["descp"] == "collect at 0"
+    assert [(r["stage_id"], r["descp"]) for r in rows] == [(0, "collect at 0"), (1, "collect at 1"), (2, None)]
     first = rows[0].asDict()
     assert first["Duration"] == pytest.approx(0.4) and first["Input_Size"] == 33 and first["Shuffle_Read_Size"] == 20
     assert first["Scheduler_Delay"] == pytest.approx((13 + 3) / 1000)
@@ -199,7 +201,7 @@ def test_mirror_copies_only_what_is_new(spark, tmp_path):
     assert {r["run"]: r["best"] for r in best.collect()} == {"0": 8.0, "1": 9.0}
     rows(10, 12).coalesce(1).write.mode("append").parquet(source)
     mirror(spark, source, schema, target, state, partition_by="run")
-    assert spark.read.parquet(target).count() == 12
+    assert spark.read.parquet(target).count() == 12 == mirrored(spark, target).count()
     best = running_best(spark, source, schema, str(tmp_path / "best"))
     assert {r["run"]: r["best"] for r in best.collect()} == {"0": 10.0, "1": 11.0}
 
@@ -215,3 +217,22 @@ def test_mirror_of_the_profile_store(spark, tmp_path):
         mirror(spark, f"{store.root}/profile_cost_ann", schema, target, state, partition_by="populate_time")
         copied = spark.read.parquet(target)
         assert copied.count() == day and copied.select("populate_time").distinct().count() == day
+    store.delete_where("profile_cost_ann", "populate_time", "2024.01.01-00.00.00")
+    store.append("profile_cost_ann", spark.createDataFrame([(1, 2.5)], "a long, b double").selectExpr("a AS epoch_num", "a AS batch_num", "b AS cost_batch", "b AS correct_batch", "b AS cost_val", "b AS correct_val"), run_id="2024.01.03-00.00.00")
+    mirror(spark, f"{store.root}/profile_cost_ann", schema, target, state, partition_by="populate_time")
+    rows = mirrored(spark, target).select(*schema.names).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(tuple(r) for r in store.read("profile_cost_ann").collect())
+    assert {r["populate_time"] for r in rows} == {"2024.01.02-00.00.00", "2024.01.03-00.00.00"}
+
+
+def test_runs_of_other_writers_can_be_deleted(spark, tmp_path):
+    """Their stamps may be escaped in folder names; our own are checked before they are written."""
+    store = ProfileStore(spark, str(tmp_path / "store"), "db_stamps")
+    rows = spark.createDataFrame([(1, "a:b"), (2, "it's"), (3, "plain")], "x long, populate_time string")
+    with pytest.raises(Exception, match="cannot name a folder"):
+        store.append_runs("t", rows)
+    rows.write.partitionBy("populate_time").mode("overwrite").parquet(f"{store.root}/other")
+    assert store.open_stored("other")
+    assert store.delete_last_runs("other", num_run=2) == ["it's", "plain"]
+    assert [r["x"] for r in store.read("other").collect()] == [1]
+    assert store.delete_last_runs("other") == ["a:b"] and store.count_rows("other") == 0
