@@ -99,15 +99,23 @@ def delete_last(spark: SparkSession, args) -> None:
 
 
 def evaluate(spark: SparkSession, args) -> None:
-    """Report per set with a TOTAL row, or predictions for raw images."""
+    """Report per set with a TOTAL row, or predictions for raw images.
+
+    A folder must hold files of one type, which must be the kind asked for; raw images have none.
+    """
     net = load_model(spark, args.checkpoint, args.run)
+    names = [f for f in os.listdir(args.data) if os.path.isfile(os.path.join(args.data, f))] if os.path.isdir(args.data) else []
+    names = [f for f in names if not f.startswith(("_", "."))]
+    if names and args.kind != "images" and sets.check_input_type(names) != args.kind:
+        raise SystemExit(f"{args.data} holds other files than {args.kind}")
     if args.kind == "images":
         _, height, width = net.config.image()
         shown = predict(sets.image_ingest(spark, args.data, height, width), net, "name").orderBy("name")
     else:
         found = sets.npz_sets(spark, args.data) if args.kind == "npz" else sets.parquet_sets(spark, args.data)
         target = "target" if "target" in found.columns else "label"
-        shown = reports.eval_report(score(found, net, "set", target=target, with_y=False))
+        scored = score(found, net, "set", target=target, with_y=False)
+        shown = reports.unweighted_total(reports.per_set(scored)) if args.unweighted else reports.eval_report(scored)
     publish(shown, args.out)
 
 
@@ -146,6 +154,7 @@ def main(argv: list[str] | None = None) -> None:
     command(
         "evaluate", evaluate, (("checkpoint",), {}), (("run",), {}), (("data",), {}), (("--out",), {"default": "evaluation"}),
         (("--kind",), {"choices": ["parquet", "npz", "images"], "default": "parquet"}),
+        (("--unweighted",), {"action": "store_true", "help": "plain mean over sets"}),
     )
     command(
         "analyze", analyze, store, (("-t", "--table"), {"default": "profile_cost_ann"}), (("--out",), {"required": True}),

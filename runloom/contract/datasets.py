@@ -427,3 +427,28 @@ def _(spark, sf):
     """A few runs hold everything: each is cut into blocks."""
     events = table(spark, sf, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("metric"))
     return reports.best_checkpoint(events, "run", "epoch", "metric")
+
+
+def _sliced_sql(by: str) -> str:
+    """Pixel sums of every third image from the seventh, scaled over ``by``."""
+    return f"""WITH p AS (SELECT vec_id AS id, label AS category, row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding FROM embeddings),
+s AS (SELECT id, category, (idx - 7) // 3 AS img, unnest(embedding)::DOUBLE AS v FROM p WHERE idx >= 7 AND (idx - 7) % 3 = 0),
+x AS (SELECT *, min(v) OVER ({by}) AS lo, max(v) OVER ({by}) AS hi FROM s)
+SELECT img, 'img' || img || '_channel1_category' || category AS name, id, category, CAST(sum(floor(coalesce(255.0::DOUBLE / nullif(hi - lo, 0) * (v - lo), 0))) AS BIGINT) AS pixel_sum
+FROM x GROUP BY img, id, category"""
+
+
+def _sliced(spark, sf, individual: bool):
+    shown = reports.export_images(images(spark, sf).withColumn("data", F.col("data").cast("array<double>")), 7, None, 3, individual=individual)
+    total = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v)
+    return shown.select("img", "name", "id", "category", total.alias("pixel_sum"))
+
+
+@query("s15_export_slice", _sliced_sql("PARTITION BY id"))
+def _(spark, sf):
+    return _sliced(spark, sf, True)
+
+
+@query("s15_export_slice_one_scale", _sliced_sql(""))
+def _(spark, sf):
+    return _sliced(spark, sf, False)

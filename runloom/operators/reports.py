@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions import arrays
+from runloom.operators.dataset import stride_slice
 from runloom.operators.scans import row_index, running
 from runloom.operators.skew import default_share, hot_keys
 
@@ -116,3 +117,25 @@ def misclassified(scored: DataFrame, id_col: str = "id", data: str = "data", cha
     name = F.format_string(f"img%d_channel{channels}_correct%d_wrong%d", "img", "label", "predicted")
     classes = [F.col("label").alias("correct"), F.col("predicted").alias("wrong")]
     return numbered.select("img", name.alias("name"), id_col, "pixels", *classes)
+
+
+def export_images(
+    df: DataFrame, start: int = 0, stop: int | None = None, step: int = 1, id_col: str = "id", data: str = "data", label: str = "label",
+    channels: int = 1, individual: bool = True,
+) -> DataFrame:
+    """Any slice of a dataset as pixels, with numbered file names: (img, name, id, pixels, category).
+
+    The slice is taken in id order. Pixels are scaled by each image's own range, or by that of the
+    slice unless ``individual``.
+    """
+    placed = row_index(df.select(id_col, data, label), [id_col], "_at")
+    chosen = stride_slice(placed, start, stop, step, "_at")
+    img = F.floor((F.col("_at") - start) / step).cast("long")
+    if individual:
+        pixels = arrays.to_pixels(F.col(data))
+    else:
+        span = chosen.agg(F.min(F.array_min(data)).alias("_low"), F.max(F.array_max(data)).alias("_high"))
+        chosen = chosen.join(F.broadcast(span))  # one row
+        pixels = arrays.to_pixels(F.col(data), F.col("_low"), F.col("_high"))
+    name = F.format_string(f"img%d_channel{channels}_category%d", img, F.col(label))
+    return chosen.select(img.alias("img"), name.alias("name"), id_col, pixels.alias("pixels"), F.col(label).alias("category"))

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 
 from runloom.__main__ import main
 
@@ -45,3 +46,11 @@ def test_train_evaluate_analyze(spark, tmp_path, capsys):
     main(["evaluate", str(tmp_path / "model"), "first", str(data / "*.npz"), "--kind", "npz", "--out", str(tmp_path / "report")])
     rows = spark.read.csv(str(tmp_path / "report"), header=True, inferSchema=True).collect()
     assert {r["file"]: r["num_entries"] for r in rows} == {"train.npz": 30, "valid.npz": 12, "test.npz": 12, "TOTAL": 54}
+
+    main(["evaluate", str(tmp_path / "model"), "first", str(data), "--kind", "npz", "--unweighted", "--out", str(tmp_path / "plain")])
+    assert spark.read.csv(str(tmp_path / "plain"), header=True, inferSchema=True).first()["num_entries"] == 54
+    with pytest.raises(SystemExit):
+        main(["evaluate", str(tmp_path / "model"), "first", str(data), "--kind", "parquet", "--out", str(tmp_path / "none")])
+    capsys.readouterr()
+    main(["delete-last", "--store", str(tmp_path / "store"), "--runs", "1"])
+    assert capsys.readouterr().out.startswith("removed: ")
