@@ -118,9 +118,23 @@ def _(spark, sf):
     return dataset.shuffle(ids, sort_key=(F.col("id") * 48271 + 11) % 2147483647)
 
 
-@query("o7_shuffle_hashed")
+@query(
+    "o7_shuffle_hashed",
+    """SELECT count(*) AS num_rows, count(DISTINCT event_id) AS different_ids, CAST(sum(event_id) AS BIGINT) AS id_sum, count(*) AS different_places,
+0::BIGINT AS first_place, count(*) - 1 AS last_place, true AS same_again, true AS mixed FROM events""",
+)
 def _(spark, sf):
-    return dataset.shuffle(table(spark, sf, "events").select(F.col("event_id").alias("id")), seed=7, epoch=1)
+    """What any repeatable shuffle must show: every row once, every place once, the same order again, another order than before."""
+    ids = table(spark, sf, "events").select(F.col("event_id").alias("id"))
+    order = F.bit_xor(F.xxhash64("id", "idx"))
+    again = dataset.shuffle(ids.repartition(5), seed=7, epoch=1).agg(order.alias("again"))
+    facts = dataset.shuffle(ids, seed=7, epoch=1).agg(
+        F.count(F.lit(1)).alias("num_rows"), F.countDistinct("id").alias("different_ids"), F.sum("id").alias("id_sum"),
+        F.countDistinct("idx").alias("different_places"), F.min("idx").cast("long").alias("first_place"), F.max("idx").cast("long").alias("last_place"),
+        order.alias("order"), (F.abs(F.corr("id", "idx")) < 0.1).alias("mixed"),
+    )
+    both = facts.join(F.broadcast(again))  # one row each
+    return both.select("*", (F.col("order") == F.col("again")).alias("same_again")).drop("order", "again")
 
 
 # -- ranges, rescaling, one-hot ---------------------------------------------------
@@ -311,9 +325,15 @@ def _(spark, sf):
     return rounded(targets.with_target(_inputs(spark, sf), "sin", XS), "y0", "xAvg")
 
 
-@query("f26_random_target")
+@query("f26_random_target", "SELECT count(*) AS num_rows, true AS in_range, true AS spread FROM lineitem")
 def _(spark, sf):
-    return targets.with_target(_inputs(spark, sf), "random", XS, seed=3)
+    """Random values lie in the range, fill it, and have its middle as their mean."""
+    found = targets.with_target(_inputs(spark, sf), "random", XS, seed=3)
+    low, high = F.min("y0"), F.max("y0")
+    return found.agg(
+        F.count(F.lit(1)).alias("num_rows"), ((low >= -5) & (high < 5)).alias("in_range"),
+        ((low < -4.9) & (high > 4.9) & (F.abs(F.avg("y0")) < 0.2)).alias("spread"),
+    )
 
 
 @query(
