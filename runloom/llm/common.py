@@ -32,6 +32,14 @@ def per_worker(key: object, build: Callable[[], object]) -> object:
     return held[key]
 
 
+def newest(name: str, token: str, build: Callable[[], object]) -> object:
+    """Like ``per_worker``, but a new token replaces what was held under the name."""
+    held = per_worker(("newest", name), dict)
+    if held.get("token") != token:
+        held.update(token=token, value=build())
+    return held["value"]
+
+
 def with_columns(fields: list, ddl: str) -> StructType:
     """Fields and what a DDL string adds to them."""
     return StructType([*fields, *StructType.fromDDL(ddl).fields])

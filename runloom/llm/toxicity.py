@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runloom.llm.common import map_arrow, per_worker, with_columns
+from runloom.llm.common import map_arrow, newest, per_worker, with_columns
 from runloom.llm.logistic import fit_cells
 from runloom.session import cut_lineage
 
@@ -155,8 +156,8 @@ def slot_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed & ((1 << SLOT_BITS) - 1)), (mixed >> SLOT_BITS) & 0xFFFF
 
 
-def slotted(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A dense table of the model: check and ratio by slot, of a fixed size whatever the corpus.
+def slotted(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slot, check and ratio of the model's sequences, at most one for each of the fixed number of slots.
 
     Where two sequences fall on one slot the more frequent keeps it; the check tells them apart.
     """
@@ -171,12 +172,14 @@ def slotted(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     )
     best = rows.groupBy("slot").agg(F.max(F.struct("n", "g", "check", "llr")).alias("x")).select("slot", "x.check", "x.llr")
     found = best.toArrow()
-    check = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
-    ratio = np.zeros(1 << SLOT_BITS, dtype=np.float32)
-    at = found["slot"].to_numpy()
-    check[at] = found["check"].to_numpy()
-    ratio[at] = found["llr"].to_numpy()
-    return check, ratio
+    return tuple(found[c].to_numpy().astype(kind) for c, kind in (("slot", np.uint32), ("check", np.uint16), ("llr", np.float32)))
+
+
+def dense(slot: np.ndarray, check: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Check, -1 where a slot is empty, and ratio by slot: what a worker looks sequences up in."""
+    checks, ratios = np.full(1 << SLOT_BITS, -1, dtype=np.int32), np.zeros(1 << SLOT_BITS, dtype=np.float32)
+    checks[slot], ratios[slot] = check, ratio
+    return checks, ratios
 
 
 def ratios(key: np.ndarray, seen: tuple, contexts: tuple) -> np.ndarray:
@@ -208,12 +211,13 @@ def features(text: str | None, seen: tuple, contexts: tuple) -> tuple[float, ...
 
 def measure(docs: DataFrame, seen: tuple, contexts: tuple, keep: list[Column | str]) -> DataFrame:
     """The columns ``keep`` and the features of every row; rows stay where they are."""
-    held = docs.sparkSession.sparkContext.broadcast((seen, contexts))
+    held, token = docs.sparkSession.sparkContext.broadcast((seen, contexts)), uuid.uuid4().hex
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
 
     def process(batch: pa.RecordBatch) -> dict:
         last = batch.num_columns - 1
-        rows = [features(text, *held.value) for text in batch.column(last).to_pylist()]
+        tables = newest("toxicity", token, lambda: tuple(dense(*t) for t in held.value))
+        rows = [features(text, *tables) for text in batch.column(last).to_pylist()]
         columns = list(zip(*rows, strict=True)) or [()] * len(FEATURES)
         return {f"{i}": batch.column(i) for i in range(last)} | dict(zip(FEATURES, columns, strict=True))
 
@@ -221,7 +225,7 @@ def measure(docs: DataFrame, seen: tuple, contexts: tuple, keep: list[Column | s
 
 
 def learn_models(labelled: DataFrame) -> tuple[tuple, tuple]:
-    """The broadcast tables learned from all rows (text, toxic)."""
+    """The tables of 5-grams and of contexts learned from all rows (text, toxic)."""
     seen, contexts = class_models(count_grams(labelled, "text", "toxic"))
     return slotted(seen), slotted(contexts)
 
@@ -255,7 +259,7 @@ def detect(docs: DataFrame, labels: DataFrame, for_model: Column, for_calibratio
     counted into a model should not calibrate it. The labels meet the texts of the former in one
     join, and only the features of the latter. Scoring leaves rows where they are.
 
-    Broadcast are tables of 2 ** SLOT_BITS slots, a fixed size. Defined cases: a null or empty text, or
+    Broadcast are tables of at most 2 ** SLOT_BITS filled slots. Defined cases: a null or empty text, or
     one without letters and digits, has no excess and the score of that; without any labels every
     score is 1/2; labels other than 0 and 1 are ignored; a document with several label rows counts
     with each; repeated rows and null ids are scored like any other; without ``keep``, a column of a

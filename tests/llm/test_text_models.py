@@ -121,7 +121,7 @@ def test_class_models_are_kneser_ney(spark):
 def test_slots_agree_in_sql_and_numpy(spark):
     keys = [0, 1, 32, (1 << 60) - 1, 123456789012345678]
     model = spark.createDataFrame([(k, 1, float(i + 1)) for i, k in enumerate(keys)], "g long, n long, llr double")
-    table = toxicity.slotted(model)
+    table = toxicity.dense(*toxicity.slotted(model))
     empty = (np.full(1 << toxicity.SLOT_BITS, -1), np.zeros(1 << toxicity.SLOT_BITS))
     assert toxicity.ratios(np.array(keys), table, empty).tolist() == [1, 2, 3, 4, 5]
 
