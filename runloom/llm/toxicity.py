@@ -268,7 +268,8 @@ def detect(docs: DataFrame, labels: DataFrame, for_model: Column, for_calibratio
     kept = [c for c in docs.columns if c not in (*FEATURES, "score")] if keep is None else keep
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic"))
     training = docs.where(for_model).select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    seen, contexts = learn_models(training.join(marks, F.col("_doc") == F.col("_id")))
+    # The same plan at every size: small labels would be broadcast, many cannot be.
+    seen, contexts = learn_models(training.join(marks.hint("merge"), F.col("_doc") == F.col("_id")))
     measured = measure(docs.where(for_calibration), seen, contexts, ["doc_id"])
     marked = measured.join(marks, F.col("doc_id").cast("long") == F.col("_id"))
     return score(measure(docs, seen, contexts, kept), calibrate(marked))
