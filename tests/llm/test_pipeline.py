@@ -39,10 +39,10 @@ def test_run_over_all_stages(spark, tmp_path):
     assert sum(d in kept["toxicity"] for d in clean) >= 0.97 * len(clean)
     assert len(kept["language"]) >= 0.99 * len(kept["toxicity"])
     before = kept["language"]
-    root = plain_classes({plain_print(t, 5) for t in before.values()}, 6)
+    root = plain_classes({plain_print(t, 3) for t in before.values()}, 5)
     least = {}
     for d in sorted(before, reverse=True):
-        least[root[plain_print(before[d], 5)]] = d
+        least[root[plain_print(before[d], 3)]] = d
     assert set(kept["near_copies"]) == set(least.values())
     pieces = corpus_pipeline.run(spark, sf).toArrow().to_pylist()
     check(pieces, list(kept["near_copies"].items()), 1024)
