@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app_name: str = "runloom", cores: int | str = "*", partitions: int | None = None) -> SparkSession:
-    """A local session for tests and benches; on a cluster use the submitted one."""
+def build_session(app_name: str = "runloom", cores: int | str = "*", partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A local session for tests and benches; on a cluster use the submitted one.
+
+    ``shared`` becomes ``spark.checkpoint.dir``. Checkpoints go when nothing refers to them.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -19,7 +22,10 @@ def build_session(app_name: str = "runloom", cores: int | str = "*", partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
@@ -39,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current is None:
         if configured is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
             configured = tempfile.mkdtemp(prefix="run-")
         sc.setCheckpointDir(configured)

@@ -12,8 +12,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", partitions=8)
+def spark(tmp_path_factory):
+    session = build_session("tests", partitions=8, shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
