@@ -126,6 +126,37 @@ def test_slots_agree_in_sql_and_numpy(spark):
     assert toxicity.ratios(np.array(keys), table, empty).tolist() == [1, 2, 3, 4, 5]
 
 
+def test_no_sequence_of_a_model_gives_way_to_another(spark):
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 60, 60_000))
+    model = spark.createDataFrame([(int(k), 1, float(i % 1000 + 1)) for i, k in enumerate(keys)], "g long, n long, llr double")
+    table = toxicity.dense(*toxicity.slotted(model))
+    empty = (np.full(16, -1), np.zeros(16))
+    assert toxicity.ratios(keys, table, empty).tolist() == [i % 1000 + 1 for i in range(len(keys))]
+
+
+def test_sequences_of_any_alphabet_are_told_apart():
+    words = ["".join(map(chr, range(a, a + 6))) for a in range(0x4E00, 0x9F00, 6)]
+    found = {(int(g), int(w)) for word in words for g, w in [tuple(x[4] for x in toxicity.grams(word)[:2])]}
+    assert len(found) == len(words)
+
+
+@pytest.mark.parametrize("capacity", [0, 60, 400])
+def test_joined_part_of_a_model_scores_like_the_broadcast_one(spark, monkeypatch, capacity):
+    rows = [(i, prose(i, 30) + (" 日本語日本語 düster" if i % 3 else " 漢字仮名交") * (i % 4), i % 2) for i in range(24)]
+    docs = spark.createDataFrame([*[r[:2] for r in rows], (50, None), (51, ""), (3, rows[3][1]), (None, "日本語 unheard of words")], "doc_id long, text string")
+    marks = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+
+    def scores():
+        found = toxicity.detect(docs, marks, F.col("doc_id") < 16, F.col("doc_id") >= 16)
+        return sorted((tuple(r) for r in found.select("doc_id", "text", *toxicity.FEATURES, "score").collect()), key=repr)
+
+    want = scores()
+    monkeypatch.setattr(toxicity, "CAPACITY", capacity)
+    got = scores()
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    np.testing.assert_allclose([r[2:] for r in got], [r[2:] for r in want], rtol=1e-9, atol=1e-9)
+
+
 def test_toxicity_query_on_held_out_documents(spark):
     """Trained on a bounded table of our tests' own scale, so the bar is a separation, not a rate."""
     sf = "/root/testdata/sf0.01"
