@@ -17,7 +17,7 @@ UNIT = 1024  # features are held as multiples of 1/UNIT, so that sums do not dep
 FLOOR = 0.05  # added to every variance: no feature counts more exactly than this
 BINS = 16  # bins of squared distance per doubling
 # Quantiles of the chi-squared distribution with five degrees of freedom.
-CHI2_HALF, CHI2_975 = 4.351, 12.833
+CHI2_HALF, CHI2_975, CHI2_999 = 4.351, 12.833, 20.515
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -131,14 +131,14 @@ def start(rows: DataFrame) -> DataFrame:
     return quartiles.groupBy("stratum").applyInPandas(first, SCHEMA)
 
 
-def judge(docs: DataFrame, coverage: float = 0.75, steps: int = 4, cutoff: float = 70.0, least: int = 200) -> DataFrame:
+def judge(docs: DataFrame, coverage: float = 0.5, steps: int = 4, cutoff: float = CHI2_999, least: int = 200) -> DataFrame:
     """(doc_id, statistics, base_failed, distance, kept) of every document.
 
     Base rules come first: too few words, or too many of them in repeated windows. Of the documents that
     pass, each language and source is a stratum whose centre and covariance come from a minimum
     covariance determinant: ``steps`` concentrations on the ``coverage`` of the rows that lie nearest,
     from medians and quartiles, then one reweighting. A document is kept if its squared Mahalanobis
-    distance is at most ``cutoff``. Strata of fewer than ``least`` rows are one stratum together.
+    distance is at most ``cutoff``, the 99.9 % quantile of a normal distribution's. Strata of fewer than ``least`` rows are one stratum together.
 
     All rows count in every step, by exact sums over bins of distance that combine map-side, so a
     stratum of a third of all rows costs its reducer a few hundred rows. The statistics are written

@@ -232,6 +232,22 @@ def test_outliers_are_rejected_by_stratum(spark):
     assert {r["doc_id"] for r in found if not r["kept"]} == {i for i in range(600) if i % 10 == 0}
 
 
+@pytest.mark.parametrize("odd", ["symbols", "copies"])
+def test_moderate_outliers_and_many_copies_are_rejected(spark, odd):
+    """Every fourth word of some texts ends in symbols; or a third of a source are copies of one odd text."""
+    copy = " ".join(w + "#" * (k % 4 == 0) for k, w in enumerate(prose(999, 120).split()))
+
+    def text(i):
+        words = prose(i, 120).split()
+        if odd == "copies":
+            return copy if i % 3 == 0 else " ".join(words)
+        return " ".join(w + "##" * (k % 4 == 0) for k, w in enumerate(words)) if i % 20 == 0 else " ".join(words)
+
+    rows = [(i, text(i), "en", "s0") for i in range(600)]
+    found = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r["doc_id"] for r in found if not r["kept"]} == {i for i in range(600) if i % (3 if odd == "copies" else 20) == 0}
+
+
 def test_concentration_step_takes_the_nearest(spark):
     """Centre and covariance of a stratum are those of the rows in its nearest bins."""
     rng = np.random.default_rng(1)
