@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -49,9 +51,9 @@ def transformed() -> list[Column]:
     return [F.round(v * UNIT).cast("long").alias(f) for v, f in zip(values, FEATURES, strict=True)]
 
 
-def packed(center: np.ndarray, cov: np.ndarray) -> np.ndarray:
+def packed(center: np.ndarray, cov: np.ndarray, floor: float = FLOOR) -> np.ndarray:
     """Centre and the lower triangle of W with W' W the inverse of a covariance; a distance is |W (x - centre)|."""
-    w = np.linalg.inv(np.linalg.cholesky(cov + FLOOR * np.eye(SIZE)))
+    w = np.linalg.inv(np.linalg.cholesky(cov + floor * np.eye(SIZE)))
     return np.concatenate((center, w[np.tril_indices(SIZE)]))
 
 
@@ -131,14 +133,47 @@ def start(rows: DataFrame) -> DataFrame:
     return quartiles.groupBy("stratum").applyInPandas(first, SCHEMA)
 
 
-def judge(docs: DataFrame, coverage: float = 0.5, steps: int = 4, cutoff: float = CHI2_999, least: int = 200) -> DataFrame:
+def unpacked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of ``packed`` parameters, the floor included."""
+    w = np.zeros((SIZE, SIZE))
+    w[np.tril_indices(SIZE)] = values[SIZE:]
+    back = np.linalg.inv(w)
+    return values[:SIZE], back @ back.T
+
+
+def blend(least: int):
+    """Parameters of strata drawn towards those of their language and these towards those of all.
+
+    A wider stratum counts as ``least`` rows of a narrower one for the covariance, and as a row for each feature
+    for the centre, which fewer rows settle: weight moves with the number of rows, no size changes the method.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                center, cov = None, None
+                for level in (2, 1, 0):
+                    m, c = unpacked(np.asarray(getattr(row, f"p{level}")))
+                    n, scale = getattr(row, f"n{level}"), getattr(row, f"c{level}")
+                    own, near = n / (n + least), n / (n + SIZE)
+                    center = m if center is None else near * m + (1 - near) * center
+                    cov = scale * c if cov is None else own * scale * c + (1 - own) * cov
+                rows.append([row.stratum, *packed(center, cov, 0.0)])
+            yield pd.DataFrame(rows, columns=["stratum", *PARAMS])
+
+    return run
+
+
+def judge(docs: DataFrame, coverage: float = 0.5, steps: int = 4, cutoff: float = CHI2_999, least: int = 25) -> DataFrame:
     """(doc_id, statistics, base_failed, distance, kept) of every document.
 
     Base rules come first: too few words, or too many of them in repeated windows. Of the documents that
-    pass, each language and source is a stratum whose centre and covariance come from a minimum
+    pass, each language and source is a stratum, each language another and all of them one, whose centre and covariance come from a minimum
     covariance determinant: ``steps`` concentrations on the ``coverage`` of the rows that lie nearest,
     from medians and quartiles, then one reweighting. A document is kept if its squared Mahalanobis
-    distance is at most ``cutoff``, the 99.9 % quantile of a normal distribution's. Strata of fewer than ``least`` rows are one stratum together.
+    distance is at most ``cutoff``, the 99.9 % quantile of a normal distribution's. It is judged by its language
+    and source, drawn towards the language and all by number of rows: a wider stratum counts as ``least`` rows.
 
     All rows count in every step, by exact sums over bins of distance that combine map-side, so a
     stratum of a third of all rows costs its reducer a few hundred rows. The statistics are written
@@ -151,12 +186,10 @@ def judge(docs: DataFrame, coverage: float = 0.5, steps: int = 4, cutoff: float
     ignored; an empty table gives no rows.
     """
     rows = base_statistics(docs).withColumn("base_failed", base_failed())
-    rows = rows.withColumn("name", F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}))
+    keyed = [F.to_json(F.struct(*c), {"ignoreNullFields": "false"}) for c in (("lang", "source"), ("lang",))]
+    rows = rows.withColumns({"at0": keyed[0], "at1": keyed[1], "at2": F.lit("{}")})
     rows = cut_lineage(rows.select("*", *transformed()))
-    counts = rows.where(~F.col("base_failed")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    strata = counts.select("name", F.when(F.col("n") >= least, F.col("name")).otherwise(F.lit("rest")).alias("stratum"))
-    strata = cut_lineage(strata)
-    passed = rows.where(~F.col("base_failed")).join(strata, "name").select("stratum", *FEATURES)
+    passed = rows.where(~F.col("base_failed")).select(F.explode(F.array("at0", "at1", "at2")).alias("stratum"), *FEATURES)
     params = cut_lineage(start(passed))
     for k in range(steps + 1):
         params = cut_lineage(moments(passed, params).groupBy("stratum").applyInPandas(concentrate(coverage, k == steps), SCHEMA))
@@ -167,11 +200,16 @@ def judge(docs: DataFrame, coverage: float = 0.5, steps: int = 4, cutoff: float
         pdf = pdf.sort_values("bin")
         upto = pdf["n"].cumsum().to_numpy()
         middle = 2.0 ** ((pdf["bin"].iloc[int(np.searchsorted(upto, (upto[-1] + 1) // 2))] + 0.5) / BINS)
-        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "scale": [max(1.0, middle / CHI2_HALF)]})
-
-    scales = bins.groupBy("stratum").applyInPandas(scale, "stratum string, scale double")
-    final = strata.join(params, "stratum").join(scales, "stratum").withColumnRenamed("name", "_name")
-    far = F.when(~F.col("base_failed"), distance() / F.col("scale"))
-    judged = rows.join(cut_lineage(final), F.col("name") == F.col("_name"), "left").withColumn("distance", far)
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "n": [int(upto[-1])], "scale": [max(1.0, middle / CHI2_HALF)]})
+
+    scales = bins.groupBy("stratum").applyInPandas(scale, "stratum string, n long, scale double")
+    found = cut_lineage(params.join(scales, "stratum").select("stratum", F.array(*PARAMS).alias("p"), "n", "scale"))
+    strata = rows.where(~F.col("base_failed")).select("at0", "at1", "at2").distinct()
+    for k in range(3):
+        level = found.select(F.col("stratum").alias(f"at{k}"), F.col("p").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("scale").alias(f"c{k}"))
+        strata = strata.join(level, f"at{k}")
+    final = cut_lineage(strata.withColumnRenamed("at0", "stratum").mapInPandas(blend(least), SCHEMA))
+    far = F.when(~F.col("base_failed"), distance())
+    judged = rows.join(final, F.col("at0") == F.col("stratum"), "left").withColumn("distance", far)
     names = [c.split()[0] for c in STATS.split(", ")]
     return judged.select("doc_id", "lang", "source", *names, "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"))

@@ -248,6 +248,19 @@ def test_moderate_outliers_and_many_copies_are_rejected(spark, odd):
     assert {r["doc_id"] for r in found if not r["kept"]} == {i for i in range(600) if i % (3 if odd == "copies" else 20) == 0}
 
 
+def test_a_small_source_is_judged_by_its_language(spark):
+    """Short words are ordinary in one language and odd in the other, whose sources have five documents each."""
+
+    def text(i, short):
+        return " ".join(w[:2] if short else w for w in prose(i, 120).split())
+
+    rows = [(i, text(i, False), "en", f"s{i // 5}") for i in range(600)] + [(1000 + i, text(1000 + i, True), "zz", f"s{i // 5}") for i in range(600)]
+    rows += [(5000 + i, text(5000 + i, True), "en", f"s{i}") for i in range(10)]
+    found = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    gone = {r["doc_id"] for r in found if not r["kept"]}
+    assert gone >= set(range(5000, 5010)) and len(gone) <= 10 + 12
+
+
 def test_concentration_step_takes_the_nearest(spark):
     """Centre and covariance of a stratum are those of the rows in its nearest bins."""
     rng = np.random.default_rng(1)
