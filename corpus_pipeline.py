@@ -14,7 +14,7 @@ from runloom.llm.common import fold
 from runloom.llm.registry import table, vocabulary
 from runloom.session import shared_path
 
-TOXIC_SCORE = 0.5  # documents at or above it go
+TOXIC_SCORE = 0.3  # documents at or above it go, as op7_toxicity predicts
 LANGUAGE_SHARE = 0.5  # documents whose first language has less go, and those without a letter
 
 

@@ -7,6 +7,7 @@ import pytest
 from llm.cases import awkward, awkward_rows, none
 from llm.test_exact import plain_classes, plain_print
 from llm.test_packing import check
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from runloom.llm.queries import QUERIES
@@ -48,6 +49,18 @@ def test_run_over_all_stages(spark, tmp_path):
     check(pieces, list(kept["near_copies"].items()), 1024)
 
 
+def test_documents_that_are_predicted_toxic_go(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    kept = {r["doc_id"] for r in STAGES["toxicity"](spark, docs, sf).select("doc_id").collect()}
+    assert len(toxic - kept) >= 0.7 * len(toxic)
+    marked = docs.limit(50).withColumn("score", F.col("doc_id") % 10 / 10)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "detect", lambda *a, keep, **b: marked.select(*keep, "score"))
+    left = STAGES["toxicity"](spark, marked.drop("score"), sf).collect()
+    assert left and all(r["doc_id"] % 10 < 3 for r in left)
+
+
 def test_entry_offers_all_operators():
     import __spark_entry__ as contract
 
