@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runloom.llm import ann, attribution, bpe, language, outliers, packing, quality, simhash, toxicity, urls
+from runloom.llm import ann, attribution, bpe, language, manifest, outliers, packing, quality, simhash, spelling, substrings, toxicity, urls
 from runloom.llm.common import fold
 from runloom.llm.registry import ORACLES, QUERIES, query, table, vocabulary
 
@@ -92,3 +92,71 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ["text"])
+
+
+MANIFEST_SQL = """
+WITH RECURSIVE bytes AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+),
+numbered AS (
+    SELECT *, row_number() OVER () AS row FROM documents
+),
+fields AS (
+    SELECT row, doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS own,
+        coalesce(strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1)::VARCHAR, '-') AS more, coalesce(strlen(text) || ':' || text, '-') AS tail,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+    FROM numbered, bytes
+),
+leaves AS (
+    SELECT row, doc_id, lang, sha256(head || own || tail) AS leaf, sha256(head || CASE WHEN crc % 7 = 0 THEN more ELSE own END || tail) AS changed FROM fields
+),
+nodes AS (
+    SELECT lang, 0 AS height, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS rank, leaf AS h, count(*) OVER (PARTITION BY lang) AS total FROM leaves
+    UNION ALL
+    SELECT lang, any_value(height) + 1, rank // 2, sha256(string_agg(h, '' ORDER BY rank)), any_value((total + 1) // 2) FROM nodes WHERE total > 1 GROUP BY lang, rank // 2
+),
+subroots AS (
+    SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS total FROM nodes WHERE total = 1
+),
+tops AS (
+    SELECT 0 AS height, rank, h, total FROM subroots
+    UNION ALL
+    SELECT any_value(height) + 1, rank // 2, sha256(string_agg(h, '' ORDER BY rank)), any_value((total + 1) // 2) FROM tops WHERE total > 1 GROUP BY rank // 2
+),
+walks AS (
+    SELECT row, lang, 0 AS height, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS total, changed AS h, '' AS proof FROM leaves
+    UNION ALL
+    SELECT w.row, w.lang, w.height + 1, w.rank // 2, (w.total + 1) // 2,
+        sha256(CASE WHEN w.rank % 2 = 1 THEN n.h || w.h ELSE w.h || coalesce(n.h, '') END), w.proof || coalesce(n.h, '')
+    FROM walks w LEFT JOIN nodes n ON n.lang IS NOT DISTINCT FROM w.lang AND n.height = w.height AND n.rank = xor(w.rank, 1) WHERE w.total > 1
+),
+ends AS (
+    SELECT w.row, 0 AS height, s.rank, s.total, w.h, w.proof, s.h AS subroot FROM walks w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.total = 1
+    UNION ALL
+    SELECT w.row, w.height + 1, w.rank // 2, (w.total + 1) // 2,
+        sha256(CASE WHEN w.rank % 2 = 1 THEN n.h || w.h ELSE w.h || coalesce(n.h, '') END), w.proof || coalesce(n.h, ''), w.subroot
+    FROM ends w LEFT JOIN tops n ON n.height = w.height AND n.rank = xor(w.rank, 1) WHERE w.total > 1
+),
+roots AS (SELECT h AS root FROM tops WHERE total = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM ends JOIN leaves USING (row) CROSS JOIN roots WHERE total = 1
+"""
+
+
+@query("op11_manifest", MANIFEST_SQL)
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tamper = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    found = manifest.document_manifest(table(spark, sf_dir, "documents"), tamper)
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op12_substrings")
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), least=7, occurrences=2, slip=31, ratio=10)
