@@ -25,6 +25,11 @@ def plain_print(text, width=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def wide(longs):
+    """Signed 64-bit integers as one number."""
+    return sum((f % (1 << 64)) << (64 * k) for k, f in enumerate(longs))
+
+
 def plain_classes(prints, radius):
     parent = {f: f for f in prints}
 
@@ -64,9 +69,13 @@ def test_simhash_against_all_pairs(spark, radius):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
 @pytest.mark.parametrize("distinct", [2, 300, 200_000, 10**10])
 @pytest.mark.parametrize("radius", [0, 2, 6])
-def test_every_segment_plan_finds_all_links(spark, distinct, radius):
+def test_every_segment_plan_finds_all_links(spark, monkeypatch, distinct, radius):
     if distinct > 10**9 and radius > 2:
         pytest.skip("balls of 32-bit segments are large")
     rng = random.Random(distinct + radius)
@@ -74,11 +83,73 @@ def test_every_segment_plan_finds_all_links(spark, distinct, radius):
     for _ in range(40):
         f = rng.getrandbits(64)
         prints |= {f} | {f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 1))) for _ in range(3)}
-    signed = {f: f - (1 << 64) if f >> 63 else f for f in prints}
-    df = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
-    pairs = [(r["a"], r["b"]) for r in simhash.links(df, radius, simhash.segment_plan(distinct, radius)).collect()]
-    want = {(min(signed[a], signed[b]), max(signed[a], signed[b])) for a in prints for b in prints if 0 < (a ^ b).bit_count() <= radius}
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    plan = simhash.segment_plan(distinct, radius)
+    monkeypatch.setattr(simhash, "segment_plan", lambda *_: plan)
+    df = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(sorted(prints))], "doc_id long, f0 long")
+    got = collections.defaultdict(set)
+    for r in simhash.rooted(df, radius, 1, None).collect():
+        got[r["root"]].add(r["f0"])
+    want = collections.defaultdict(set)
+    for f, root in plain_classes(prints, radius).items():
+        want[root].add(signed(f))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize("longs, radius, share", [(1, 6, None), (3, 32, 0.12)])
+def test_large_groups_cost_links_in_proportion(spark, monkeypatch, longs, radius, share):
+    """20,000 different fingerprints, all near one another, beside two groups and single ones."""
+    rng = np.random.default_rng(4)
+    flips = rng.random((20_000, 64 * longs)) < (1.2 if longs == 1 else 8) / (64 * longs)
+    bits = np.concatenate([(rng.random(64 * longs)[None] < 0.5) ^ flips, rng.random((3000, 64 * longs)) < 0.5])
+    words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    df = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], ", ".join(["doc_id long", *[f"f{k} long" for k in range(longs)]]))
+    made = []
+    for name in ("_stars", "_across"):
+
+        def counted(*args, real=getattr(simhash, name)):
+            made.append(simhash.cut_lineage(real(*args)))
+            return made[-1]
+
+        monkeypatch.setattr(simhash, name, counted)
+    found = simhash.rooted(df, radius, longs, share).collect()
+    sizes = collections.Counter(r["root"] for r in found)
+    assert sizes.most_common(1)[0][1] >= 0.97 * len({tuple(w) for w in words[:20_000].tolist()}) and len(sizes) >= 3000
+    assert made[0].count() <= 20 * len(found) and made[1].count() <= len(found)
+
+
+def edited(rng, words, similarity):
+    """The words with edits until the Jaccard similarity of five-word shingles is just above ``similarity``."""
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+    out, base = list(words), shingles(words)
+    while True:
+        new = list(out)
+        i = rng.randrange(len(new))
+        new[i : i + rng.randint(0, 1)] = [f"w{rng.randrange(10**6)}"]
+        theirs = shingles(new)
+        if len(base & theirs) < similarity * len(base | theirs):
+            return out
+        out = new
+
+
+def test_near_copies_of_similarity_four_fifths_go(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(80, 500))]
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(edited(rng, words, 0.8)))]
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(300))
+    assert len(kept) <= 300 + 30
+
+
+def test_deduplication_keeps_columns_of_any_name(spark):
+    names = ["_id", "_fp", "_kept", "_text", "row", "id", "kept", "k_f0", "f0", "node", "class", "shared", "times"]
+    docs = awkward(spark)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in simhash.deduplicate(awkward(spark)).collect()}
 
 
 def test_components_of_chains_and_stars(spark):
@@ -90,8 +161,9 @@ def test_components_of_chains_and_stars(spark):
 def test_one_document_of_each_class_stays(spark):
     rows = awkward_rows()
     kept = simhash.deduplicate(awkward(spark)).collect()
-    root = plain_classes([plain_print(r[1], 5) for r in rows], 6)
-    assert collections.Counter(root[plain_print(r["text"], 5)] for r in kept) == collections.Counter(set(root.values()))
+    prints = {r[1]: simhash.fingerprint(r[1], 3, 3) for r in rows}
+    root = plain_classes([wide(p) for p in prints.values()], 32)
+    assert collections.Counter(root[wide(prints[r["text"]])] for r in kept) == collections.Counter(set(root.values()))
     assert kept[0].asDict().keys() == awkward(spark).first().asDict().keys()
     assert 5 in {r["doc_id"] for r in kept} and 6 not in {r["doc_id"] for r in kept}
     assert simhash.deduplicate(none(spark)).count() == 0

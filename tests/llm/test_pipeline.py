@@ -5,7 +5,7 @@ import os
 
 import pytest
 from llm.cases import awkward, awkward_rows, none
-from llm.test_exact import plain_classes, plain_print
+from llm.test_exact import plain_classes, wide
 from llm.test_packing import check
 from pyspark.sql import functions as F
 
@@ -40,11 +40,12 @@ def test_run_over_all_stages(spark, tmp_path):
     assert sum(d in kept["toxicity"] for d in clean) >= 0.97 * len(clean)
     assert len(kept["language"]) >= 0.99 * len(kept["toxicity"])
     before = kept["language"]
-    root = plain_classes({plain_print(t, 3) for t in before.values()}, 5)
-    least = {}
-    for d in sorted(before, reverse=True):
-        least[root[plain_print(before[d], 3)]] = d
-    assert set(kept["near_copies"]) == set(least.values())
+    prints = {d: wide(corpus_pipeline.simhash.fingerprint(t, 3, 3)) for d, t in before.items()}
+    root = plain_classes(set(prints.values()), 32)
+    least = {root[prints[d]]: d for d in sorted(before, reverse=True)}
+    # Classes are those of all pairs; a few pairs far apart may meet in no segment.
+    assert set(kept["near_copies"]) >= set(least.values())
+    assert len(kept["near_copies"]) <= len(least) + 0.05 * (len(before) - len(least))
     pieces = corpus_pipeline.run(spark, sf).toArrow().to_pylist()
     check(pieces, list(kept["near_copies"].items()), 1024)
 
