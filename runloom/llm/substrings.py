@@ -15,7 +15,7 @@ from runloom.llm.common import per_worker
 from runloom.session import cut_lineage
 
 WINDOW = 20
-MINIMISER = 4  # words of the sequences among which a window's least hash is its minimiser
+MINIMISER = 2  # words of the sequences among which a window's least hash is its minimiser
 LONG_WORD = 64  # bytes; a longer word travels as its SHA-256 behind a mark
 SLICE_BYTES = 1 << 20  # text hashed at once
 FLUSH_BYTES = 16 << 20  # text whose super-k-mers a task holds before it hands them on
@@ -131,7 +131,7 @@ def _segments(rows: Iterator[tuple]) -> Iterator[tuple[list[tuple], bytes]]:
 def blob_of(strings: list[bytes], places: list[tuple]) -> bytes:
     """Packed strings and their places (no id, doc_id, part, start) in one compressed string."""
     table = np.array(places, dtype=np.int64).reshape(-1, 4)
-    return zstandard.compress(len(table).to_bytes(8, "little") + np.ascontiguousarray(table.T).tobytes() + b"\n".join(strings), 1)
+    return zstandard.compress(len(table).to_bytes(8, "little") + np.ascontiguousarray(table.T).tobytes() + b"\n".join(strings), 3)
 
 
 def blob_content(blob: bytes) -> tuple[list[bytes], list[tuple]]:
@@ -329,13 +329,16 @@ def deduplicate(docs: DataFrame, with_text: bool = True, **limits: int) -> DataF
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = not own.groupBy("doc_id").count().where("count > 1").isEmpty()
     own = own.withColumn("part", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
-    found = all_firsts(own, **limits).withColumn("doc_id", F.when(F.col("none") == 0, F.col("doc_id")))
-    runs = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("runs")).select(F.col("doc_id").alias("id"), F.col("part").alias("tie"), "runs")
+    # Keys that are never null, so that runs are dealt once: by them they are gathered and joined.
+    keys = ["none", "id", "part"]
+    found = all_firsts(own, **limits).withColumnRenamed("doc_id", "id").repartition(*keys)
+    runs = found.groupBy(*keys).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    own = own.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "part")
     if repeated:
-        own = own.groupBy("doc_id", "part").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+        own = own.groupBy("doc_id", *keys).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
     else:
         own = own.withColumn("times", F.lit(1).cast("long"))
-    met = own.join(runs, own["doc_id"].eqNullSafe(runs["id"]) & (own["part"] == runs["tie"]), "left")
+    met = own.join(runs, keys, "left")
     # Of rows alike, one has the windows that are first, the others none.
     first = F.struct(F.col("runs.start").alias("starts"), F.col("runs.n").alias("counts"), F.lit(1).cast("long").alias("times"))
     if repeated:
