@@ -392,11 +392,14 @@ STEPS, ALPHA, MOMENTUM = 3, 2.0, 0.9
 COSTS = ("cost_batch", "correct_batch", "cost_val", "correct_val")
 
 
-def _training_views(run: str, alpha: float, momentum: float, epochs: int, batches: int, restarts: bool = False) -> list[str]:
+def _training_views(
+    run: str, alpha: float, momentum: float, epochs: int, batches: int, restarts: bool = False, shuffled: bool = False
+) -> list[str]:
     """Momentum steps over contiguous batches in SQL, a few views per step.
 
     Views of a run share its prefix; ``{run}w{t}`` are the weights before step t, and
-    ``{run}v{e}`` the whole-set metrics after epoch e. ``restarts`` forgets momentum per epoch.
+    ``{run}v{e}`` the whole-set metrics after epoch e. ``restarts`` forgets momentum per epoch,
+    ``shuffled`` takes the batches of epoch e from column ``batch{e}``.
     """
     views = [
         f"{run}w0 AS MATERIALIZED (SELECT k, j, {W0} AS w, 0.0::DOUBLE AS m FROM range(64) a(k), range(10) b(j))",
@@ -414,7 +417,7 @@ FROM (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY y
 
     for t in range(epochs * batches):
         keep = 0.0 if restarts and t % batches == 0 else momentum
-        views += outputs(f"{run}y{t}", t, f"batch = {t % batches}")
+        views += outputs(f"{run}y{t}", t, f"batch{t // batches if shuffled else ''} = {t % batches}")
         views += [
             f"{run}d{t} AS MATERIALIZED (SELECT id, j, (y - CASE WHEN j = label THEN 1 ELSE 0 END) / (SELECT count(DISTINCT id) FROM {run}y{t}) AS d FROM {run}y{t})",
             f"""{run}w{t + 1} AS MATERIALIZED (SELECT k, j, w - {alpha} * ({keep} * m + g) AS w, {keep} * m + g AS m
@@ -432,6 +435,35 @@ def _batches_sql(batches: int) -> str:
 px AS MATERIALIZED (SELECT p.*, batch FROM ({PIXELS}) p JOIN ids ON vec_id = id)"""
 
 
+def _places_sql(epoch: int, seed: int = 0) -> str:
+    """(vec_id, x): the place of each row in an epoch, by Feistel rounds over the digits of its number.
+
+    Written out from the definition: five rounds with squares modulo 2147483647, to the base of the least
+    number whose square is not under the number of rows; a result beyond the rows goes round again.
+    """
+
+    def rounds(x: str, source: str) -> str:
+        sql = f"SELECT vec_id, n, side, {x} // side AS l, {x} % side AS r FROM {source}"
+        for i in range(1, 6):
+            k = f"((69621::BIGINT * {seed} + 39373::BIGINT * {epoch} + 26544357::BIGINT * {i}) % 2147483647)"
+            key = f"(({k} * {k} + 48271 * {k} + {i - 1}) % 2147483647)"
+            t = f"((r * 48271 + {key}) % 2147483647)"
+            sql = f"SELECT vec_id, n, side, r AS l, (l + ({t} * {t}) % 2147483647) % side AS r FROM ({sql})"
+        return f"SELECT vec_id, n, side, l * side + r AS x FROM ({sql})"
+
+    return f"walk{epoch} AS ({rounds('spot', 'numbered')} UNION ALL {rounds('x', f'walk{epoch} WHERE x >= n')})"
+
+
+def _shuffled_sql(batches: int, epochs: int) -> str:
+    """The pixels with a batch number for each epoch."""
+    size = f"((n + {batches - 1}) // {batches})"
+    joins = " ".join(f"JOIN (SELECT vec_id, x // {size} AS batch{e} FROM walk{e} WHERE x < n) USING (vec_id)" for e in range(epochs))
+    return f"""WITH RECURSIVE numbered AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS spot, count(*) OVER () AS n,
+  CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS side FROM embeddings),
+{", ".join(_places_sql(e) for e in range(epochs))},
+px AS MATERIALIZED (SELECT p.*, {", ".join(f"batch{e}" for e in range(epochs))} FROM ({PIXELS}) p JOIN (SELECT * FROM numbered {joins}) ON vec_id = id)"""
+
+
 def _costs_sql(run: str, epochs: int, batches: int, lead: str = "") -> str:
     """The per-epoch cost rows of a run."""
     rows = []
@@ -446,15 +478,16 @@ def _costs_sql(run: str, epochs: int, batches: int, lead: str = "") -> str:
 
 
 def _training_sql(runs: dict[str, tuple], tail: str) -> str:
-    """``runs`` maps a prefix to (alpha, momentum, epochs, batches[, restarts])."""
-    batches = next(iter(runs.values()))[3]
+    """``runs`` maps a prefix to (alpha, momentum, epochs, batches[, restarts[, shuffled]])."""
+    first = next(iter(runs.values()))
     views = [v for run, options in runs.items() for v in _training_views(run, *options)]
-    return ",\n".join([_batches_sql(batches), *views]) + "\n" + tail
+    head = _shuffled_sql(first[3], first[2]) if len(first) > 5 and first[5] else _batches_sql(first[3])
+    return ",\n".join([head, *views]) + "\n" + tail
 
 
-def _in_order(data: DataFrame, batches: int, **conf):
-    """A network and configuration that take ``data`` in stored order, in so many batches."""
-    return flat_net(batch=-(-data.count() // batches), shuffle=False, **conf)
+def _in_order(data: DataFrame, batches: int, shuffle: bool = False, **conf):
+    """A network and configuration that take ``data`` in stored order, or shuffled, in so many batches."""
+    return flat_net(batch=-(-data.count() // batches), shuffle=shuffle, **conf)
 
 
 def _trained(spark, sf, batches: int, epochs: int):
@@ -514,14 +547,21 @@ def _sweep_rows(spark, data: DataFrame, nets: dict) -> DataFrame:
     return spark.createDataFrame([{"config_id": i, **row} for i, run in runs.items() for row in run.cost_rows])
 
 
-@query("n11_fit_mini_batches")
+@query("n11_fit_mini_batches", _training_sql({"r": (0.5, 0.9, 2, 2, False, True)}, _costs_sql("r", 2, 2)))
 def _(spark, sf):
-    net = flat_net(epoch=2, batch=250, alpha=0.5)
     data = images(spark, sf)
-    return spark.createDataFrame(fit(data, data, None, net.config, start=net).cost_rows)
+    net = _in_order(data, 2, shuffle=True, epoch=2, alpha=0.5, momentum=0.9)
+    return rounded(spark.createDataFrame(fit(data, data, None, net.config, start=net).cost_rows), *COSTS)
 
 
-@query("n14_sweep")
+@query(
+    "n14_sweep",
+    _training_sql(
+        {f"r{i}": (a, m, 2, 2, False, True) for i, (a, m) in enumerate(SWEEP)},
+        " UNION ALL ".join(_costs_sql(f"r{i}", 2, 2, f"{i} AS config_id, ") for i in range(len(SWEEP))),
+    ),
+)
 def _(spark, sf):
-    nets = {i: flat_net(epoch=2, batch=250, alpha=a, momentum=m) for i, (a, m) in enumerate(SWEEP)}
-    return _sweep_rows(spark, images(spark, sf), nets)
+    data = images(spark, sf)
+    nets = {i: _in_order(data, 2, shuffle=True, epoch=2, alpha=a, momentum=m) for i, (a, m) in enumerate(SWEEP)}
+    return rounded(_sweep_rows(spark, data, nets), *COSTS)

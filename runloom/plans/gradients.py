@@ -15,7 +15,7 @@ from runloom.plans.score import as_lists, as_matrix, as_targets, slices
 # Flat vectors travel in blocks, so that a large model spreads over many reducers.
 BLOCK = 4096
 # Vectors of a network's block that one reducer adds at most on the first level.
-FAN_IN = 64
+FAN_IN = 256
 _SCHEMA = "config_id int, block int, source int, part array<double>"
 
 
@@ -37,6 +37,25 @@ def unflatten(net: Network, flat: np.ndarray) -> list[tuple[np.ndarray | None, n
     return out
 
 
+def batch_vectors(
+    models: dict[int, Network], batch: pa.RecordBatch, batch_rows: int, data: str, target: str, learn: bool = True
+) -> Iterator[np.ndarray]:
+    """Per network, over the rows of an Arrow batch: rows, cost, correct, then all gradients."""
+    x, labels = as_matrix(batch.column(data)), batch.column(target)
+    for net in models.values():
+        t = as_targets(labels, net.config.network[-1].num_channels)
+        vector = None
+        for s in slices(len(x), net.config.row_bytes()):
+            ys = net.forward(x[s])
+            y = ys[-1].reshape(len(t[s]), -1)
+            hits = (t[s].argmax(axis=1) == y.argmax(axis=1)).sum() if net.config.cost == "CE" else 0.0
+            head = np.array([len(y), net.row_cost(y, t[s]).sum(), hits], dtype=float)
+            grads = flatten(net.gradients(ys, t[s], batch_rows)) if learn else np.zeros(0)
+            part = np.concatenate([head, grads])
+            vector = part if vector is None else vector + part
+        yield vector
+
+
 def partial_sums(
     df: DataFrame, shipped: Shipped, batch_rows: int, data: str = "data", target: str = "label", learn: bool = True
 ) -> DataFrame:
@@ -51,18 +70,8 @@ def partial_sums(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x, labels = as_matrix(batch.column(data)), batch.column(target)
-            for key, net in models.items():
-                classes = net.config.network[-1].num_channels
-                t = as_targets(labels, classes)
-                for s in slices(len(x), net.config.row_bytes()):
-                    ys = net.forward(x[s])
-                    y = ys[-1].reshape(len(t[s]), -1)
-                    hits = (t[s].argmax(axis=1) == y.argmax(axis=1)).sum() if net.config.cost == "CE" else 0.0
-                    head = np.array([len(y), net.row_cost(y, t[s]).sum(), hits], dtype=float)
-                    grads = flatten(net.gradients(ys, t[s], batch_rows)) if learn else np.zeros(0)
-                    vector = np.concatenate([head, grads])
-                    sums[key] = sums[key] + vector if key in sums else vector
+            for key, vector in zip(models, batch_vectors(models, batch, batch_rows, data, target, learn), strict=True):
+                sums[key] = sums[key] + vector if key in sums else vector
         source = TaskContext.get().partitionId()
         for key, vector in sums.items():
             starts = range(0, len(vector), BLOCK)
@@ -90,14 +99,14 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 
 def sum_partials(partials: DataFrame) -> DataFrame:
-    """Add the partition vectors block by block, ``FAN_IN`` sources to a reducer.
+    """Add the partition vectors block by block, ``FAN_IN`` sources to a reducer and then the rest.
 
-    A group holds one block per source task, never data rows. What is left, one vector for each
-    ``FAN_IN`` tasks, is added on the driver, which holds the model anyway: the same path at
-    every size.
+    A group holds one block per source task, never data rows; a network's block ends as one
+    vector, however many tasks there were: the same path at every size.
     """
     part = F.floor(F.col("source") / FAN_IN).cast("int")
-    return partials.groupBy("config_id", "block", part.alias("part_no")).applyInArrow(_add_up, _SCHEMA)
+    first = partials.groupBy("config_id", "block", part.alias("part_no")).applyInArrow(_add_up, _SCHEMA)
+    return first.groupBy("config_id", "block").applyInArrow(_add_up, _SCHEMA)
 
 
 def batch_sums(
@@ -110,17 +119,12 @@ def batch_sums(
     """Per network: [rows, cost, correct] and the flat gradient. Only model-sized arrays arrive here."""
     shipped = Network.ship(df.sparkSession, nets)
     partials = sum_partials(partial_sums(df, shipped, batch_rows, data, target))
-    order = [(c, "ascending") for c in ("config_id", "source", "block")]
-    got = partials.toArrow().sort_by(order)
+    got = partials.toArrow().sort_by([("config_id", "ascending"), ("block", "ascending")])
     shipped.destroy()
-    vectors: dict[tuple[int, int], list[np.ndarray]] = {}
-    keys = zip(got.column("config_id").to_pylist(), got.column("source").to_pylist())
-    for key, part in zip(keys, got.column("part")):
-        vectors.setdefault(key, []).append(part.values.to_numpy(zero_copy_only=False))
-    whole: dict[int, np.ndarray] = {}
-    for (config_id, _source), parts in vectors.items():
-        vector = np.concatenate(parts)
-        whole[config_id] = whole[config_id] + vector if config_id in whole else vector
+    parts: dict[int, list[np.ndarray]] = {}
+    for key, part in zip(got.column("config_id").to_pylist(), got.column("part")):
+        parts.setdefault(key, []).append(part.values.to_numpy(zero_copy_only=False))
+    whole = {k: np.concatenate(v) for k, v in parts.items()}
     return {k: (v[:3], v[3:]) for k, v in whole.items()}
 
 

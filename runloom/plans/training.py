@@ -1,4 +1,7 @@
-"""Data-parallel momentum SGD: one Spark job per step, a whole sweep per scan."""
+"""Data-parallel momentum SGD: an epoch is one barrier job, and a whole sweep shares its scans.
+
+Where the model is too large to be exchanged among the tasks, a step is a job of its own.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from runloom.operators import dataset
 from runloom.operators.records import new_stamp
-from runloom.operators.scans import row_index
 from runloom.plans.checkpoints import save_model
+from runloom.plans.epochs import NumberedRows, run_epoch, step_tasks
 from runloom.plans.gradients import batch_sums, cost_sums, unflatten
 from runloom.plans.network import NetConfig, Network
 from runloom.plans.score import evaluate_details
@@ -47,48 +50,56 @@ def zero_velocity(net: Network) -> list:
     return [(np.zeros_like(w), np.zeros_like(b)) for w, b in zip(net.weights, net.biases)]
 
 
-def numbered_batches(train: DataFrame, size: int, rows: int, id_col: str, seed: int, epoch: int | None) -> DataFrame:
-    """Rows with ``batch_no`` in (shuffled) order and the folder their batch is stored in."""
-    if epoch is None:
-        placed = row_index(train, [id_col], "_at")
-    else:
-        placed = dataset.shuffle(train, seed, epoch, id_col, name="_at")
-    batches = -(-rows // size)
-    per_folder = -(-batches // BATCH_FOLDERS)
-    number = dataset.batch_number(F.col("_at"), size)
-    return placed.select(
-        *[c for c in train.columns if c != id_col],
-        number.alias("batch_no"),
-        F.floor(number / per_folder).cast("int").alias("batch_folder"),
-    )
-
-
-class EpochTable:
-    """The rows of one epoch, written so that a step reads its own batch only.
+class EpochTable(NumberedRows):
+    """The rows of one epoch, written so that a step that is a job of its own reads its own batch only.
 
     The folder prunes partitions, the order inside it lets row groups be skipped. The table
     lies in the shared folder and each epoch overwrites the one before.
     """
 
     def __init__(self, train: DataFrame, size: int, id_col: str, seed: int):
-        self.train, self.size, self.id_col, self.seed = train, size, id_col, seed
+        super().__init__(train, size, id_col, seed)
         self.path = shared_path(train.sparkSession, "epoch")
-        self.rows = train.count()
-        self.batches = -(-self.rows // size)
-        self.frame: DataFrame | None = None
+        self.written: DataFrame | None = None
+
+    @property
+    def per_folder(self) -> int:
+        return -(-self.batches // BATCH_FOLDERS)
 
     def fill(self, epoch: int | None) -> None:
-        numbered = numbered_batches(self.train, self.size, self.rows, self.id_col, self.seed, epoch)
-        sorted_rows = numbered.sortWithinPartitions("batch_folder", "batch_no")
-        sorted_rows.write.mode("overwrite").partitionBy("batch_folder").parquet(self.path)
-        self.frame = self.train.sparkSession.read.parquet(self.path)
+        number = dataset.batch_number(F.col("_place"), self.size)
+        folder = F.floor(number / self.per_folder).cast("int")
+        numbered = self.placed(epoch).select("*", number.alias("batch_no"), folder.alias("batch_folder"))
+        by_batch = numbered.repartition("batch_folder").sortWithinPartitions("batch_folder", "batch_no", "_place")
+        by_batch.write.mode("overwrite").partitionBy("batch_folder").parquet(self.path)
+        self.written = self.frame.sparkSession.read.parquet(self.path)
 
     def batch(self, number: int) -> tuple[DataFrame, int]:
         """The rows of one batch, and how many they are."""
-        per_folder = -(-self.batches // BATCH_FOLDERS)
         rows = min(self.size, self.rows - number * self.size)
-        wanted = (F.col("batch_folder") == number // per_folder) & (F.col("batch_no") == number)
-        return self.frame.where(wanted), rows
+        wanted = (F.col("batch_folder") == number // self.per_folder) & (F.col("batch_no") == number)
+        return self.written.where(wanted), rows
+
+    def steps(self, epoch: int | None, nets: dict[int, Network], velocity: dict[int, list], data: str, target: str) -> dict[int, np.ndarray]:
+        """One pass over the batches, which moves the networks: the sum of each one's batch means of (cost, correct)."""
+        tasks = step_tasks(self.frame.sparkSession, nets, self.size)
+        if tasks:
+            own = {k: velocity[k] for k in nets}
+            found = run_epoch(self, epoch, nets, own, tasks, data, target, sgd_step)
+            for key, (net, speed, _) in found.items():
+                nets[key].weights, nets[key].biases, nets[key].batch = net.weights, net.biases, net.batch
+                velocity[key] = speed
+            return {key: means for key, (_, _, means) in found.items()}
+        means = {k: np.zeros(2) for k in nets}
+        if epoch is not None or self.written is None:
+            self.fill(epoch)
+        for number in range(self.batches):
+            rows_of_batch, count = self.batch(number)
+            for key, (head, flat) in batch_sums(rows_of_batch, nets, count, data, target).items():
+                means[key] += head[1:] / head[0]  # measured before the update
+                sgd_step(nets[key], velocity[key], unflatten(nets[key], flat))
+                nets[key].batch += 1
+        return means
 
 
 def evaluate_many(df: DataFrame | None, nets: dict[int, Network], data: str, target: str) -> dict[int, tuple[float, float]]:
@@ -117,7 +128,8 @@ def fit_many(
     """Train every configuration on the same data.
 
     Configurations with the same batch size and shuffling step together: each step reads its
-    batch once and returns the gradients of all of them. ``start`` resumes from loaded
+    batch once for all of them. Shuffled, an epoch takes the rows in the order of a keyed
+    permutation of their numbers. ``start`` resumes from loaded
     networks. ``store`` (a profile store) gets a row per run and per epoch and the details of
     the final test, ``model_path`` a checkpoint whenever validation accuracy beats every
     earlier epoch.
@@ -144,17 +156,9 @@ def fit_many(
         for epoch in range(max(configs[k].epoch for k in keys)):
             live = [k for k in keys if epoch < configs[k].epoch]
             nets = {k: out[k].network for k in live}
-            if shuffled or epoch == 0:
-                table.fill(epoch if shuffled else None)
-            means = {k: np.zeros(2) for k in live}
             for net in nets.values():
                 net.epoch += 1
-            for number in range(table.batches):
-                rows_of_batch, count = table.batch(number)
-                for key, (head, flat) in batch_sums(rows_of_batch, nets, count, data, target).items():
-                    means[key] += head[1:] / head[0]  # measured before the update
-                    sgd_step(nets[key], velocity[key], unflatten(nets[key], flat))
-                    nets[key].batch += 1
+            means = table.steps(epoch if shuffled else None, nets, velocity, data, target)
             checked = evaluate_many(valid, nets, data, target)
             for key in live:
                 cost, correct = checked[key]
