@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import tiktoken
@@ -10,6 +11,9 @@ import tiktoken
 # The split pattern and the special token that belong to the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = "<|endoftext|>"
+# The rank encoder's pattern backtracks over white space; longer runs go to the library.
+LONG_RUN = 100_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -25,9 +29,9 @@ def byte_symbols() -> dict[str, int]:
 class ByteBpe:
     """Encodes texts with a byte-level vocabulary given as the content of its JSON file.
 
-    Texts within Latin-1 go to the rank encoder, which is four times as fast; texts beyond it or
-    with the special token go to the ``tokenizers`` library, whose Unicode tables decide there.
-    Both give the same ids.
+    Texts within Latin-1 go to the rank encoder, which is four times as fast; texts beyond it, with the
+    special token or with very long runs of white space go to the ``tokenizers`` library, whose
+    Unicode tables decide there. Both give the same ids.
     """
 
     def __init__(self, spec: bytes):
@@ -59,7 +63,7 @@ class ByteBpe:
         """Ids as little-endian integers of ``dtype``; a null text counts as empty."""
         if not text:
             return b""
-        if END_OF_TEXT in text:
+        if END_OF_TEXT in text or (len(text) >= LONG_RUN and _LONG_SPACE.search(text)):
             return self._by_library(text)
         if not text.isascii():
             try:

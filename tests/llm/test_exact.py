@@ -11,7 +11,7 @@ from llm.cases import awkward, awkward_rows, none, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runloom.llm import ann, attribution, bpe, simhash, urls
+from runloom.llm import ann, attribution, bpe, simhash, tokens, urls
 from runloom.llm.components import connected_components
 from runloom.llm.queries import QUERIES
 from runloom.llm.registry import vocabulary
@@ -297,3 +297,19 @@ def test_neighbours_recall_and_copies(spark):
         if 1000 <= q < 1600:
             assert got == [v for v in [50, *range(1000, 1010)] if v != q][:5]
     assert hits >= 0.95 * 5 * 60
+
+
+def test_hosts_of_many_labels_and_rules_of_many_lengths(spark):
+    host = ".".join(["a"] * 100_000)
+    rows = [(1, f"http://{host}/x"), (2, f"http://{'.' * 1_000_000}net/"), (3, "http://b.org/" + "p" * 6000), (4, "http://org/pq")]
+    rules = [("a", "/", "block"), ("a.a.a", "/x", "allow"), ("net", "/", "block")] + [("org", "/" + "p" * n, ["allow", "block"][n % 2]) for n in range(5001)]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in found.collect()}
+    assert got == {1: ("a.a.a/x", "allow"), 2: ("net/", "block"), 3: ("org/" + "p" * 5000, "allow"), 4: ("org/p", "block")}
+
+
+def test_long_runs_of_white_space():
+    spec = vocabulary("byte_bpe_50k.json")
+    library, own = Tokenizer.from_str(spec.decode()), tokens.ByteBpe(spec)
+    for text in (" " * 5_000_000 + "x", "a" + "\t" * 400_000 + "\n" * 600_000, "b " * 200_000, " \n" * 60_000 + "end", "x" + "\r\n" * 49_999 + " y"):
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
