@@ -330,10 +330,11 @@ def deduplicate(docs: DataFrame, with_text: bool = True, **limits: int) -> DataF
     repeated = not own.groupBy("doc_id").count().where("count > 1").isEmpty()
     own = own.withColumn("part", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     # Keys that are never null, so that runs are dealt once: by them they are gathered and joined.
-    keys = ["none", "id", "part"]
+    keys = ["none", "id", *(["part"] if repeated else [])]
     found = all_firsts(own, **limits).withColumnRenamed("doc_id", "id").repartition(*keys)
     runs = found.groupBy(*keys).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     own = own.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "part")
+    own = own if repeated else own.drop("part")  # a constant would fall out of the join's keys alone
     if repeated:
         own = own.groupBy("doc_id", *keys).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
     else:
