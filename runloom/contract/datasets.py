@@ -387,9 +387,23 @@ SELECT id, i, j, round(min(v), 6) AS low, round(avg(v), 6) AS mean, count(*) AS
 FROM padded, range(4) c(i), range(4) d(j) WHERE y - 2 * i + 1 BETWEEN 0 AND 3 AND x - 2 * j + 1 BETWEEN 0 AND 3 GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    wanted = {"low": F.min("v"), "mean": F.avg("v"), "num_cells": F.count(F.lit(1))}
+    made = sliding.separable_windows(_cells(spark, sf), 8, 8, 4, 2, 1, {"low": "min", "total": "sum"}, with_padding=True)
+    made = made.select("id", "i", "j", "low", (F.col("total") / 16).alias("mean"), F.lit(16).cast("long").alias("num_cells"))
+    return rounded(made, "low", "mean")
+
+
+@query(
+    "x2_window_any_aggregate",
+    f"""WITH cell AS ({CELLS}),
+grid AS (SELECT vec_id AS id, y, x FROM embeddings, range(-1, 9) a(y), range(-1, 9) b(x)),
+padded AS (SELECT id, y, x, coalesce(v, 0) AS v FROM grid LEFT JOIN cell USING (id, y, x))
+SELECT id, i, j, round(max(v) - min(v), 6) AS spread, count(DISTINCT v) AS num_values
+FROM padded, range(4) c(i), range(4) d(j) WHERE y - 2 * i + 1 BETWEEN 0 AND 3 AND x - 2 * j + 1 BETWEEN 0 AND 3 GROUP BY 1, 2, 3""",
+)
+def _(spark, sf):
+    wanted = {"spread": F.max("v") - F.min("v"), "num_values": F.count_distinct("v")}
     made = sliding.window2d(_cells(spark, sf), 8, 8, 4, 2, 1, wanted, with_padding=True)
-    return rounded(made.drop("c"), "low", "mean")
+    return rounded(made.drop("c"), "spread")
 
 
 @query(

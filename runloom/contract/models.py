@@ -25,9 +25,10 @@ from runloom.contract.base import (
 from runloom.functions import arrays, neural
 from runloom.operators import reports, sliding
 from runloom.operators.scans import row_index
-from runloom.plans import gradients
+from runloom.plans import gradients, tiles
 from runloom.plans.checkpoints import load_model, save_model
-from runloom.plans.score import evaluate, evaluate_details, predict, relational_forward, score, weight_rows
+from runloom.plans.score import evaluate, evaluate_details, predict, score, weight_rows
+from runloom.plans.tiles import relational_forward
 from runloom.plans.training import fit, fit_many
 from runloom.session import cut_lineage, shared_path
 
@@ -113,6 +114,14 @@ def _(spark, sf):
     return rounded(relational_forward(_cells(spark, sf), pooled_net()), "y")
 
 
+@query("j4_model_tiles", NETWORK_SQL)
+def _(spark, sf):
+    """The model is read from a table of tiles, and no task or driver holds it whole."""
+    path = shared_path(spark, "tiles")
+    tiles.save_tiles(spark, pooled_net(), path)
+    return _outputs(tiles.score_tiles(images(spark, sf), spark.read.parquet(path), "id"), "id")
+
+
 # -- scores and reports -----------------------------------------------------------------
 
 
@@ -345,8 +354,8 @@ def _conv_deltas(spark, sf) -> DataFrame:
     top = score(data, net, "id", "label").select("id", F.posexplode(slope).alias("j", "d"))
     dense_w, _ = weight_rows(net, 1, spark)
     back = top.join(dense_w, "j").groupBy("id", "k").agg(F.sum(F.col("d") * F.col("w")).alias("d"))
-    w, b = weight_rows(net, 0, spark)
-    out = sliding.convolve(_cells(spark, sf), w, b, 8, 8, 3, 1, 1)
+    kernels = tiles.tiles_of(spark, net).where("layer = 0")
+    out = tiles.convolve(_cells(spark, sf), kernels, (1, 8, 8), 2, 3, 1, 1, data.count())
     placed = out.select("id", (F.col("c") * 64 + F.col("y") * 8 + F.col("x")).alias("k"), F.col("c").alias("e"), F.col("y").alias("i"), F.col("x").alias("j"), "v")
     return placed.join(back, ["id", "k"]).select("id", "e", "i", "j", (F.col("d") * neural.relu_slope(F.col("v"))).alias("d"))
 
@@ -367,8 +376,8 @@ SELECT cd.id, i + ky - 1 AS y, j + kx - 1 AS x, round(sum(d * kern.w), 8) + 0.0:
 WHERE i + ky - 1 BETWEEN 0 AND 7 AND j + kx - 1 BETWEEN 0 AND 7 GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    w, _ = weight_rows(conv_net(), 0, spark)
-    made = sliding.convolve_input_gradient(_cells(spark, sf), _conv_deltas(spark, sf), w, 8, 8, 3, 1, 1)
+    kernels = tiles.tiles_of(spark, conv_net()).where("layer = 0")
+    made = tiles.convolve_input_gradient(_conv_deltas(spark, sf), kernels, (1, 8, 8), 2, 3, 1, 1, images(spark, sf).count())
     return rounded(made.drop("c"), "g", digits=8)
 
 

@@ -2,15 +2,13 @@
 
 Each cell is sent to the output positions whose window covers it. The positions follow
 from the coordinates, so this is a local expansion of k x k rows per cell at most, not a
-join; weights come in by an equi-join on (channel, kernel cell).
+join. Maxima, minima and sums need none: rows first, then columns (``separable_windows``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runloom.functions.neural import relu
-
 
 def output_size(size: int, kernel: int, stride: int, padding: int) -> int:
     """(size + 2p - k) / s + 1, which must divide exactly."""
@@ -72,34 +70,65 @@ def window2d(
     return inside.groupBy("id", "c", "i", "j").agg(*[a.alias(n) for n, a in aggregates.items()])
 
 
-def convolve(
-    cells: DataFrame, weights: DataFrame, bias: DataFrame, height: int, width: int, kernel: int, stride: int, padding: int
+def _field(name: str):
+    return lambda x: x[name]
+
+
+_REDUCE = {"max": F.array_max, "min": F.array_min, "sum": lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)}
+
+
+def separable_windows(
+    cells: DataFrame, height: int, width: int, kernel: int, stride: int, padding: int, kinds: dict[str, str], with_padding: bool = False
 ) -> DataFrame:
-    """relu(b[e] + sum x * w) per (id, e, i, j); weights are ``(c, e, ky, kx, w)`` rows.
+    """Rows ``(id, c, i, j)`` with the max, min or sum of ``v`` over each window: ``kinds`` maps names to them.
 
-    Products are summed map-side before the shuffle. Weight tables are model-sized and
-    carry no hint; the planner broadcasts them by measured size.
+    The windows of one row of an image are taken first, and then of the columns of these: a cell is in
+    k windows of its row and k of its column instead of k x k, and what goes on is a row or a column of an
+    image as one array. Both passes are grouped within one exchange by image. With ``with_padding``
+    the zero cells of the border take part. Cells that an image lacks take no part.
     """
-    patches = patch_cells(cells, height, width, kernel, stride, padding)
-    sums = (
-        patches.join(weights, ["c", "ky", "kx"])
-        .groupBy("id", "e", "i", "j")
-        .agg(F.sum(F.col("v") * F.col("w")).alias("_s"))
-    )
-    return sums.join(bias, "e").select("id", F.col("e").alias("c"), F.col("i").alias("y"), F.col("j").alias("x"), relu(F.col("_s") + F.col("b")).alias("v"))
+    if padding >= kernel:
+        raise ValueError("windows that lie in the border only have no cells; use padding < kernel")
+    names = list(kinds)
+
+    def along(frame: DataFrame, at: str, line: str, size: int, place: str) -> DataFrame:
+        """One pass: (id, c, line, place, names) from (id, c, line, at, names), windows of length ``kernel`` over ``at``."""
+        count = output_size(size, kernel, stride, padding)
+        held = frame.groupBy("id", "c", line).agg(F.sort_array(F.collect_list(F.struct(at, *names))).alias("run"))
+
+        def window(p: Column) -> Column:
+            first = p * stride - padding
+            # Where no cell lacks, positions are indexes.
+            whole = F.slice("run", F.greatest(first, F.lit(0)) + 1, F.least(first + kernel, F.lit(size)) - F.greatest(first, F.lit(0)))
+            some = F.filter("run", lambda x: (x[at] >= first) & (x[at] < first + kernel))
+            inside = F.when(F.size("run") == size, whole).otherwise(some)
+            overhangs = (first < 0) | (first + kernel > size)
+
+            def reduced(values: Column) -> list[Column]:
+                out = []
+                for name, kind in kinds.items():
+                    value = _REDUCE[kind](F.transform(values, _field(name)))
+                    if with_padding and kind != "sum":
+                        zero = F.greatest(value, F.lit(0.0)) if kind == "max" else F.least(value, F.lit(0.0))
+                        value = F.when(overhangs, zero).otherwise(value)
+                    out.append(value.alias(name))
+                return out
+
+            made = F.transform(F.array(inside), lambda values: F.struct(p.alias(place), *reduced(values)))[0]
+            return F.when(F.size(inside) > 0, made)
+
+        windows = F.filter(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), window), lambda x: x.isNotNull())
+        return held.select("id", "c", line, F.explode(windows).alias("w")).select("id", "c", line, f"w.{place}", *[f"w.{n}" for n in names])
+
+    start = cells.select("id", "c", "y", "x", *[F.col("v").cast("double").alias(n) for n in names]).repartition("id")
+    by_row = along(start, "x", "y", width, "j")
+    return along(by_row, "y", "j", height, "i").select("id", "c", "i", "j", *names)
 
 
 def max_pool(cells: DataFrame, height: int, width: int, kernel: int, stride: int, padding: int) -> DataFrame:
     """Largest value of each window; border cells are 0 and take part."""
-    pooled = window2d(cells, height, width, kernel, stride, padding, {"v": F.max("v"), "_n": F.count(F.lit(1))})
-    value = F.when(F.col("_n") < kernel * kernel, F.greatest("v", F.lit(0.0))).otherwise(F.col("v"))
-    return pooled.select("id", "c", F.col("i").alias("y"), F.col("j").alias("x"), value.alias("v"))
-
-
-def dense(inputs: DataFrame, weights: DataFrame, bias: DataFrame) -> DataFrame:
-    """x.W + b per (id, j) from rows ``(id, k, v)``, weights ``(k, j, w)`` and bias ``(j, b)``."""
-    sums = inputs.join(weights, "k").groupBy("id", "j").agg(F.sum(F.col("v") * F.col("w")).alias("_s"))
-    return sums.join(bias, "j").select("id", "j", (F.col("_s") + F.col("b")).alias("z"))
+    pooled = separable_windows(cells, height, width, kernel, stride, padding, {"v": "max"}, with_padding=True)
+    return pooled.select("id", "c", F.col("i").alias("y"), F.col("j").alias("x"), "v")
 
 
 def dense_weight_gradient(inputs: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -126,19 +155,6 @@ def convolve_weight_gradient(
     )
 
 
-def convolve_input_gradient(
-    cells: DataFrame, deltas: DataFrame, weights: DataFrame, height: int, width: int, kernel: int, stride: int, padding: int
-) -> DataFrame:
-    """Gradient of each input cell: the transposed convolution."""
-    patches = patch_cells(cells, height, width, kernel, stride, padding)
-    return (
-        patches.join(deltas, ["id", "i", "j"])
-        .join(weights, ["c", "e", "ky", "kx"])
-        .groupBy("id", "c", "y", "x")
-        .agg(F.sum(F.col("d") * F.col("w")).alias("g"))
-    )
-
-
 def max_pool_input_gradient(
     cells: DataFrame, pooled: DataFrame, deltas: DataFrame, height: int, width: int, kernel: int, stride: int, padding: int
 ) -> DataFrame:

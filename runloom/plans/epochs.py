@@ -86,8 +86,7 @@ def run_epoch(
     a repeated stage gives them again. The driver sees the networks after the last step only, from one task.
     """
     spark = table.frame.sparkSession
-    for net in nets.values():
-        net.check_broadcast()
+    Network.check_broadcast(nets)
     shared = spark.sparkContext.broadcast(cloudpickle.dumps((nets, velocity)))
     size, rows, count = table.size, table.rows, table.batches
 

@@ -16,8 +16,8 @@ from pyspark.sql import SparkSession
 from runloom.operators.sliding import output_size
 from runloom.plans.kernels import ACTIVATIONS, COSTS, IMAGE_LAYERS
 
-# A model is updated on the driver and broadcast whole; beyond this size it is refused
-# there, and the long-table form (relational_forward) scores it by joins.
+# Networks are updated on the driver and broadcast whole, all of a sweep at once; beyond this size
+# in all they are refused there, and the tiled form (tiles.score_tiles) scores a model piece by piece.
 MODEL_BYTES_LIMIT = 2 << 30
 
 
@@ -149,18 +149,19 @@ class Network:
     def nbytes(self) -> int:
         return sum(w.nbytes for w in self.weights) + sum(b.nbytes for b in self.biases)
 
-    def check_broadcast(self) -> None:
-        if self.nbytes > MODEL_BYTES_LIMIT:
-            raise ValueError(f"model of {self.nbytes} bytes is above the broadcast limit; use relational_forward")
+    @staticmethod
+    def check_broadcast(nets: dict[int, Network]) -> None:
+        size = sum(net.nbytes for net in nets.values())
+        if size > MODEL_BYTES_LIMIT:
+            raise ValueError(f"{len(nets)} networks of {size} bytes are above the broadcast limit; use fewer at once, or score_tiles")
 
     @staticmethod
     def ship(spark: SparkSession, nets: dict[int, Network]) -> Shipped:
-        """Broadcast networks after a check of their size.
+        """Broadcast networks after a check of their size in all.
 
         cloudpickle carries layer objects defined in a notebook or script as well.
         """
-        for net in nets.values():
-            net.check_broadcast()
+        Network.check_broadcast(nets)
         return Shipped(spark.sparkContext.broadcast(cloudpickle.dumps(nets)))
 
     def shape_input(self, rows: np.ndarray) -> np.ndarray:

@@ -9,14 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from runloom.functions import arrays, neural
-from runloom.operators import reports, sliding
+from runloom.functions import arrays
+from runloom.operators import reports
 from runloom.plans.kernels import windows
 from runloom.plans.network import Network, NetConfig, ann_bias, ann_weights
 from runloom.session import cut_lineage
 
 SLICE_BYTES = 64 << 20
-WEIGHT_TABLE_BYTES = 64 << 20
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:
@@ -183,54 +182,10 @@ def network_target(df: DataFrame, inputs: Sequence[str], structure: Sequence[int
 
 
 def weight_rows(net: Network, layer: int, spark) -> tuple[DataFrame, DataFrame]:
-    """Weights and bias of one layer as long tables, for the join form.
-
-    Kernels have few different keys, so their tables must not be shuffled against the data:
-    tables up to ``WEIGHT_TABLE_BYTES`` are broadcast. Only dense layers, whose keys are as
-    many as their inputs, grow beyond.
-    """
+    """Weights and bias of one layer as long tables."""
     w, b = net.weights[layer], net.biases[layer]
     index = np.indices(w.shape).reshape(w.ndim, -1)
     axes = ("k", "j") if w.ndim == 2 else ("c", "e", "ky", "kx")
     columns = {a: pa.array(i.astype(np.int32)) for a, i in zip(axes, index)}
     weights = spark.createDataFrame(pa.table({**columns, "w": pa.array(w.reshape(-1))}))
-    bias = spark.createDataFrame(pa.table({axes[1]: pa.array(np.arange(len(b), dtype=np.int32)), "b": pa.array(b)}))
-    small = lambda df, rows: F.broadcast(df) if 24 * rows <= WEIGHT_TABLE_BYTES else df
-    return small(weights, w.size), small(bias, b.size)
-
-
-def relational_forward(cells: DataFrame, net: Network) -> DataFrame:
-    """The forward pass by joins over long tables: no model broadcast, any model size.
-
-    ``cells`` are ``(id, c, y, x, v)`` for images and ``(id, k, v)`` for dense input; the
-    result is ``(id, j, y)``. Softmax sums by a window over one row's outputs.
-    """
-    spark, frame, channels = cells.sparkSession, cells, net.config.input_num_channels
-    size = net.config.image()[1:] if net.config.image() else None
-    for n, (layer, _, out_size) in enumerate(net.config.walk()):
-        if layer.type == "MAXPOOL":
-            frame = sliding.max_pool(frame, *size, layer.kernel_size, layer.stride, layer.padding)
-        elif layer.type == "CONVOLUTION":
-            w, b = weight_rows(net, n, spark)
-            frame = sliding.convolve(frame, w, b, *size, layer.kernel_size, layer.stride, layer.padding)
-        else:
-            if size is not None:
-                plane = size[0] * size[1]
-                k = F.col("c") * plane + F.col("y") * size[1] + F.col("x")
-                frame = frame.select("id", k.cast("int").alias("k"), "v")
-            w, b = weight_rows(net, n, spark)
-            frame = _activate(sliding.dense(frame, w, b), layer.type).select("id", F.col("j").alias("k"), "v")
-        size, channels = out_size, layer.num_channels
-    return frame.select("id", F.col("k").alias("j"), F.col("v").alias("y")) if size is None else frame
-
-
-def _activate(z: DataFrame, kind: str) -> DataFrame:
-    if kind == "FC_SIG":
-        return z.withColumn("v", neural.sigmoid(F.col("z")))
-    if kind == "FC_LIN":
-        return z.withColumn("v", F.col("z"))
-    if kind != "FC_SOFTMAX":
-        raise ValueError(f"{kind} has no join form")
-    power = F.exp(F.least(F.col("z"), F.lit(neural.EXP_CLAMP)))
-    whole = z.groupBy("id").agg(F.sum(power).alias("_s"))
-    return z.join(whole, "id").withColumn("v", F.try_divide(power, F.col("_s")))
+    return weights, spark.createDataFrame(pa.table({axes[1]: pa.array(np.arange(len(b), dtype=np.int32)), "b": pa.array(b)}))

@@ -11,7 +11,8 @@ from runloom.plans.checkpoints import load_model, save_model
 from runloom.plans.kernels import ACTIVATIONS, Dense
 from runloom.plans.network import Layer, NetConfig, Network
 from runloom.plans.profile_store import ProfileStore
-from runloom.plans.score import evaluate, evaluate_details, predict, relational_forward, score
+from runloom.plans.score import evaluate, evaluate_details, predict, score
+from runloom.plans.tiles import relational_forward
 from runloom.plans.sweeps import configurations, sweep_table
 from runloom.plans.training import fit, fit_many, sgd_step, zero_velocity
 
