@@ -286,6 +286,11 @@ def _(spark, sf):
     return _activated(spark, sf, lambda z: neural.relu_slope(neural.relu(z)))
 
 
+@query("f4_unit_slope", f"SELECT id, k, 1.0::DOUBLE AS v FROM ({PIXELS})")
+def _(spark, sf):
+    return _activated(spark, sf, neural.unit_slope)
+
+
 @query(
     "f2_softmax",
     f"SELECT id, k, round(exp(least({Z}, 400)) / sum(exp(least({Z}, 400))) OVER (PARTITION BY id), 6) AS v FROM ({PIXELS})",

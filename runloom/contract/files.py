@@ -179,9 +179,10 @@ def _(spark, sf):
 
 
 def _event_log(spark, sf) -> DataFrame:
-    """``events`` written as task and stage lines of an application's log, and read back.
+    """``events`` written as the lines of an application's log, and read back.
 
-    A stage is a user; a task runs for 1000 x value milliseconds.
+    A stage is a user, and so is a job, which plans one more stage that never runs; a task runs for
+    1000 x value milliseconds. Every region is a host, whose first executor is replaced by a smaller one.
     """
     path = f"{shared_path(spark, 'log')}/app-20240101000000-0001"
     rows = table(spark, sf, "events")
@@ -207,7 +208,24 @@ def _event_log(spark, sf) -> DataFrame:
     )
     stage = F.struct(F.lit("SparkListenerStageCompleted").alias("Event"), info.alias("Stage Info"))
     per_stage = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    lines = rows.select(F.to_json(task).alias("value")).union(per_stage.select(F.to_json(stage)))
+    job = F.col("user_id").alias("Job ID")
+    more = F.array("user_id", F.col("user_id") + 1_000_000).alias("Stage IDs")
+    begin = F.struct(F.lit("SparkListenerJobStart").alias("Event"), job, F.col("user_id").alias("Submission Time"), more)
+    end = F.struct(F.lit("SparkListenerJobEnd").alias("Event"), job, (F.col("user_id") + F.col("n") * 10).alias("Completion Time"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"))
+    start = F.struct(F.lit("SparkListenerApplicationStart").alias("Event"), F.lit("batch_eval-dsize_500-partition_8-itr_1").alias("App Name"), F.lit(500).alias("Timestamp"))
+    close = F.struct(F.lit("SparkListenerApplicationEnd").alias("Event"), (F.col("n") + 500).alias("Timestamp"))
+    memory = F.struct(F.lit("SparkListenerEnvironmentUpdate").alias("Event"), F.create_map(F.lit("spark.executor.memory"), F.lit("4g")).alias("Spark Properties"))
+
+    def executor(cores):
+        return F.struct(F.lit("SparkListenerExecutorAdded").alias("Event"), F.struct(F.col("r_name").alias("Host"), cores.alias("Total Cores")).alias("Executor Info"))
+
+    hosts = table(spark, sf, "region").withColumn("r_regionkey", F.col("r_regionkey").cast("long"))
+    parts = [(per_stage, stage), (per_stage, begin), (per_stage, end), (whole, start), (whole, close), (whole, memory)]
+    parts += [(hosts, executor(F.col("r_regionkey") + 4)), (hosts, executor(F.lit(1)))]
+    lines = rows.select(F.to_json(task).alias("value"))
+    for frame, line in parts:
+        lines = lines.union(frame.select(F.to_json(line)))
     lines.write.text(path)
     return event_log.read_events(spark, path)
 
@@ -220,7 +238,7 @@ FROM events GROUP BY user_id""",
 )
 def _(spark, sf):
     wanted = ["Duration", "Scheduler_Delay", "Input_Size", "Peak_Execution_Memory"]
-    sums = stages.stage_sums(event_log.task_metrics(_event_log(spark, sf)), ["app_id", "stage_id"], metrics=wanted)
+    sums = event_log.task_sums(_event_log(spark, sf), wanted)
     return rounded(sums, "Duration", "Scheduler_Delay", digits=3)
 
 
@@ -238,5 +256,60 @@ def _(spark, sf):
     """SELECT user_id AS stage_id, round(median(round(value * 1000) / 1000.0), 4) AS median FROM events GROUP BY user_id""",
 )
 def _(spark, sf):
-    medians = event_log.stage_medians(_event_log(spark, sf)).where("metric = 'Duration'")
+    medians = event_log.stage_medians(_event_log(spark, sf), ["Duration"])
     return rounded(medians.select("stage_id", "median"), "median", digits=4)
+
+
+@query(
+    "a14_app_summary",
+    """SELECT 'app-20240101000000-0001' AS app_id, 'batch_eval-dsize_500-partition_8-itr_1' AS name, count(*) / 1000.0::DOUBLE AS tot_dur,
+count(DISTINCT user_id) AS num_jobs, count(DISTINCT user_id) AS num_stages, (SELECT count(*) FROM region) AS num_workers,
+(SELECT CAST(sum(r_regionkey + 4) AS BIGINT) FROM region) AS num_cores, 4096.0::DOUBLE AS mem_per_node FROM events""",
+)
+def _(spark, sf):
+    return event_log.app_summary(_event_log(spark, sf))
+
+
+@query(
+    "a14_job_summary",
+    """SELECT 'app-20240101000000-0001' AS app_id, user_id AS job_id, count(*) / 100.0::DOUBLE AS duration, 1::BIGINT AS stages_done, 2::BIGINT AS stages_total
+FROM events GROUP BY user_id""",
+)
+def _(spark, sf):
+    return event_log.job_summary(_event_log(spark, sf))
+
+
+@query(
+    "s17_stage_rows",
+    """SELECT '2024.01.01-00.00.00' AS populate_time, (SELECT count(*) FROM region) AS clt_size, 'node' AS node_type,
+(SELECT CAST(sum(r_regionkey + 4) AS BIGINT) FROM region) AS num_cores, 4096.0::DOUBLE AS mem_per_node, 'app-20240101000000-0001' AS app_id,
+'batch_eval' AS app_name, 500::BIGINT AS data_size, 8::BIGINT AS num_partition, 1::BIGINT AS itr,
+(SELECT count(*) FROM events) / 1000.0::DOUBLE AS tot_dur, user_id AS stage_id, 'collect' AS descp,
+round(sum(round(value * 1000) / 1000.0), 3) AS "Duration", round(count(*) * 0.025::DOUBLE, 3) AS "Scheduler_Delay",
+round(count(*) * 0.02::DOUBLE, 3) AS "Task_Deserialization_Time", NULL::DOUBLE AS "GC_Time", round(count(*) * 0.005::DOUBLE, 3) AS "Result_Serialization_Time",
+0.0::DOUBLE AS "Getting_Result_Time", CAST(sum(length(props)) AS DOUBLE) AS "Peak_Execution_Memory", CAST(sum(event_id) AS DOUBLE) AS "Input_Size",
+NULL::DOUBLE AS "Shuffle_Read_Size", NULL::DOUBLE AS "Shuffle_Read_Blocked_Time", NULL::DOUBLE AS "Shuffle_Remote_Reads", NULL::DOUBLE AS "Input_Size___Records"
+FROM events GROUP BY user_id""",
+)
+def _(spark, sf):
+    rows = event_log.stage_rows(_event_log(spark, sf), "node", "2024.01.01-00.00.00")
+    return rounded(rows, "Duration", "Scheduler_Delay", "Task_Deserialization_Time", "Result_Serialization_Time", digits=3)
+
+
+FILES = """files AS (SELECT source AS set, CASE WHEN doc_id % 7 = 0 AND doc_id % 2 = 1 THEN '.' ELSE '' END || 'f' || doc_id || '.' ||
+CASE WHEN source IN ('src0', 'src1') AND doc_id % 5 = 0 THEN 'txt' WHEN source = 'src2' THEN 'doc' WHEN source = 'src3' THEN 'npz' ELSE 'parquet' END AS name
+FROM documents)"""
+
+
+@query(
+    "p8_input_sets",
+    f"""WITH {FILES}, kinds AS (SELECT DISTINCT set, regexp_extract(name, '([^.]*)$', 1) AS kind FROM files WHERE name NOT LIKE '.%')
+SELECT set, string_agg(kind, ' ' ORDER BY kind) AS kinds, count(*) = 1 AND bool_and(kind IN ('npz', 'parquet')) AS accepted FROM kinds GROUP BY set""",
+)
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    hidden = F.when((F.col("doc_id") % 7 == 0) & (F.col("doc_id") % 2 == 1), ".").otherwise("")
+    mixed = F.col("source").isin("src0", "src1") & (F.col("doc_id") % 5 == 0)
+    kind = F.when(mixed, "txt").when(F.col("source") == "src2", "doc").when(F.col("source") == "src3", "npz").otherwise("parquet")
+    files = docs.select(F.col("source").alias("set"), F.concat(hidden, F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("name"))
+    return sets.input_types(files).withColumn("kinds", F.array_join("kinds", " "))

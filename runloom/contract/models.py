@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from runloom.contract.base import (
@@ -13,6 +16,7 @@ from runloom.contract.base import (
     PIXELS,
     SCORED,
     W0,
+    bias,
     conv_net,
     double_images,
     flat_net,
@@ -21,12 +25,16 @@ from runloom.contract.base import (
     pooled_net,
     query,
     rounded,
+    table,
+    weight,
 )
-from runloom.functions import arrays, neural
+from runloom.functions import arrays, neural, normal
 from runloom.operators import reports, sliding
 from runloom.operators.scans import row_index
 from runloom.plans import gradients, tiles
 from runloom.plans.checkpoints import load_model, save_model
+from runloom.plans.kernels import ACTIVATIONS, COSTS as COST_TABLE, Dense
+from runloom.plans.network import Network
 from runloom.plans.score import evaluate, evaluate_details, predict, score, weight_rows
 from runloom.plans.tiles import relational_forward
 from runloom.plans.training import fit, fit_many
@@ -395,6 +403,77 @@ def _(spark, sf):
     return rounded(sliding.max_pool_input_gradient(cells, pooled, deltas, 8, 8, 2, 2, 0).drop("c"), "g")
 
 
+POOLED_DELTA = f"""{CONV_OUT}, n AS (SELECT count(*) AS n FROM embeddings),
+pool AS (SELECT id, label, e, i // 2 AS pi, j // 2 AS pj, e * 16 + (i // 2) * 4 + j // 2 AS k, max(v) AS v FROM conv GROUP BY ALL),
+fw AS (SELECT k, q, ((7 * k + 13 * q + 2) % 11 - 5) / 10.0 AS w FROM range(32) a(k), range(10) b(q)),
+z AS (SELECT id, label, q, sum(v * w) + any_value(((3 * q + 2) % 5 - 2) / 10.0) AS z FROM pool JOIN fw USING (k) GROUP BY id, label, q),
+o AS (SELECT id, label, q, exp(least(z, 400)) / sum(exp(least(z, 400))) OVER (PARTITION BY id) AS y FROM z),
+od AS (SELECT id, q, (y - CASE WHEN q = label THEN 1 ELSE 0 END) / n AS d FROM o, n),
+pd AS (SELECT id, k, sum(d * w) AS d FROM od JOIN fw USING (q) GROUP BY id, k),
+cd AS (SELECT conv.id, conv.e, i, j, CASE WHEN conv.v > 0 AND conv.v = pool.v THEN pd.d ELSE 0 END AS d
+       FROM conv JOIN pool ON pool.id = conv.id AND pool.e = conv.e AND i // 2 = pi AND j // 2 = pj JOIN pd ON pd.id = conv.id AND pd.k = pool.k)"""
+
+
+@query(
+    "n9_pooled_network_gradient",
+    f"""WITH {POOLED_DELTA}
+SELECT 'w' AS part, CAST(e * 9 + ky * 3 + kx AS INTEGER) AS pos, round(sum(v * d), 8) + 0.0::DOUBLE AS g
+FROM cell JOIN cd USING (id), range(3) a(ky), range(3) b(kx) WHERE y + 1 - ky = i AND x + 1 - kx = j GROUP BY e, ky, kx
+UNION ALL SELECT 'b', CAST(e AS INTEGER), round(sum(d), 8) + 0.0::DOUBLE FROM cd GROUP BY e""",
+)
+def _(spark, sf):
+    """The batch form's way back through a pooling layer."""
+    data = images(spark, sf)
+    rows = gradients.gradient_rows(data, pooled_net(), data.count()).where("layer = 0")
+    return rounded(rows.drop("layer"), "g", digits=8)
+
+
+@query("x3_added_layer_type", f"""SELECT id, j, round(abs(sum(v * {W0}) + any_value({B0})), 6) AS y FROM ({PIXELS}), range(10) r(j) GROUP BY id, j""")
+def _(spark, sf):
+    """A layer type that the library does not have, under a name of its own."""
+    ACTIVATIONS.setdefault("FC_ABS", Dense(np.abs, np.sign))
+    return _outputs(score(images(spark, sf), layer_net({"type": "FC_ABS", "num_channels": CLASSES}, False), "id"), "id")
+
+
+@query(
+    "x4_added_cost",
+    f"""WITH z AS (SELECT id, label, j, sum(v * {W0}) + any_value({B0}) AS y FROM ({PIXELS}), range(10) r(j) GROUP BY id, label, j)
+SELECT id, round(sum(abs(y - CASE WHEN j = label THEN 1 ELSE 0 END)), 6) AS cost FROM z GROUP BY id""",
+)
+def _(spark, sf):
+    """A cost that the library does not have, under a name of its own."""
+    COST_TABLE.setdefault("ABS", lambda y, t: np.abs(y - t).sum(axis=-1))
+    net = layer_net(DENSE, False)
+    made = score(images(spark, sf), Network.closed_form(replace(net.config, cost="ABS"), weight, bias), "id", target="label", with_y=False)
+    return rounded(made.select("id", "cost"), "cost")
+
+
+def _normal_sql(index: str, seed: int, stream: int) -> str:
+    """Normal numbers by counter, written out from the definition."""
+    sql = f"SELECT *, ({index}) // 46341 AS l, ({index}) % 46341 AS r FROM places"
+    for i in range(1, 6):
+        k = f"((69621::BIGINT * {seed} + 39373::BIGINT * {stream} + 26544357::BIGINT * {i}) % 2147483647)"
+        key = f"(({k} * {k} + 48271 * {k} + {i - 1}) % 2147483647)"
+        t = f"((r * 48271 + {key}) % 2147483647)"
+        sql = f"SELECT * EXCLUDE (l, r), r AS l, (l + ({t} * {t}) % 2147483647) % 46341 AS r FROM ({sql})"
+    poly = lambda c, x: "(" * (len(c) - 1) + str(c[0]) + "".join(f"::DOUBLE * {x} + ({v})::DOUBLE)" for v in c[1:])
+    centre = f"{poly(normal.CENTRE_ABOVE, 'q2')} * q / {poly(normal.CENTRE_BELOW, 'q2')}"
+    tail = f"{poly(normal.TAIL_ABOVE, 't')} / {poly(normal.TAIL_BELOW, 't')}"
+    return f"""SELECT * EXCLUDE (p, q, q2, t), CASE WHEN p < 0.02425 THEN {tail} WHEN p > 1.0 - 0.02425 THEN -({tail}) ELSE {centre} END AS z
+FROM (SELECT *, q * q AS q2, sqrt(-2.0 * ln(least(p, 1.0 - p))) AS t FROM (SELECT *, p - 0.5::DOUBLE AS q FROM (
+SELECT * EXCLUDE (l, r), ((l * 46341 + r)::DOUBLE + 0.5::DOUBLE) / 2147488281.0::DOUBLE AS p FROM ({sql}))))"""
+
+
+@query(
+    "n12_initial_weights",
+    f"""WITH places AS (SELECT vec_id AS k, j FROM embeddings, range(10) r(j)) SELECT k, j, round(0.3 * z, 6) + 0.0::DOUBLE AS w FROM ({_normal_sql("k * 10 + j", 0, 0)})""",
+)
+def _(spark, sf):
+    """First weights of a dense layer with an input for each vector, as columns."""
+    at = table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1)).cast("array<bigint>")).alias("j"))
+    return rounded(at.withColumn("w", F.lit(0.3) * normal.normal(F.col("k") * CLASSES + F.col("j"), 0, 0)), "w")
+
+
 # -- training ------------------------------------------------------------------------------------
 
 STEPS, ALPHA, MOMENTUM = 3, 2.0, 0.9

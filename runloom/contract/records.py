@@ -328,18 +328,6 @@ def _(spark, sf):
     return rounded(stages.stage_sums(_tasks(spark, sf), ["stage_id"]), *stages.METRICS, digits=2)
 
 
-@query(
-    "s17_stage_rows",
-    f"""SELECT '{STAMP}' AS populate_time, 4 AS clt_size, 'node' AS node_type, 'batch_eval' AS app_name,
-  CAST(500 AS BIGINT) AS data_size, CAST(8 AS BIGINT) AS num_partition, CAST(1 AS BIGINT) AS itr,
-  user_id AS stage_id, {STAGE_SUMS} FROM events GROUP BY user_id""",
-)
-def _(spark, sf):
-    sums = rounded(stages.stage_sums(_tasks(spark, sf), ["stage_id"], metrics=list(METRIC_OF.values())), *METRIC_OF.values(), digits=2)
-    app = text.app_name_parts(F.lit("batch_eval-dsize_500-partition_8-itr_1"))
-    return records.profile_rows(sums.select(*app, "*"), {"clt_size": 4, "node_type": "node"}, STAMP)
-
-
 @query(
     "a13_stage_median",
     "SELECT user_id AS stage_id, event_type AS metric, round(median(value), 4) AS median FROM events GROUP BY 1, 2",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import types
 import uuid
@@ -13,6 +14,7 @@ import numpy as np
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import SparkSession
 
+from runloom.functions.normal import normals
 from runloom.operators.sliding import output_size
 from runloom.plans.kernels import ACTIVATIONS, COSTS, IMAGE_LAYERS
 
@@ -129,10 +131,10 @@ class Network:
 
     @classmethod
     def initial(cls, config: NetConfig, seed: int = 0) -> Network:
-        """Normal weights times each layer's ``init_wt``, zero biases."""
-        rng = np.random.RandomState(seed)
+        """Normal weights times each layer's ``init_wt``, zero biases; a weight depends on seed, layer and place only."""
         pairs = list(zip(config.network, config.weight_shapes()))
-        return cls(config, [l.init_wt * rng.randn(*s) for l, s in pairs], [np.zeros(l.num_channels) for l, _ in pairs])
+        weights = [l.init_wt * normals(math.prod(s), seed, n).reshape(s) for n, (l, s) in enumerate(pairs)]
+        return cls(config, weights, [np.zeros(l.num_channels) for l, _ in pairs])
 
     @classmethod
     def closed_form(cls, config: NetConfig, weight: Callable, bias: Callable) -> Network:

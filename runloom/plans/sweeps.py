@@ -24,10 +24,15 @@ def sweep_table(
 
 
 def configurations(table: DataFrame, base: NetConfig) -> list[tuple[dict, NetConfig]]:
-    """The rows of a sweep table as configurations; they are few, and training holds them anyway."""
+    """The rows of a sweep table as configurations; they are few, and training holds them anyway.
+
+    A layer starts with the ``init_wt`` of the base's layer at its place, or of the base's last one.
+    """
     out = []
     for row in table.orderBy("learn_rate", "momentum", "batch_size", "struct").collect():
-        layers = tuple(Layer(SHORT_TYPES.get(l["type"], l["type"]), l["num_channels"], init_wt=base.network[0].init_wt) for l in row["network"])
+        inits = [l.init_wt for l in base.network]
+        inits += inits[-1:] * (len(row["network"]) - len(inits))
+        layers = tuple(Layer(SHORT_TYPES.get(l["type"], l["type"]), l["num_channels"], init_wt=i) for l, i in zip(row["network"], inits))
         conf = replace(base, network=layers, alpha=row["learn_rate"], momentum=row["momentum"], batch=row["batch_size"])
         out.append((row.asDict(), conf))
     return out

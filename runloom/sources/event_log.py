@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runloom.functions import text
 from runloom.operators.records import profile_rows
-from runloom.operators.stages import METRICS, exact_median, stage_sums
+from runloom.operators.stages import METRICS, exact_median
 
 # The event fields that are read, as Spark writes them.
 _SCHEMA = """
@@ -31,8 +33,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return events.select(F.regexp_extract("_metadata.file_path", _APP_ID, 1).alias("app_id"), "*")
 
 
-def task_metrics(events: DataFrame) -> DataFrame:
-    """Long rows (app_id, stage_id, metric, value), times in seconds, sizes in bytes."""
+def task_columns(events: DataFrame) -> DataFrame:
+    """A row per task: app_id, stage_id and a column per metric, times in seconds, sizes in bytes."""
     info, m = F.col("Task Info"), F.col("Task Metrics")
     shuffle = m["Shuffle Read Metrics"]
     seconds = lambda c: c / 1000.0
@@ -53,9 +55,19 @@ def task_metrics(events: DataFrame) -> DataFrame:
         "Shuffle_Remote_Reads": shuffle["Remote Bytes Read"],
         "Input_Size___Records": m["Input Metrics"]["Records Read"],
     }
-    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), values[n].cast("double").alias("value")) for n in METRICS])
     ends = events.where(F.col("Event") == "SparkListenerTaskEnd")
-    return ends.select("app_id", F.col("Stage ID").alias("stage_id"), F.inline(pairs))
+    return ends.select("app_id", F.col("Stage ID").alias("stage_id"), *[values[n].cast("double").alias(n) for n in METRICS])
+
+
+def task_metrics(events: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """Long rows (app_id, stage_id, metric, value) of the metrics asked for."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics])
+    return task_columns(events).select("app_id", "stage_id", F.inline(pairs))
+
+
+def task_sums(events: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """Sum of each metric over the tasks of a stage: one row per task goes in, as it was logged."""
+    return task_columns(events).groupBy("app_id", "stage_id").agg(*[F.sum(m).alias(m) for m in metrics])
 
 
 def app_summary(events: DataFrame) -> DataFrame:
@@ -122,8 +134,7 @@ def stage_rows(events: DataFrame, node_type: str, stamp: str | None = None) -> D
     A stage with tasks that never completed has no description.
     """
     apps = app_summary(events).select("app_id", "num_workers", "num_cores", "mem_per_node", "name", "tot_dur")
-    sums = stage_sums(task_metrics(events), ["app_id", "stage_id"])
-    joined = sums.join(stage_summary(events).select("app_id", "stage_id", "descp"), ["app_id", "stage_id"], "left").join(apps, "app_id")
+    joined = task_sums(events).join(stage_summary(events).select("app_id", "stage_id", "descp"), ["app_id", "stage_id"], "left").join(apps, "app_id")
     rows = joined.select(
         F.col("num_workers").alias("clt_size"),
         F.lit(node_type).alias("node_type"),
@@ -139,6 +150,6 @@ def stage_rows(events: DataFrame, node_type: str, stamp: str | None = None) -> D
     return profile_rows(rows, stamp=stamp)
 
 
-def stage_medians(events: DataFrame) -> DataFrame:
-    """Exact median of each metric per stage, as rows."""
-    return exact_median(task_metrics(events), ["app_id", "stage_id", "metric"], "value")
+def stage_medians(events: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """Exact median of each metric asked for per stage, as rows."""
+    return exact_median(task_metrics(events, metrics), ["app_id", "stage_id", "metric"], "value")

@@ -106,6 +106,14 @@ def check_input_type(names: Sequence[str]) -> str:
     return kind
 
 
+def input_types(files: DataFrame, set_col: str = "set", name: str = "name") -> DataFrame:
+    """Per input set of a table of file names: its visible files' types, and whether it holds one known type only."""
+    shown = files.where(~F.col(name).startswith(".")).select(set_col, F.substring_index(name, ".", -1).alias("_kind"))
+    kinds = shown.groupBy(set_col).agg(F.sort_array(F.collect_set("_kind")).alias("kinds"))
+    known = (F.size("kinds") == 1) & F.array_contains(F.array(*[F.lit(k) for k in FILE_TYPES]), F.col("kinds")[0])
+    return kinds.withColumn("accepted", known)
+
+
 def load_npz(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
     """The train, valid and test archives of a folder, and ``<split>_size`` of each."""
     names = list_files(spark, folder)
