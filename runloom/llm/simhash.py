@@ -16,8 +16,11 @@ from runloom.session import cut_lineage
 
 BITS = 64
 SEED = 42
+# Entries of a bucket above which it is looked at class by class, and rows of such buckets that are broadcast at most.
+LARGE_BUCKET = 64
+BROADCAST_ROWS = 100_000
 # Share of the links that a plan of likely segments finds at least, at the distance it is made for.
-RECALL = 0.97
+RECALL = 0.96
 
 
 def _votes(text: str | None, width: int, longs: int) -> tuple[int, np.ndarray]:
@@ -89,21 +92,21 @@ def segment_plan(distinct: int, radius: int) -> list[tuple[int, int, int]]:
     return [x for x in plan if x[2] >= 0]
 
 
-def likely_plan(distinct: int, longs: int, share: float) -> list[tuple[int, int, int]]:
-    """Segments for wide fingerprints that differ in a ``share`` of their bits: most such pairs agree nearly in one.
+def likely_plan(distinct: int, share: float) -> list[tuple[int, int, int]]:
+    """Segments of wide fingerprints for pairs that differ in a ``share`` of their bits: most agree nearly in one.
 
-    Segments have about log2(n) + 1 bits and do not cross a long. All are looked up within the least radius
-    at which, bits differing independently, RECALL of such pairs meet in some segment; nearer pairs
-    meet more often.
+    Segments have about log2(n) bits, do not cross a long, and are looked up within one bit. There are as
+    many as make RECALL of such pairs, bits differing independently, meet in one of them; nearer
+    pairs meet more often. So the fingerprint grows with the table rather than the balls.
     """
-    bits = min(BITS, max(8, math.ceil(math.log2(max(distinct, 2))) + 1))
-    each = BITS // bits
-    firsts = [BITS * k + i * (BITS // each) for k in range(longs) for i in range(each)]
-    for radius in range(bits + 1):
-        near = sum(math.comb(bits, r) * share**r * (1 - share) ** (bits - r) for r in range(radius + 1))
-        if 1 - (1 - near) ** len(firsts) >= RECALL:
-            break
-    return [(first, bits, radius) for first in firsts]
+    bits = min(BITS, max(8, math.ceil(math.log2(max(distinct, 2)))))
+    near = (1 - share) ** bits + bits * share * (1 - share) ** (bits - 1)
+    each, count = BITS // bits, math.ceil(math.log(1 - RECALL) / math.log(1 - near))
+    return [(BITS * (i // each) + i % each * (BITS // each), bits, 1) for i in range(count)]
+
+
+def longs_of(plan: list[tuple[int, int, int]]) -> int:
+    return max(first for first, _, _ in plan) // BITS + 1
 
 
 def _part(fp: Column, first: int, bits: int) -> Column:
@@ -124,7 +127,7 @@ def _segment(plan: list[tuple[int, int, int]]) -> list[Column]:
 def _entries(prints: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     """(k, v, and the columns of ``prints``): each fingerprint in the table of each segment k, under its value v."""
     tables = [F.struct(F.lit(k).alias("k"), part.alias("v")) for k, part in enumerate(_segment(plan))]
-    return prints.select("*", F.explode(F.array(*tables)).alias("t")).select("t.k", "t.v", *prints.columns)
+    return prints.select("*", F.explode(F.array(*tables)).alias("t")).select("t.k", "t.v", *prints.columns)  # unused columns fall away
 
 
 def _apart(left: list[Column], right: list[Column]) -> Column:
@@ -146,52 +149,60 @@ def _across(classed: DataFrame, names: list[str], radius: int, plan: list[tuple[
     """Links (a, b) between the classes of the table (node, class, f0, ...): those that hold near fingerprints.
 
     Every fingerprint enters each segment's table once and looks up the ball around its segment, from the
-    side whose segment is the smaller. Within a bucket, the class with most entries is told apart from
+    side whose segment is the smaller. In a large bucket, the class with most entries is told apart from
     the rest: its own lookups meet the rest only. So a bucket full of one class, as a large group of near
-    copies makes it, is not compared with itself.
+    copies makes it, is not compared with itself. ``names`` are the columns compared.
     """
 
     def lookup(k: int, part: Column, bits: int, r: int) -> Column:
         upward = F.filter(ball(part, bits, r), lambda v: v >= part)
         return F.transform(upward, lambda v: F.struct(F.lit(k).alias("k"), v.alias("v")))
 
+    # What was checkpointed may lie in few partitions, and a row makes very many here.
+    rows = classed.repartition(int(classed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     balls = [lookup(k, part, bits, r) for k, (part, (_, bits, r)) in enumerate(zip(_segment(plan), plan, strict=True))]
-    wanted = classed.select("class", *names, F.explode(F.concat(*balls)).alias("t")).select("t.k", "t.v", "class", *names)
-    entries = _entries(classed.select("class", *names), plan)
-    counts = entries.groupBy("k", "v", "class").agg(F.count(F.lit(1)).alias("n"))
-    buckets = counts.groupBy("k", "v").agg(F.max(F.struct("n", "class")).alias("top"), (F.count(F.lit(1)) > 1).alias("mixed"))
-    buckets = cut_lineage(buckets.select("k", "v", F.col("top.class").alias("most"), "mixed"))
-    ours = F.col("class") == F.col("most")
-    sides = F.when(ours, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    placed = entries.join(buckets, ["k", "v"]).select("k", "v", F.explode(sides).alias("side"), F.col("class").alias("d"), *[F.col(f).alias(f"g{i}") for i, f in enumerate(names)])
-    asked = wanted.join(buckets, ["k", "v"]).where(~ours | F.col("mixed")).select("k", "v", F.when(ours, 0).otherwise(1).alias("side"), F.col("class").alias("c"), *names)
+    wanted = rows.select("class", *names, F.explode(F.concat(*balls)).alias("t")).select("t.k", "t.v", F.col("class").alias("c"), *names)
+    entries = _entries(rows, plan).select("k", "v", F.col("class").alias("d"), *[F.col(f).alias(f"g{i}") for i, f in enumerate(names)])
+    counts = entries.groupBy("k", "v", "d").agg(F.count(F.lit(1)).alias("n"))
+    large = counts.groupBy("k", "v").agg(F.sum("n").alias("size"), F.max(F.struct("n", "d")).alias("top"))
+    large = cut_lineage(large.where(F.col("size") > LARGE_BUCKET).select("k", "v", F.col("top.d").alias("most")))
+    found = large.count()
+    large = F.broadcast(large) if found <= BROADCAST_ROWS else large
+    # Side 0 of a large bucket are its entries of other classes than the one with most, side 1 all entries.
+    ours = F.col("d") == F.col("most")
+    sides = F.when(F.col("most").isNull() | ours, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    placed = entries.join(large, ["k", "v"], "left").select("k", "v", F.explode(sides).alias("side"), "d", *[f"g{i}" for i in range(len(names))])
+    asked = wanted.join(large, ["k", "v"], "left").select("k", "v", F.when(F.col("c") == F.col("most"), 0).otherwise(1).alias("side"), "c", *names)
     near = _apart([F.col(f) for f in names], [F.col(f"g{i}") for i in range(len(names))]) <= radius
     met = asked.join(placed, ["k", "v", "side"]).where((F.col("c") != F.col("d")) & near)
     return met.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
 
 
-def rooted(prints: DataFrame, radius: int, longs: int, share: float | None) -> DataFrame:
+def rooted(prints: DataFrame, radius: int, compared: int, plan: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """(f0, ..., doc_id, root) of every fingerprint of the table (doc_id, f0, ...): its smallest id and its class.
 
+    Links are made at ``radius`` bits over the first ``compared`` longs; ``plan`` names the segments that bring
+    fingerprints together, by default those of one long that miss no link.
+
     Equal fingerprints are one before anything is looked up, so copies cost no pairs. A first pass ties
     every fingerprint to one other of each bucket, which joins large groups; the second looks up all
     that may be near, but for pairs that are in one class already. Both give links to a component
     search; no link between different classes is left out, and groups cost links in proportion to
     their size.
     """
-    names = _names(longs)
+    names = [c for c in prints.columns if c != "doc_id"]
     least = prints.groupBy(*names).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id())
     least = cut_lineage(least)
-    count = least.count()
-    plan = segment_plan(count, radius) if share is None else likely_plan(count, longs, share)
+    plan = plan or segment_plan(least.count(), radius)
 
     def classed(rows: DataFrame, column: str, links: DataFrame) -> DataFrame:
         found = connected_components(links).withColumnRenamed("node", "tied")
         joined = rows.join(found, rows[column] == found["tied"], "left")
         return cut_lineage(joined.withColumn("class", F.coalesce("root", column)).drop("tied", "root"))
 
-    first = classed(least, "node", _stars(_entries(least.select("node", *names), plan), names, radius)).withColumnRenamed("class", "star")
-    links = _across(first.select(F.col("star").alias("class"), *names), names, radius, plan)
+    stars = _stars(_entries(least.select("node", *names), plan), names[:compared], radius)
+    first = classed(least, "node", stars).withColumnRenamed("class", "star")
+    links = _across(first.select("node", F.col("star").alias("class"), *names), names[:compared], radius, plan)
     return classed(first, "star", links).select(*names, "doc_id", F.col("class").alias("root"))
 
 
@@ -207,17 +218,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     no rows; other columns are ignored.
     """
     prints = cut_lineage(fingerprints(docs, width))
-    found = rooted(prints, radius, 1, None)
+    found = rooted(prints, radius, 1)
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = found.join(least, "root").select(F.col("f0").alias("fp"), "component_id")
     return prints.withColumnRenamed("f0", "fp").join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 3, radius: int = 32, longs: int = 3, share: float = 0.12) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 3, radius: int = 32, compared: int = 3, share: float = 0.12) -> DataFrame:
     """The documents with one of each class of near-duplicates: that of the smallest doc_id.
 
-    Fingerprints have 64 * ``longs`` bits over shingles of ``width`` words, and are linked at ``radius`` bits
-    or fewer. Edits that leave a Jaccard similarity s of five-word shingles change about (1 - s) / (1 + s)
+    Fingerprints over shingles of ``width`` words are compared in 64 * ``compared`` bits, and linked where
+    ``radius`` or fewer differ; more bits are made for the segments that bring them together. Edits that leave a Jaccard similarity s of five-word shingles change about (1 - s) / (1 + s)
     of them, three fifths of that share of the three-word ones, and so arccos(1 - 3 (1 - s) / (5 (1 + s)))
     / pi of the bits: 0.12 at 0.8. The segments' plan is made for ``share``, which finds RECALL of the pairs
     so far apart and more of the nearer ones; 32 of 192 bits are two deviations above it. A class is
@@ -230,10 +241,12 @@ def deduplicate(docs: DataFrame, width: int = 3, radius: int = 32, longs: int =
     one stays; a document without id stays only where no document of its class has one; null and
     empty texts are copies of one another; all columns are returned as they are, whatever their names.
     """
+    plan = likely_plan(docs.count(), share)
+    longs = max(compared, longs_of(plan))
     names = _names(longs)
     prints = cut_lineage(fingerprints(docs, width, longs))
     alone = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names)
-    chosen = rooted(prints, radius, longs, share).groupBy("root").agg(F.min(alone).alias("x")).select("x.doc_id", *[f"x.{f}" for f in names])
+    chosen = rooted(prints, radius, compared, plan).groupBy("root").agg(F.min(alone).alias("x")).select("x.doc_id", *[f"x.{f}" for f in names])
     times = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
     stay = chosen.join(times, chosen["doc_id"].eqNullSafe(times["doc_id"])).select(
         chosen["doc_id"].alias("kept"), *[F.col(f).alias(f"k_{f}") for f in names], (chosen["doc_id"].isNull() | (F.col("times") > 1)).alias("shared")

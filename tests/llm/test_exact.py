@@ -87,7 +87,7 @@ def test_every_segment_plan_finds_all_links(spark, monkeypatch, distinct, radius
     monkeypatch.setattr(simhash, "segment_plan", lambda *_: plan)
     df = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(sorted(prints))], "doc_id long, f0 long")
     got = collections.defaultdict(set)
-    for r in simhash.rooted(df, radius, 1, None).collect():
+    for r in simhash.rooted(df, radius, 1).collect():
         got[r["root"]].add(r["f0"])
     want = collections.defaultdict(set)
     for f, root in plain_classes(prints, radius).items():
@@ -95,8 +95,8 @@ def test_every_segment_plan_finds_all_links(spark, monkeypatch, distinct, radius
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-@pytest.mark.parametrize("longs, radius, share", [(1, 6, None), (3, 32, 0.12)])
-def test_large_groups_cost_links_in_proportion(spark, monkeypatch, longs, radius, share):
+@pytest.mark.parametrize("longs, radius", [(1, 6), (3, 32)])
+def test_large_groups_cost_links_in_proportion(spark, monkeypatch, longs, radius):
     """20,000 different fingerprints, all near one another, beside two groups and single ones."""
     rng = np.random.default_rng(4)
     flips = rng.random((20_000, 64 * longs)) < (1.2 if longs == 1 else 8) / (64 * longs)
@@ -111,12 +111,19 @@ def test_large_groups_cost_links_in_proportion(spark, monkeypatch, longs, radius
             return made[-1]
 
         monkeypatch.setattr(simhash, name, counted)
-    found = simhash.rooted(df, radius, longs, share).collect()
+    found = simhash.rooted(df, radius, longs, simhash.likely_plan(23_000, 0.12) if longs == 3 else None).collect()
     sizes = collections.Counter(r["root"] for r in found)
     assert sizes.most_common(1)[0][1] >= 0.97 * len({tuple(w) for w in words[:20_000].tolist()}) and len(sizes) >= 3000
     assert made[0].count() <= 20 * len(found) and made[1].count() <= len(found)
 
 
+@pytest.mark.parametrize("rows", [1, 100, 50_000, 10**6, 10**9])
+def test_likely_plans_stay_within_their_longs(rows):
+    plan = simhash.likely_plan(rows, 0.12)
+    assert all(r == 1 and first % 64 + bits <= 64 for first, bits, r in plan) and len({p[0] for p in plan}) == len(plan)
+    assert simhash.longs_of(plan) <= 32 and 2 ** plan[0][1] >= rows
+
+
 def edited(rng, words, similarity):
     """The words with edits until the Jaccard similarity of five-word shingles is just above ``similarity``."""
     shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
