@@ -64,6 +64,16 @@ def parse_structure(structure: Column) -> Column:
     )
 
 
+# Time units in seconds, and size units by their first letter, decimal.
+TIME_UNITS = {"ms": 0.001, "mS": 0.001, "min": 60.0, "Min": 60.0, "h": 3600.0, "s": 1.0, "S": 1.0}
+SIZE_UNITS = {"k": 1000.0, "K": 1000.0, "m": 0.001, "M": 1000000.0, "g": 1000000000.0, "G": 1000000000.0}
+
+
+def _factor(unit: Column, units: dict[str, float]) -> Column:
+    """The factor of a unit, NULL for another."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in units.items() for x in pair]), unit)
+
+
 def _number_and_unit(text: Column) -> tuple[Column, Column]:
     tokens = F.split(F.trim(text), r"\s+")
     return F.get(tokens, F.lit(0)).try_cast("double"), F.element_at(tokens, -1)
@@ -72,12 +82,7 @@ def _number_and_unit(text: Column) -> tuple[Column, Column]:
 def in_seconds(text: Column) -> Column:
     """Numeric seconds of ``3 ms``, ``2 min`` ...; NULL when the unit is no time unit."""
     number, unit = _number_and_unit(text)
-    return (
-        F.when(unit.isin("ms", "mS"), number * 0.001)
-        .when(unit.isin("min", "Min"), number * 60.0)
-        .when(unit.isin("h"), number * 3600.0)
-        .when(unit.isin("s", "S"), number)
-    )
+    return number * _factor(unit, TIME_UNITS)
 
 
 def time_text(text: Column) -> Column:
@@ -91,12 +96,5 @@ def magnitude(text: Column) -> Column:
     Only the last token names the unit, so ``2.5 KB / 10`` stays 2.5. Empty is NULL.
     """
     number, unit = _number_and_unit(text)
-    letter = F.substring(unit, 1, 1)
-    sized = (
-        F.when(letter.isin("k", "K"), number * 1000.0)
-        .when(letter == "m", number * 0.001)
-        .when(letter == "M", number * 1000000.0)
-        .when(letter.isin("g", "G"), number * 1000000000.0)
-        .otherwise(number)
-    )
+    sized = number * F.coalesce(_factor(F.substring(unit, 1, 1), SIZE_UNITS), F.lit(1.0))
     return F.when(F.trim(text) != "", F.coalesce(in_seconds(text), sized))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,25 +31,31 @@ from runloom.plans.network import NetConfig
 from runloom.session import cut_lineage
 
 
-def _schema(text: Sequence[str], whole: Sequence[str], real: Sequence[str], order: Sequence[str]) -> StructType:
-    kinds = {**dict.fromkeys(text, StringType()), **dict.fromkeys(whole, LongType()), **dict.fromkeys(real, DoubleType())}
-    return StructType([StructField(c, kinds[c]) for c in order])
-
-
 # Characters a run stamp may have, as it names a folder.
 STAMP_CHARACTERS = r"[\w.\-]+"
 
-META = _schema(
-    ["struct", "cost_type", "train_func"],
-    ["train_size", "test_size", "batch_size"],
-    ["learn_rate", "momentum"],
-    ["struct", "cost_type", "train_func", "train_size", "test_size", "batch_size", "learn_rate", "momentum"],
+# The columns of the run table and of the cost table, in their stored order.
+META = StructType(
+    [
+        StructField("struct", StringType()),
+        StructField("cost_type", StringType()),
+        StructField("train_func", StringType()),
+        StructField("train_size", LongType()),
+        StructField("test_size", LongType()),
+        StructField("batch_size", LongType()),
+        StructField("learn_rate", DoubleType()),
+        StructField("momentum", DoubleType()),
+    ]
 )
-COSTS = _schema(
-    [],
-    ["epoch_num", "batch_num"],
-    ["cost_batch", "correct_batch", "cost_val", "correct_val"],
-    ["epoch_num", "batch_num", "cost_batch", "correct_batch", "cost_val", "correct_val"],
+COSTS = StructType(
+    [
+        StructField("epoch_num", LongType()),
+        StructField("batch_num", LongType()),
+        StructField("cost_batch", DoubleType()),
+        StructField("correct_batch", DoubleType()),
+        StructField("cost_val", DoubleType()),
+        StructField("correct_val", DoubleType()),
+    ]
 )
 
 
@@ -59,9 +67,11 @@ class ProfileStore:
     already in the folder.
     """
 
-    def __init__(self, spark: SparkSession, root: str, database: str = "profiles"):
-        self.spark, self.root, self.database = spark, root.rstrip("/"), database
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{self.root}'")
+    def __init__(self, spark: SparkSession, root: str, database: str | None = None):
+        """Without a name the database is named after the folder, so that stores do not meet."""
+        self.spark, self.root = spark, root.rstrip("/")
+        self.database = database or f"profiles_{hashlib.sha256(self.root.encode()).hexdigest()[:16]}"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}` LOCATION '{self.root}'")
 
     # -- catalog -----------------------------------------------------------------
 
@@ -137,8 +147,14 @@ class ProfileStore:
         self.append("meta_ann", self.spark.createDataFrame([row], META).coalesce(1), run_id=run_id)
 
     def add_costs(self, run_id: str, rows: Sequence[dict]) -> None:
-        """Per-epoch cost rows."""
-        self.append("profile_cost_ann", self.spark.createDataFrame(list(rows), COSTS).coalesce(1), run_id=run_id)
+        """Per-epoch cost rows of a run."""
+        self.add_costs_of({run_id: rows})
+
+    def add_costs_of(self, rows: dict[str, Sequence[dict]]) -> None:
+        """Per-epoch cost rows of several runs, in one append."""
+        stamped = [(*(row[f.name] for f in COSTS.fields), run) for run, those in rows.items() for row in those]
+        schema = StructType([*COSTS.fields, StructField(RUN_KEY, StringType())])
+        self.append_runs("profile_cost_ann", self.spark.createDataFrame(stamped, schema).coalesce(1))
 
     def add_inputs(self, dataset: DataFrame, run_id: str, width: int, id_col: str = "id", data: str = "data") -> None:
         """Feature columns with a 1-based position."""
@@ -167,14 +183,26 @@ class ProfileStore:
         written = F.regexp_extract("partition", "^[^=]*=(.*)$", 1)
         return parts.select(F.url_decode(F.replace(written, F.lit("+"), F.lit("%2B"))).alias(RUN_KEY))
 
-    def _drop_run(self, table: str, stamp: str) -> None:
-        """Empty the partition, then forget it: files and catalog stay in step."""
-        name = self._name(table)
-        fields = ", ".join(f"CAST(NULL AS {t}) AS `{c}`" for c, t in self.read(table).dtypes if c != RUN_KEY)
-        literal = stamp.replace("\\", "\\\\").replace("'", "\\'")
-        spec = f"PARTITION (`{RUN_KEY}` = '{literal}')"
-        self.spark.sql(f"INSERT OVERWRITE TABLE {name} {spec} SELECT {fields} WHERE false")
-        self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {spec}")
+    def _drop_runs(self, table: str, stamps: Sequence[str]) -> None:
+        """Forget the partitions of all these runs in one statement, then remove their files.
+
+        In this order a reader never finds a partition without its files, and a removal that was cut
+        short leaves files that the next one of the run clears.
+        """
+        if not stamps:
+            return
+        literals = [s.replace("\\", "\\\\").replace("'", "\\'") for s in stamps]
+        specs = ", ".join(f"PARTITION (`{RUN_KEY}` = '{s}')" for s in literals)
+        self.spark.sql(f"ALTER TABLE {self._name(table)} DROP IF EXISTS {specs}")
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        gone = set(stamps)
+        for found in files.listStatus(root):
+            folder = found.getPath().getName()
+            if folder.startswith(f"{RUN_KEY}=") and unquote(folder[len(RUN_KEY) + 1 :]) in gone:
+                files.delete(found.getPath(), True)
+        self.spark.catalog.refreshTable(self._name(table))
 
     def delete_where(self, table: str, names: str | Sequence[str], values: Any) -> int:
         """Remove matching rows; only runs that hold some are rewritten. Returns the number removed.
@@ -195,9 +223,7 @@ class ProfileStore:
             writer = rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy(RUN_KEY).parquet(f"{self.root}/{table}")
             self.spark.catalog.refreshTable(self._name(table))
-        for r in touched:
-            if r["gone"] == r["n"]:
-                self._drop_run(table, r[RUN_KEY])
+        self._drop_runs(table, [r[RUN_KEY] for r in touched if r["gone"] == r["n"]])
         return sum(r["gone"] for r in touched)
 
     def delete_last_runs(self, *tables: str, num_run: int = 1) -> list[str]:
@@ -206,8 +232,7 @@ class ProfileStore:
         stamps = [r[RUN_KEY] for r in last_runs([self._runs(t) for t in chosen], num_run)]
         for table in chosen:
             have = {r[RUN_KEY] for r in self._runs(table).where(F.col(RUN_KEY).isin(stamps)).collect()}
-            for stamp in sorted(have):
-                self._drop_run(table, stamp)
+            self._drop_runs(table, sorted(have))
             left = self._runs(table).where(F.col(RUN_KEY).isin(stamps)).count()
             if left:
                 raise RuntimeError(f"{left} of the runs {sorted(stamps)} are still in {table}")

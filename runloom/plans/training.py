@@ -160,6 +160,7 @@ def fit_many(
                 net.epoch += 1
             means = table.steps(epoch if shuffled else None, nets, velocity, data, target)
             checked = evaluate_many(valid, nets, data, target)
+            epoch_rows: dict[str, list[dict]] = {}
             for key in live:
                 cost, correct = checked[key]
                 cost_batch, correct_batch = means[key] / table.batches
@@ -172,13 +173,14 @@ def fit_many(
                     "correct_val": float(correct),
                 }
                 out[key].cost_rows.append(row)
+                epoch_rows[out[key].run_id] = [row]
                 if correct > best[key]:
                     best[key] = correct
                     out[key].best = nets[key].copy()
                     if model_path is not None:
                         save_model(spark, nets[key], model_path, out[key].run_id)
-                if store is not None:
-                    store.add_costs(out[key].run_id, [row])
+            if store is not None:
+                store.add_costs_of(epoch_rows)
         if test is not None:
             for key, result in evaluate_many(test, {k: out[k].network for k in keys}, data, target).items():
                 out[key].test = result
