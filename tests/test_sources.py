@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import numpy as np
 import pytest
@@ -206,6 +207,33 @@ def test_mirror_copies_only_what_is_new(spark, tmp_path):
     assert {r["run"]: r["best"] for r in best.collect()} == {"0": 10.0, "1": 11.0}
 
 
+def test_mirror_shrinks_with_the_table(spark, tmp_path):
+    """Dead parts go, thin ones are written anew, and a call that was cut short loses and doubles nothing."""
+    source, target, state = (str(tmp_path / n) for n in ("source", "target", "state"))
+    for n in range(4):
+        spark.range(1000 * n, 1000 * n + 1000).withColumn("k", F.col("id") % 4).write.mode("append").partitionBy("k").parquet(source)
+    schema = spark.read.parquet(source).schema
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "target").rglob("*.parquet"))
+    rows = lambda: sorted(r["id"] for r in mirrored(spark, target).collect())
+    mirror(spark, source, schema, target, state)
+    full = size()
+    assert rows() == list(range(4000))
+    for k in (0, 1, 2):
+        shutil.rmtree(tmp_path / f"source/k={k}")
+    mirror(spark, source, schema, target, state)
+    assert rows() == list(range(3, 4000, 4)) and size() < 0.5 * full
+    spark.range(5000, 5010).withColumn("k", F.lit(3).cast("long")).write.mode("append").partitionBy("k").parquet(source)
+    (tmp_path / "target/_mirror_part=c9").mkdir()
+    spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "target/_mirror_part=c9"))  # left by a broken call
+    mirror(spark, source, schema, target, state)
+    assert rows() == [*range(3, 4000, 4), *range(5000, 5010)] and not (tmp_path / "target/_mirror_part=c9").exists()
+    assert len(list((tmp_path / "target-manifest").glob("_version=*"))) == 1
+    shutil.rmtree(tmp_path / "source/k=3")
+    spark.range(2).withColumn("k", F.lit(0).cast("long")).write.mode("append").partitionBy("k").parquet(source)
+    mirror(spark, source, schema, target, state)
+    assert rows() == [0, 1]
+
+
 def test_mirror_of_the_profile_store(spark, tmp_path):
     """Runs are partitions of the source and of the copy."""
     store = ProfileStore(spark, str(tmp_path / "store"), "db_mirror")
