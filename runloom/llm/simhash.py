@@ -185,25 +185,31 @@ def rooted(prints: DataFrame, radius: int, compared: int, plan: list[tuple[int,
     fingerprints together, by default those of one long that miss no link.
 
     Equal fingerprints are one before anything is looked up, so copies cost no pairs. A first pass ties
-    every fingerprint to one other of each bucket, which joins large groups; the second looks up all
-    that may be near, but for pairs that are in one class already. Both give links to a component
-    search; no link between different classes is left out, and groups cost links in proportion to
-    their size.
+    every fingerprint to the least near one that is first in a bucket of its own, and that to its own, which
+    joins large groups in a few shuffles; the second looks up all that may be near, but for pairs that are in
+    one class already, and its links go to a component search. No link between different classes is
+    left out, whatever the first pass joined, and groups cost links in proportion to their size.
     """
     names = [c for c in prints.columns if c != "doc_id"]
     least = prints.groupBy(*names).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id())
     least = cut_lineage(least)
     plan = plan or segment_plan(least.count(), radius)
 
-    def classed(rows: DataFrame, column: str, links: DataFrame) -> DataFrame:
-        found = connected_components(links).withColumnRenamed("node", "tied")
-        joined = rows.join(found, rows[column] == found["tied"], "left")
-        return cut_lineage(joined.withColumn("class", F.coalesce("root", column)).drop("tied", "root"))
-
     stars = _stars(_entries(least.select("node", *names), plan), names[:compared], radius)
-    first = classed(least, "node", stars).withColumnRenamed("class", "star")
-    links = _across(first.select("node", F.col("star").alias("class"), *names), names[:compared], radius, plan)
-    return classed(first, "star", links).select(*names, "doc_id", F.col("class").alias("root"))
+    first = least.join(_tied(stars), "node", "left").select(*names, "doc_id", "node", F.coalesce("to", "node").alias("class"))
+    first = cut_lineage(first)
+    found = connected_components(_across(first.select("node", "class", *names), names[:compared], radius, plan))
+    joined = first.join(found.withColumnRenamed("node", "tied"), F.col("class") == F.col("tied"), "left")
+    return cut_lineage(joined.select(*names, "doc_id", F.coalesce("root", "class").alias("root")))
+
+
+def _tied(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(node, to): the least partner of each node, followed along 2 ** ``jumps`` such steps; links go from a to a larger b."""
+    ties = cut_lineage(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
+    for _ in range(jumps):
+        ahead = ties.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        ties = ties.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    return ties
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:

@@ -69,3 +69,20 @@ def test_entry_offers_all_operators():
     assert {f"op{n}_" for n in range(1, 11)} <= {k.split("_")[0] + "_" for k in found} and "pipeline" in found
     assert set(QUERIES) <= set(found)
     assert os.path.exists(contract.corpus_pipeline.__file__)
+
+
+def test_nothing_goes_where_nothing_can_be_learned(spark, tmp_path):
+    docs = awkward(spark)
+    docs.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert STAGES["toxicity"](spark, docs, str(tmp_path)).count() == docs.count()
+    unnamed = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert STAGES["language"](spark, unnamed, str(tmp_path)).count() == docs.count()
+
+
+def test_documents_of_three_languages_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 1500")
+    first = {r["lang"]: r["t"] for r in docs.groupBy("lang").agg(F.min("text").alias("t")).collect()}
+    mixed = "\n".join(first[k][:1200] for k in sorted(first)[:3])
+    rows = spark.createDataFrame([(10**9, mixed, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = STAGES["language"](spark, docs.select(*rows.columns).unionByName(rows), sf_dir)
+    assert 10**9 in {r["doc_id"] for r in kept.collect()}
