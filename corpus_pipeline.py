@@ -15,7 +15,7 @@ from runloom.llm.registry import table, vocabulary
 from runloom.session import shared_path
 
 TOXIC_SCORE = 0.3  # documents at or above it go, as op7_toxicity predicts
-LANGUAGE_SHARE = 0.5  # documents whose first language has less go, and those without a letter
+LANGUAGE_SHARE = 0.3  # documents whose first language has less go, and those without a letter; three equal ones stay
 
 
 def whole_row(docs: DataFrame) -> Column:
@@ -23,16 +23,28 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*docs.columns).alias("row")
 
 
+def both_classes(docs: DataFrame, labels: DataFrame) -> bool:
+    """Whether there are documents of both labels to count and, in another fold, to calibrate with."""
+    held_back = (fold(F.col("doc_id"), 4) == 3).alias("held_back")
+    marked = docs.select("doc_id", held_back).join(labels.select("doc_id", "toxic"), "doc_id")
+    found = marked.groupBy("held_back").agg(F.count_distinct(F.col("toxic") > 0).alias("classes")).where("classes = 2")
+    return found.count() == 2
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models, learned from the labels, find ordinary."""
+    """Documents that the class-conditional models, learned from the labels, find ordinary; all where nothing can be learned."""
+    if not both_classes(docs, table(spark, sf_dir, "labels")):
+        return docs
     part = fold(F.col("doc_id"), 4)
     scored = toxicity.detect(docs, table(spark, sf_dir, "labels"), for_model=part != 3, for_calibration=part == 3, keep=[whole_row(docs)])
     return scored.where(F.col("score") < TOXIC_SCORE).select("row.*")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one language, of those that the corpus names, prevails."""
+    """Documents whose words few languages explain, of those that the corpus names; all where it names none."""
     names, model = language.learn(docs)
+    if not names:
+        return docs
     found = language.identify(docs, names, model, keep=[whole_row(docs)])
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("share") >= LANGUAGE_SHARE)).select("row.*")
 
