@@ -1,6 +1,6 @@
-"""Hot keys: finding them from a sample, and joins that split them.
+"""Hot keys: finding them by sums over a few groups of keys, and joins that split them.
 
-The sample only decides how work is cut. Every operator here gives the same, exact rows
+What is found only decides how work is cut. Every operator here gives the same, exact rows
 whichever keys it lists.
 """
 
@@ -11,11 +11,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import MapType, VariantType
 
 # Sampled rows expected for a key just at the limit; far more for the keys that matter.
 SAMPLED = 64
+# Groups of keys that are summed for each part, and in all at most.
+GROUPS_PER_PART, MOST_GROUPS = 64, 1 << 16
+_BITS = 64
 
 
 def default_share(spark: SparkSession) -> int:
@@ -41,22 +44,30 @@ class HotKeys:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int) -> HotKeys:
-    """Keys that hold more than about 1/share of all rows: fewer than 2 x share of them.
+    """Keys that hold more than about 1/share of all rows: no more than share of them.
 
-    Only the share decides, at every size. The keys of a thin sample are counted, so neither the
-    table nor its key columns are shuffled, and no single task merges anything that grows with
-    the number of tasks. A key of one row is never hot.
+    Only the share decides, at every size. Keys are dealt into groups by their hash, and one pass counts
+    each group's rows and, bit by bit, those whose hash has the bit. A key with more than half of
+    its group's rows is spelled by the majority of each bit, and how clear the majorities are tells its
+    rows. Sums combine in tasks, so neither rows nor keys are shuffled. Two hot keys of one group
+    hide each other, which costs balance and nothing else. A key of one row is never hot.
     """
-    total = df.count()
-    limit = max(total / share, 2.0)
-    if total <= limit:
-        return HotKeys({}, limit)
-    fraction = sampling_fraction(limit)
+    groups = min(GROUPS_PER_PART * share, MOST_GROUPS)
     hashes = df.select(key_hash(keys).alias("h"))
-    sampled = hashes.sample(fraction, seed=0) if fraction < 1 else hashes
-    often = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit * fraction / 2)
-    counts = {r["h"]: max(r["n"] / fraction, limit) for r in often.collect()}
-    return HotKeys(counts, limit)
+    ones = F.array(*[F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1))) for i in range(_BITS)]).alias("ones")
+    sums = hashes.groupBy(F.pmod("h", F.lit(groups)).alias("g")).agg(F.count(F.lit(1)).alias("n"), ones)
+    limit = F.greatest(F.sum("n").over(Window.partitionBy()) / share, F.lit(2.0))  # over the groups, which are few
+    large = sums.select("*", limit.alias("limit")).where(F.col("n") >= F.col("limit")).collect()
+    counts, most = {}, 2.0
+    for r in large:
+        n, most = r["n"], r["limit"]
+        key = sum(1 << i for i, b in enumerate(r["ones"]) if 2 * b > n)
+        key -= (key >> (_BITS - 1)) << _BITS
+        # The other rows of the group have each bit about every second time.
+        rows = n * (2 * sum(max(b, n - b) for b in r["ones"]) / (_BITS * n) - 1)
+        if key % groups == r["g"] and rows > most / 2 and rows >= 2:
+            counts[key] = max(rows, most)
+    return HotKeys(counts, most)
 
 
 def sampling_fraction(rows_per_part: float) -> float:
