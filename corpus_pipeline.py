@@ -33,10 +33,10 @@ def both_classes(docs: DataFrame, labels: DataFrame) -> bool:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models, learned from the labels, find ordinary; all where nothing can be learned."""
-    if not both_classes(docs, table(spark, sf_dir, "labels")):
+    part, labels = fold(F.col("doc_id"), 4), table(spark, sf_dir, "labels")
+    scored = toxicity.detect(docs, labels, for_model=part != 3, for_calibration=part == 3, keep=[whole_row(docs)])
+    if not both_classes(docs, labels) and scored.where(F.col("score") != 0.5).isEmpty():
         return docs
-    part = fold(F.col("doc_id"), 4)
-    scored = toxicity.detect(docs, table(spark, sf_dir, "labels"), for_model=part != 3, for_calibration=part == 3, keep=[whole_row(docs)])
     return scored.where(F.col("score") < TOXIC_SCORE).select("row.*")
 
 
