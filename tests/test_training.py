@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_models import config, fc, frame, numpy_training, sample
 
+from runloom.functions.normal import normal, normals
 from runloom.functions.permutation import permuted, permuted_numbers, round_keys, side_of
 from runloom.plans import epochs, training
 from runloom.plans.network import NetConfig
@@ -106,3 +107,15 @@ def test_permutation_in_sql():
     con.execute(f"CREATE TABLE numbered AS SELECT range AS vec_id, range AS spot, {n} AS n, {side} AS side FROM range({n})")
     got = con.execute(f"WITH RECURSIVE {_places_sql(4, 9)} SELECT vec_id, x FROM walk4 WHERE x < n ORDER BY 1").fetchall()
     assert [x for _, x in got] == permuted_numbers(np.arange(n), n, round_keys(9, 4)).tolist()
+
+
+def test_first_weights_are_normal_numbers_by_counter(spark):
+    made = normals(20_000, 3, 1)
+    assert abs(made.mean()) < 0.03 and abs(made.std() - 1) < 0.03 and abs((made < -1).mean() - 0.1587) < 0.01 and made.max() > 3
+    np.testing.assert_array_equal(made[:100], normals(100, 3, 1))
+    assert abs(np.corrcoef(made, normals(20_000, 3, 2))[0, 1]) < 0.03
+    got = {r["id"]: r["z"] for r in spark.range(500).select("id", normal(F.col("id"), 3, 1).alias("z")).collect()}
+    np.testing.assert_allclose([got[i] for i in range(500)], made[:500], rtol=1e-12)
+    conf = config(fc("FC_SIG", 4, 0.5), fc("FC_SOFTMAX", 3, 0.1), image=12)
+    net = training.Network.initial(conf, 3)
+    np.testing.assert_array_equal(net.weights[1].ravel(), 0.1 * normals(12, 3, 1))
