@@ -16,8 +16,10 @@ from runloom.session import cut_lineage
 
 BITS = 64
 SEED = 42
-# Entries of a bucket above which it is looked at class by class, and rows of such buckets that are broadcast at most.
+# Entries of a bucket above which it is looked at class by class; nodes of a bucket that the others are tied to;
+# rows of large buckets that are broadcast at most.
 LARGE_BUCKET = 64
+HEADS = 3
 BROADCAST_ROWS = 100_000
 # Share of the links that a plan of likely segments finds at least, at the distance it is made for.
 RECALL = 0.96
@@ -138,11 +140,17 @@ def _apart(left: list[Column], right: list[Column]) -> Column:
 
 
 def _stars(entries: DataFrame, names: list[str], radius: int) -> DataFrame:
-    """Links (a, b) of every node to the least node of each of its buckets, if they are near."""
-    heads = entries.groupBy("k", "v").agg(F.min(F.struct("node", *names)).alias("h"), F.count(F.lit(1)).alias("size"))
-    met = entries.join(heads.where("size > 1"), ["k", "v"])
+    """Links (a, b), a < b, of every node to a few nodes of each of its buckets, if they are near.
+
+    These are the bucket's least nodes in HEADS different orders, so that a group whose members are not all
+    near the same one is joined as well.
+    """
+    orders = [F.col("node"), *[F.xxhash64(F.col("node"), F.lit(i)) for i in range(1, HEADS)]]
+    least = [F.min_by(F.struct("node", *names), order).alias(f"h{i}") for i, order in enumerate(orders)]
+    heads = entries.groupBy("k", "v").agg(F.count(F.lit(1)).alias("size"), *least).where("size > 1")
+    met = entries.join(heads, ["k", "v"]).select("node", *names, F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("h"))
     near = _apart([F.col(f) for f in names], [F.col(f"h.{f}") for f in names]) <= radius
-    return met.where((F.col("node") != F.col("h.node")) & near).select(F.col("h.node").alias("a"), F.col("node").alias("b"))
+    return met.where((F.col("node") != F.col("h.node")) & near).select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b"))
 
 
 def _across(classed: DataFrame, names: list[str], radius: int, plan: list[tuple[int, int, int]]) -> DataFrame:
@@ -184,9 +192,9 @@ def rooted(prints: DataFrame, radius: int, compared: int, plan: list[tuple[int,
     Links are made at ``radius`` bits over the first ``compared`` longs; ``plan`` names the segments that bring
     fingerprints together, by default those of one long that miss no link.
 
-    Equal fingerprints are one before anything is looked up, so copies cost no pairs. A first pass ties
-    every fingerprint to the least near one that is first in a bucket of its own, and that to its own, which
-    joins large groups in a few shuffles; the second looks up all that may be near, but for pairs that are in
+    Equal fingerprints are one before anything is looked up, so copies cost no pairs. A first pass links
+    every fingerprint to the few first ones of its buckets, if near, ties it to the least of them, and
+    that to its own, which joins large groups in a few shuffles; the second looks up all that may be near, but for pairs that are in
     one class already, and its links go to a component search. No link between different classes is
     left out, whatever the first pass joined, and groups cost links in proportion to their size.
     """
@@ -195,9 +203,15 @@ def rooted(prints: DataFrame, radius: int, compared: int, plan: list[tuple[int,
     least = cut_lineage(least)
     plan = plan or segment_plan(least.count(), radius)
 
-    stars = _stars(_entries(least.select("node", *names), plan), names[:compared], radius)
-    first = least.join(_tied(stars), "node", "left").select(*names, "doc_id", "node", F.coalesce("to", "node").alias("class"))
-    first = cut_lineage(first)
+    stars = cut_lineage(_stars(_entries(least.select("node", *names), plan), names[:compared], radius).distinct())
+    tied = cut_lineage(least.join(_tied(stars), "node", "left").select(*names, "doc_id", "node", F.coalesce("to", "node").alias("star")))
+    # What the ties left apart though linked is little, and is joined as a graph of its own.
+    to = tied.select(F.col("node").alias("n"), "star")
+    rest = stars.join(to, F.col("a") == F.col("n")).select("b", F.col("star").alias("x")).join(to, F.col("b") == F.col("n")).select("x", "star")
+    rest = rest.where("x <> star").select(F.col("x").alias("a"), F.col("star").alias("b"))
+    merged = connected_components(rest).withColumnRenamed("node", "tied")
+    first = tied.join(merged, F.col("star") == F.col("tied"), "left")
+    first = cut_lineage(first.select(*names, "doc_id", "node", F.coalesce("root", "star").alias("class")))
     found = connected_components(_across(first.select("node", "class", *names), names[:compared], radius, plan))
     joined = first.join(found.withColumnRenamed("node", "tied"), F.col("class") == F.col("tied"), "left")
     return cut_lineage(joined.select(*names, "doc_id", F.coalesce("root", "class").alias("root")))
