@@ -147,7 +147,7 @@ def _(spark, sf):
 def _(spark, sf):
     source = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     target = shared_path(spark, "mirror")
-    mirror(spark, sf, source.schema, target, shared_path(spark, "mirror-state"), pattern="events.parquet")
+    mirror(spark, f"{sf}/events.parquet", source.schema, target, shared_path(spark, "mirror-state"))
     return mirrored(spark, target)
 
 
@@ -172,4 +172,4 @@ def _(spark, sf):
 def _(spark, sf):
     schema = table(spark, sf, "conversations").schema
     rows = lambda s: s.select(F.col("conv_id").alias("run"), F.length("text").cast("long").alias("metric"))
-    return running_best(spark, sf, schema, shared_path(spark, "best"), pattern="conversations.parquet", prepare=rows)
+    return running_best(spark, f"{sf}/conversations.parquet", schema, shared_path(spark, "best"), prepare=rows)

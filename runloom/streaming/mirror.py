@@ -17,6 +17,10 @@ DEAD_SHARE = 0.5
 
 
 def _source(spark: SparkSession, path: str, schema: StructType, pattern: str | None, files_per_trigger: int) -> DataFrame:
+    """New files of a table: a folder's, or a single file, which a stream finds by its name in its folder."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(file):
+        path, pattern = file.getParent().toString(), file.getName()
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)

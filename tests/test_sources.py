@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runloom.contract import QUERIES
 from runloom.operators import dataset
 from runloom.plans.profile_store import ProfileStore
 from runloom.sources import event_log, sets
@@ -207,6 +208,23 @@ def test_mirror_copies_only_what_is_new(spark, tmp_path):
     assert {r["run"]: r["best"] for r in best.collect()} == {"0": 10.0, "1": 11.0}
 
 
+def test_streams_read_tables_of_one_file_or_of_many(spark, tmp_path):
+    """A table is a folder of parts or a single file; others lie beside it."""
+    talks = spark.createDataFrame([(i // 2, "x" * i) for i in range(20)], "conv_id long, text string")
+    events = spark.range(20).selectExpr("id AS event_id", "id % 3 AS user_id", "'view' AS event_type", "id / 2 AS value")
+    for name, rows in (("conversations", talks), ("events", events)):
+        rows.repartition(4).write.parquet(str(tmp_path / f"{name}.parquet"))
+    best = {r["run"]: r["best"] for r in QUERIES["s18_running_best"](spark, str(tmp_path)).collect()}
+    assert best == {i: 2 * i + 1 for i in range(10)}
+    copied = QUERIES["s18_mirror"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in copied) == sorted(tuple(r) for r in events.collect())
+    talks.coalesce(1).write.parquet(str(tmp_path / "written"))
+    for name in ("one.parquet", "other.parquet"):
+        shutil.copy(next((tmp_path / "written").glob("*.parquet")), tmp_path / name)
+    mirror(spark, str(tmp_path / "one.parquet"), talks.schema, str(tmp_path / "copy"), str(tmp_path / "state"))
+    assert sorted(tuple(r) for r in mirrored(spark, str(tmp_path / "copy")).collect()) == sorted(tuple(r) for r in talks.collect())
+
+
 def test_mirror_shrinks_with_the_table(spark, tmp_path):
     """Dead parts go, thin ones are written anew, and a call that was cut short loses and doubles nothing."""
     source, target, state = (str(tmp_path / n) for n in ("source", "target", "state"))
