@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,9 +43,17 @@ ROWS_PER_BATCH_BYTES = 32 << 20
 
 
 def parquet_sets(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of every matching file, with the file name as ``set``."""
+    """Rows of every matching file, with the file name as ``set``.
+
+    A folder named ``*.parquet`` holds the parts of one table, so it is one set of that name.
+    """
     df = spark.read.parquet(pattern)
-    return df.select(F.col("_metadata.file_name").alias("set"), "*")
+    # Folders above the first name that the pattern leaves open, or above its last name, tell nothing.
+    first = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(re.split(r"[*?\[{\\]", pattern.rstrip("/"))[0] + "x")
+    depth = first.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(first).depth()
+    names = F.split(F.regexp_replace("_metadata.file_path", "^[^/]+:(//[^/]*)?", ""), "/")
+    tables = F.filter(names, lambda n, i: (i >= depth) & n.endswith(".parquet"))
+    return df.select(F.coalesce(F.get(tables, F.lit(0)), F.col("_metadata.file_name")).alias("set"), "*")
 
 
 def _archive_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,6 +52,26 @@ def test_parquet_splits(spark, tmp_path):
     assert sizes["valid_size"] == 10 and frames["test"].first()["set"] == "test"
 
 
+def test_parquet_sets_are_files_or_tables(spark, tmp_path):
+    """A folder of parts is one set, even where parts share names; files keep theirs, whatever lies above."""
+    base = tmp_path / "old.parquet" / "of sets"
+    for name, rows in (("a.parquet", 10), ("b.parquet", 20)):
+        spark.range(rows).repartition(3).write.parquet(str(base / name))
+        for i, part in enumerate(sorted((base / name).glob("part-*"))):
+            part.rename(base / name / f"part-{i}.parquet")
+    (base / "files").mkdir()
+    for name in ("c.parquet", "d", "e f.parquet"):
+        shutil.copy(base / "a.parquet" / "part-0.parquet", base / "files" / name)
+    found = lambda path: {r["set"]: r["count"] for r in sets.parquet_sets(spark, str(path)).groupBy("set").count().collect()}
+    n = spark.read.parquet(str(base / "files/c.parquet")).count()
+    assert found(base / "*.parquet") == found(f"{base}/{{a,b}}.parquet") == {"a.parquet": 10, "b.parquet": 20}
+    assert found(base / "a.parquet") == found(f"{base}/a.parquet/") == {"a.parquet": 10}
+    files = found(base / "files")
+    assert set(files.values()) == {n} and len(files) == 3 and {"c.parquet", "d"} < set(files)
+    assert found(base / "files" / "c*") == found(base / "files" / "c.parquet") == {"c.parquet": n}
+    assert found(os.path.relpath(base / "?.parquet")) == {"a.parquet": 10, "b.parquet": 20}
+
+
 def test_input_types():
     assert sets.check_input_type(["a.npz", "b.npz", ".hidden.png"]) == "npz"
     for bad in (["a.npz", "b.png"], ["a.xyz"], []):
